@@ -41,6 +41,35 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.simhash import simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reagentql.llm.urlfilter import judge_urls
 
@@ -69,6 +98,8 @@ def queries() -> dict:
         for f in (
             op1_token_counts,
             op4_byte_bpe,
+            op5_exact_topk,
+            op7_simhash,
             op8_url_filter,
             op9_secret_scan,
             op10_personal_data,
@@ -77,4 +108,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_topk": OP5_SQL}
