@@ -29,6 +29,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.toxicity import THRESHOLD, fit, held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.decontaminate import benchmark_overlaps
+
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reagentql.llm.bytebpe import encode_decode
 
@@ -97,6 +113,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_token_counts,
+            op2_toxicity,
+            op3_decontaminate,
             op4_byte_bpe,
             op5_exact_topk,
             op7_simhash,
