@@ -79,6 +79,12 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reagentql.llm.simhash import simhash_components
 
@@ -117,6 +123,7 @@ def queries() -> dict:
             op3_decontaminate,
             op4_byte_bpe,
             op5_exact_topk,
+            op6_repeated_passages,
             op7_simhash,
             op8_url_filter,
             op9_secret_scan,

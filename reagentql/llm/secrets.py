@@ -130,3 +130,24 @@ def redact(text: str, spans: list[tuple]) -> str:
             out += [text[at : max(at, start)], f"[{kind}]"]
             at = end
     return "".join([*out, text[at:]])
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with all columns, secrets in the text replaced by markers; a column of sizes follows the text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            clean = [t and redact(t, find_secrets(t)) for t in texts]
+            if clean != texts:
+                names = batch.schema.names
+                columns = list(batch.columns)
+                columns[names.index(text_col)] = pa.array(clean, pa.string())
+                if size_col in names:
+                    at = names.index(size_col)
+                    sizes = [n if a == b else len(b) for a, b, n in zip(texts, clean, columns[at].to_pylist())]
+                    columns[at] = pa.array(sizes, batch.schema.field(at).type)
+                batch = pa.RecordBatch.from_arrays(columns, names)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
