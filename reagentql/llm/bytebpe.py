@@ -35,6 +35,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Above every rank of a merge.
+NEVER = 1 << 30
+
+
 @functools.lru_cache(1)
 def speculative_bpe(path: str) -> SpeculativeBpe:
     """One encoder for all tasks of a worker process."""
@@ -57,10 +61,11 @@ class SpeculativeBpe:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.rank = {}
+        self.rank, self.made = {}, []
         for rank, (a, b) in enumerate(merges):
             a, b = raw(a), raw(b)
-            self.rank[self.id_of[a], self.id_of[b]] = rank, self.id_of[a + b]
+            self.rank[self.id_of[a], self.id_of[b]] = rank
+            self.made.append(self.id_of[a + b])
         self.longest = max(map(len, self.id_of))
         self.words_of = regex.compile(WORDS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -71,13 +76,16 @@ class SpeculativeBpe:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging of one word: the lowest rank first, the leftmost of equals."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        rank = self.rank
-        while len(ids) > 1:
-            best = min(((rank[p][0], i) for i, p in enumerate(pairwise(ids)) if p in rank), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
+        get, made = self.rank.get, self.made
+        ranks = [get(p, NEVER) for p in pairwise(ids)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def merge_long(self, word: bytes) -> list[int]:
@@ -89,16 +97,16 @@ class SpeculativeBpe:
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(i, j):
-            if i >= 0 and j < n and (r := rank.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (r[0], i, j, ids[i], ids[j], r[1]))
+            if i >= 0 and j < n and (r := rank.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (r, i, j, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, a, b, both = heapq.heappop(heap)
+            r, i, j, a, b = heapq.heappop(heap)
             if ids[i] != a or ids[j] != b or after[i] != j:
                 continue
-            ids[i], ids[j], after[i] = both, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[r], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(before[i], i)
@@ -168,7 +176,7 @@ class SpeculativeBpe:
                     parts.append(self.special[piece])
                 elif piece:
                     words = self.words_of(piece)
-                    new.update(w for w in words if w not in cache)
+                    new |= set(words).difference(cache)
                     parts.append(words)
             cut.append(parts)
         if new:
