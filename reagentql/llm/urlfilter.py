@@ -25,6 +25,8 @@ RULES: tuple[Rule, ...] = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
+#: Parts into which the sample is dealt, so that its features are computed side by side.
+SAMPLE_PARTS = 12
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "suffix_rate", "longest_label")
 
 
@@ -55,12 +57,10 @@ def with_features(df: DataFrame, url_col: str, suffix_rates: dict[str, float]) -
     url = F.coalesce(F.col(url_col), F.lit(""))
     size = F.length(url)
     count = lambda c: size - F.length(F.replace(url, F.lit(c)))
-    letters = F.filter(F.split(F.translate(url, UPPER, LOWER), ""), lambda c: c != "")
-    runs = F.aggregate(
-        F.array_distinct(letters),
-        F.lit(0.0),
-        lambda a, c: a + F.size(F.filter(letters, lambda x: x == c)) * F.log2(F.size(F.filter(letters, lambda x: x == c))),
-    )
+    lowered = F.translate(url, UPPER, LOWER)
+    seen = lambda c: (size - F.length(F.replace(lowered, c, F.lit("")))).cast("double")
+    letters = F.array_distinct(F.filter(F.split(lowered, ""), lambda c: c != ""))
+    runs = F.aggregate(letters, F.lit(0.0), lambda a, c: a + seen(c) * F.log2(seen(c)))
     labels = F.split("host", r"\.")
     rate = F.lit(0.0)
     for suffix, value in sorted(suffix_rates.items()):
@@ -118,7 +118,7 @@ def train(
 
     Without rows of both labels the model has no trees and allows everything.
     """
-    picked = labelled.orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample)
+    picked = labelled.orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample).repartition(SAMPLE_PARTS, url_col)
     by_suffix = with_parts(picked, url_col).groupBy(F.element_at(F.split("host", r"\."), -1).alias("suffix"))
     rows = by_suffix.agg(F.count("*").alias("n"), F.sum(label_col).alias("bad")).orderBy(F.desc("n"), "suffix").limit(50).collect()
     total, bad = sum(r["n"] for r in rows), sum(r["bad"] for r in rows)
