@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label propagation with pointer jumping."""
+"""Connected components of a link table, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -7,30 +7,41 @@ from pyspark.sql import functions as F
 
 from reagentql.llm.common import cut
 
-#: Parts into which the members of one large component are dealt while labels are looked up.
+#: Parts into which rows that name one large component are dealt while labels are looked up.
 SALTS = 32
 
 
+def _renamed(rows: DataFrame, column: str, up: DataFrame, salts: int) -> DataFrame:
+    """``rows`` with the nodes in ``column`` replaced by their labels in ``up`` (node, label), if they have one."""
+    names = rows.columns
+    to = up.select(F.col("node").alias(column), F.col("label").alias("__to"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
+    found = dealt.join(to, [column, "__salt"], "left").withColumn(column, F.coalesce("__to", column))
+    return found.select(*names)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in ``links`` (columns a, b: long).
 
-    Each round takes the smallest label among a node's neighbours, then the label of that
-    label, so chains shorten by halves.  Labels are written to the checkpoint folder each
-    round.  Links to oneself and repeated links change nothing; no links give no rows.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots
+    and contracts the links to links between roots, so the links left shrink quickly.  All
+    states are written to the checkpoint folder.  Links to oneself and repeated links change
+    nothing; no links give no rows.
     """
-    both = cut(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    one = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges, labels, salts = cut(one(links)), None, 1
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        named = stepped.select("label").distinct().withColumnRenamed("label", "node")
-        jump = stepped.select("node", F.col("label").alias("next")).join(named, "node")
-        jump = jump.select(F.col("node").alias("label"), "next", salts)
-        moved = stepped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(jump, ["label", "salt"])
-        state = cut(moved.select("node", "old", F.least("label", "next").alias("label")))
-        labels = state.select("node", "label")
-        if state.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        both = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        up = cut(both.groupBy("node").agg(F.least(F.min("b"), F.first("node")).alias("label")))
+        while True:
+            # Only nodes that others name are looked up, so their salted copies are few.
+            named = up.select(F.col("label").alias("node")).distinct()
+            named = up.join(named, "node", "left_semi").where("label < node")
+            if named.isEmpty():
+                break
+            up = cut(_renamed(up, "label", named, SALTS))
+        labels = up if labels is None else cut(_renamed(labels, "label", up, salts))
+        edges = cut(one(_renamed(_renamed(edges, "a", up, salts), "b", up, salts)))
+        if edges.isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+        salts = SALTS
