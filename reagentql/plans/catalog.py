@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from reagentql.plans import relational, scores, texts
+
+MODULES = (scores, relational, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
