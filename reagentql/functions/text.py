@@ -147,9 +147,10 @@ def retrosynthesis_candidates(text: Column) -> Column:
         r"(?i)applied reaction is\s*:?\s*(\S+)",
         r"(?i)requires the reactants?\s*:?\s*(\S+)",
     )
+    tagged = lambda k: lambda t: F.struct(F.lit(k).alias("strategy"), t.alias("token"))
     parts = []
     for k, pattern in enumerate(patterns):
         tokens = F.flatten(F.transform(extract_all(text, pattern), lambda t: F.split(F.element_at(F.split(t, ">>"), -1), r"\.")))
-        parts.append(F.transform(F.filter(F.transform(tokens, clean), lambda t: strict_ok(t)), lambda t, k=k: F.struct(F.lit(k).alias("strategy"), t.alias("token"))))
+        parts.append(F.transform(F.filter(F.transform(tokens, clean), lambda t: strict_ok(t)), tagged(k)))
     both = F.concat(*parts)
     return F.filter(both, lambda x, i: ~F.exists(F.slice(both, F.lit(1), i), lambda y: y["token"] == x["token"]))
