@@ -26,7 +26,8 @@ def spearman_to_signature(cells: DataFrame, signature: DataFrame) -> DataFrame:
     ranked = average_ranks(average_ranks(common, "cell", "value", "rv"), "cell", "weight", "rw")
     r = F.try_divide(F.covar_samp("rv", "rw"), F.stddev_samp("rv") * F.stddev_samp("rw"))
     rho = ranked.groupBy("cell").agg(F.coalesce(r, F.lit(0.0)).alias("rho"))
-    return rho.select("cell", F.round("rho", 6).alias("rho"), F.round(fisher_z(F.col("rho")), 5).alias("z"))
+    # Adding zero turns a negative zero into zero.
+    return rho.select("cell", (F.round("rho", 6) + 0.0).alias("rho"), (F.round(fisher_z(F.col("rho")), 5) + 0.0).alias("z"))
 
 
 def best_set_match(sets: DataFrame, references: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def q_mass_estimate(spark, sf):
 
 @query("""WITH g AS (SELECT vec_id AS cell, unnest(range(64)) AS gene, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT gene, v AS w FROM g WHERE cell = 0), j AS (SELECT cell, v, w FROM g JOIN s USING (gene)),
   r AS (SELECT cell, rank() OVER (PARTITION BY cell ORDER BY v) + (count(*) OVER (PARTITION BY cell, v) - 1) / 2e0 AS rv, rank() OVER (PARTITION BY cell ORDER BY w) + (count(*) OVER (PARTITION BY cell, w) - 1) / 2e0 AS rw FROM j),
-  p AS (SELECT cell, corr(rv, rw) AS rho FROM r GROUP BY cell), q AS (SELECT cell, rho, greatest(-0.999999e0, least(0.999999e0, rho)) AS c FROM p) SELECT cell, round(rho, 6) AS rho, round(0.5e0 * ln((1 + c) / (1 - c)), 5) AS z FROM q""")
+  p AS (SELECT cell, corr(rv, rw) AS rho FROM r GROUP BY cell), q AS (SELECT cell, rho, greatest(-0.999999e0, least(0.999999e0, rho)) AS c FROM p) SELECT cell, round(rho, 6) + 0e0 AS rho, round(0.5e0 * ln((1 + c) / (1 - c)), 5) + 0e0 AS z FROM q""")
 def q_spearman_fisher(spark, sf):
     cells = read(spark, sf, "embeddings").select(c("vec_id").alias("cell"), F.posexplode("embedding").alias("gene", "v")).select("cell", "gene", c("v").cast("double").alias("value"))
     return V.spearman_to_signature(cells, cells.where(c("cell") == 0).select("gene", c("value").alias("weight")))
