@@ -55,14 +55,14 @@ def entropies(run: str, window: int = WINDOW) -> list[float]:
     counts: dict[str, int] = {}
     total, out, full = 0.0, [], math.log2(window)
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += PART[n + 1] - PART[n]
         if i >= window:
             gone = run[i - window]
             n = counts[gone]
             counts[gone] = n - 1
             total += PART[n - 1] - PART[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += PART[n + 1] - PART[n]
         if i >= window - 1:
             out.append(full - total / window)
     return out
