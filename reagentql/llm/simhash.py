@@ -164,10 +164,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, fp (long), component_id (smallest id reachable over links of two bits or fewer).
 
     Every row of ``docs`` gives a row.  Equal fingerprints, among them the zero of texts
-    without words, are linked like any others.  Ids must be whole numbers and not null.
+    without words, are linked like any others.  Ids are whole numbers; a row without an id gets
+    the component of its fingerprint, null where no other row has that fingerprint.  Rows that
+    repeat an id each give a row.  An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     joined = components(links_within_two(prints))
     info = cut(prints.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return marked.join(info, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(info, "fp", "left").select("doc_id", "fp", "component_id")

@@ -25,7 +25,7 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float = 64
     """vec_id, v: floor(scale * x) of every component; vectors null or with null or non-finite parts drop out."""
     x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     good = F.col("x").isNotNull() & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.coalesce(good, F.lit(False)))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
@@ -91,7 +91,7 @@ def exact_top_k(
 
     ``is_query`` is a condition on ``id_col``.  Ties go to the smaller id; a query with
     fewer than k other vectors gets all of them.  Missing components count as zero.  Of rows
-    that repeat an id the smallest vector takes part.  An empty table gives no rows.
+    that repeat an id the smallest vector takes part; rows without an id do not.  An empty table gives no rows.
     """
     rows = whole_vectors(vectors, id_col, vector_col, scale)
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
