@@ -23,7 +23,7 @@ from reagentql.llm.tokencount import model_path
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Entries of a worker's cache of words.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: The vocabulary's fixed way to cut a text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -129,7 +129,7 @@ class SpeculativeBpe:
 
     def _stays(self, code: int) -> bool:
         if (known := self.apart_known.get(code)) is None:
-            if len(self.apart_known) >= 2_000_000:
+            if len(self.apart_known) >= 600_000:
                 self.apart_known.clear()
             a, b = code >> 32, code & 0xFFFFFFFF
             known = self.apart_known[code] = self.exact(self.bytes_of[a] + self.bytes_of[b]) == [a, b]

@@ -37,7 +37,7 @@ def token_hash(token: str) -> int:
 
 @functools.lru_cache(1)
 def token_cache() -> BoundedCache:
-    return BoundedCache(token_hash, 500_000)
+    return BoundedCache(token_hash, 200_000)
 
 
 def token_hashes(text: str, cache: dict | None = None) -> np.ndarray:

@@ -86,7 +86,7 @@ class ToxicityModel:
 class Scanner:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.words = BoundedCache(self._word, 500_000)
+        self.words = BoundedCache(self._word, 200_000)
 
     def _word(self, word: str) -> float:
         return max([self.lexicon.get(f, 0.0) for f in features(word)])
