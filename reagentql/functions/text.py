@@ -154,3 +154,10 @@ def retrosynthesis_candidates(text: Column) -> Column:
         parts.append(F.transform(F.filter(F.transform(tokens, clean), lambda t: strict_ok(t)), tagged(k)))
     both = F.concat(*parts)
     return F.filter(both, lambda x, i: ~F.exists(F.slice(both, F.lit(1), i), lambda y: y["token"] == x["token"]))
+
+
+def alert_lines(alerts: Column, fixes: dict[str, str], generic: str) -> Column:
+    """One line per alert, each with its fix or, for an alert without one, the generic advice."""
+    known = F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair])
+    line = lambda a: F.concat(a, F.lit(": "), F.coalesce(F.try_element_at(known, a), F.lit(generic)))
+    return F.array_join(F.transform(F.array_distinct(alerts), line), "\n")

@@ -160,3 +160,52 @@ def beam(level_tables: list[DataFrame], parent: str, node: str, order: list[Colu
             rows = table.join(above, parent).withColumn("path", F.concat("__path", F.array(F.col(node).cast("string")))).drop("__path")
         kept = top_per_group(rows, [parent], order, width, "__beam").drop("__beam")
     return kept
+
+
+def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as distances from the table's mean in sample deviations; 0 where a column is constant, null stays null."""
+    ends = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    off = {c: F.col(c) - F.col(f"__mean_{c}") for c in columns}
+    scaled = {c: F.when(off[c].isNotNull(), F.coalesce(F.try_divide(off[c], F.col(f"__std_{c}")), F.lit(0.0))) for c in columns}
+    return df.join(F.broadcast(ends)).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+
+
+def cross_correlations(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """a, b, r of every column of ``left`` with every column of ``right``; pairs without a correlation are left out."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in left for b in right])
+    return correlations(df, [*left, *right]).join(F.broadcast(df.sparkSession.range(1).select(F.inline(pairs))), ["a", "b"], "left_semi").where("r IS NOT NULL")
+
+
+def run_summary(df: DataFrame, group: str, key: str, length: Column) -> DataFrame:
+    """Per group: rows, distinct keys, mean length, and the share of distinct keys as a number and as text."""
+    n, new = F.count("*"), F.count_distinct(key)
+    return df.groupBy(group).agg(
+        n.alias("n"),
+        new.alias("n_distinct"),
+        F.round(F.avg(length), 6).alias("mean_length"),
+        F.round(F.try_divide(new, n), 6).alias("rate"),
+        F.coalesce(F.format_string("%.1f%%", F.round(F.try_divide(100.0 * new, n), 1)), F.lit("N/A")).alias("shown"),
+    )
+
+
+def parent_delta(df: DataFrame, group: str, order: list[Column], value: str, out: str = "delta") -> DataFrame:
+    """How far a value rose against the row before it in its group; null for the first."""
+    return df.withColumn(out, F.round(F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(*order)), 6))
+
+
+def balanced(first: DataFrame, second: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of one table and the first half as many of another."""
+    return first.orderBy(*order).limit(n).unionByName(second.orderBy(*order).limit(n // 2))
+
+
+def renumber(df: DataFrame, column: str, mapping: DataFrame, old: str, new: str, order: list[str]) -> DataFrame:
+    """``column`` renamed by a mapping whose last row per old number wins; numbers it lacks stay."""
+    last = mapping.groupBy(F.col(old).alias(column)).agg(F.max_by(new, F.struct(*order)).alias("__new"))
+    return df.join(last, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def mean_of_selected(df: DataFrame, group: str, value: str, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of a value per group over the rows whose keys are selected; NaN for a group without such rows."""
+    marks = selected.select(*keys).distinct().withColumn("__in", F.lit(True))
+    mean = F.avg(F.when(F.col("__in"), F.col(value)))
+    return df.join(marks, keys, "left").groupBy(group).agg(F.round(F.coalesce(mean, F.lit(float("nan"))), 6).alias("mean"))

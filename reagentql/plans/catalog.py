@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reagentql.plans import relational, scores, texts
+from reagentql.plans import relational, reports, scores, texts
 
-MODULES = (scores, relational, texts)
+MODULES = (scores, relational, texts, reports)
 
 
 def queries() -> dict:
