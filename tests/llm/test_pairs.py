@@ -163,3 +163,26 @@ def test_top_k_of_odd_rows(spark):
         want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)]
     assert got == want
     assert topk.exact_top_k(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_near_copies_among_look_alikes(spark):
+    """Pairs at about 0.85 inside a templated group at 0.6 to 0.7 are all found."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(0, len(words), 5), n):
+            words[i] = word()
+        return words
+
+    template = [word() for _ in range(300)]
+    texts = [changed(template, 6) for _ in range(2000)]
+    texts += [changed(w, 4) for w in texts[:100]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in docs]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for b in range(len(sets)) for a in (*range(0, min(b, 100)), b - 2000) if 0 <= a < b and alike(a, b)]
+    assert {(i, 2000 + i) for i in range(100)} <= set(pairs)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs)
