@@ -15,7 +15,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "ip", "card", "phone", "iban")
 #: Score of a confirmed span before its surroundings are read, and words that raise it.
@@ -48,6 +49,22 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def ibans(text: str):
+    """From each head the longest run that ends where a group ends and has the checksum; a head in a failed run counts."""
+    done = 0
+    for head in IBAN_HEAD.finditer(text):
+        if head.start() < done or not (rest := IBAN_REST.match(text, head.end())):
+            continue
+        for end in range(rest.end(), head.end() + 10, -1):
+            # A group ends before anything but a letter or digit.
+            if text[end - 1] == " " or (end < len(text) and text[end].isascii() and text[end].isalnum()):
+                continue
+            if 15 <= len(s := text[head.start() : end].replace(" ", "")) <= 34 and mod97(s):
+                yield head.start(), end
+                done = end
+                break
+
+
 def emails(text: str):
     """Leftmost matches, found from each @ so that long runs cost linear time."""
     done, at = 0, text.find("@")
@@ -79,9 +96,7 @@ def find_personal(text: str) -> list[tuple[str, int, int, float]]:
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 15]
-        for m in IBAN.finditer(text):
-            if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-                out.append(("iban", *m.span()))
+        out += [("iban", a, b) for a, b in ibans(text)]
     scored = []
     for kind, start, end in out:
         around = f"{text[max(0, start - REACH) : start]} {text[end : end + REACH]}".lower()

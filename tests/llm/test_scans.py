@@ -76,6 +76,15 @@ def test_iban_and_context():
     assert not [s for s in pii.find_personal("DE89 3704 0044 0532 0130 01") if s[0] == "iban"]
 
 
+def test_iban_before_other_tokens():
+    ibans = lambda t: [t[s[1] : s[2]] for s in pii.find_personal(t) if s[0] == "iban"]
+    assert ibans("IBAN GB82WEST12345698765432 BIC DEUTDEFF") == ["GB82WEST12345698765432"]
+    assert ibans("DE89370400440532013000 EUR 500") == ["DE89370400440532013000"]
+    assert ibans("DE89 3704 0044 0532 0130 00 2024-01-01") == ["DE89 3704 0044 0532 0130 00"]
+    assert ibans("AB12 DE89370400440532013000") == ["DE89370400440532013000"]
+    assert ibans("DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+
+
 def test_odd_rows(spark, odd, empty):
     for scan in (secrets.scan_secrets, pii.scan_personal):
         assert scan(odd).count() == odd.count() and scan(empty).count() == 0
