@@ -30,11 +30,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least bits per character in a window, by the class of the whole candidate.
 THRESHOLDS = {"hex": 2.9, "alphanumeric": 3.6, "base64": 3.8}
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i)example|placeholder|dummy|sample|changeme|xxxx|your[_-]|1234567890|abcdefgh"),
-    re.compile(r"[a-z0-9]+([-_/][a-z0-9]{1,12})+"),  # slugs and paths
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|dummy|sample|changeme|xxxx|your[_-]|1234567890|abcdefgh")
+SLUG = re.compile(r"[a-z0-9]{1,12}([-_/][a-z0-9]{1,12})+")  # slugs and paths
+PART_OF_RUN = re.compile(r"[A-Za-z0-9]+")
+JOINTS = "+/_=-"
 #: c * log2(c), for the counts of a window.
 PART = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -80,6 +80,23 @@ def hot_stretches(run: str, least: float) -> list[tuple[int, int, float]]:
     return out
 
 
+def pieces(run: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a run is left, as (start, end), without the spans taken, UUIDs, and parts that hold a placeholder.
+
+    One joint next to what was taken out goes with it.
+    """
+    out = taken + [m.span() for m in UUID.finditer(run)]
+    if PLACEHOLDER.search(run):
+        out += [m.span() for m in PART_OF_RUN.finditer(run) if PLACEHOLDER.search(run, m.start(), m.end() + 1)]
+    left, at = [], 0
+    for start, end in sorted(out):
+        if start > at:
+            left.append((at, start - (run[start - 1] in JOINTS)))
+        if end > at:
+            at = end + (run[end : end + 1] in JOINTS and end < len(run))
+    return [*left, (at, len(run))]
+
+
 def bits_of(text: str) -> float:
     n = len(text)
     return -sum(k / n * math.log2(k / n) for k in (text.count(c) for c in set(text)))
@@ -94,13 +111,19 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float]]:
     if "AKIA" in text:
         base += [("access", *m.span(), bits_of(m[0])) for m in ACCESS.finditer(text)]
     added: list[tuple[str, int, int, float]] = []
+    known = list(base)
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
         kind = kind_of(run)
         base += [("hex", at + h.start(), at + h.end(), bits_of(h[0])) for h in HEX.finditer(run)]
-        if kind and not any(p.fullmatch(run) if i == 2 else p.search(run) for i, p in enumerate(ALLOWED)):
-            added += [("entropy", at + a, at + b, bits) for a, b, bits in hot_stretches(run, THRESHOLDS[kind])]
-    added = [s for s in added if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        if not kind:
+            continue
+        taken = [h.span() for h in HEX.finditer(run)]
+        taken += [(max(a, at) - at, min(b, m.end()) - at) for _, a, b, _ in known if a < m.end() and at < b]
+        for start, end in pieces(run, taken):
+            piece = run[start:end]
+            if len(piece) >= WINDOW and (kind := kind_of(piece)) and not SLUG.fullmatch(piece):
+                added += [("entropy", at + start + a, at + start + b, bits) for a, b, bits in hot_stretches(piece, THRESHOLDS[kind])]
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
