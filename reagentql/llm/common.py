@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The session's own setting wins; only where it is unset (tests, local runs) is a
-    folder next to the warehouse used.
+    The session's own setting wins; only where it is unset in a local session (tests) is a
+    folder next to the warehouse used.  On a cluster it must be set.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -26,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     context.setCheckpointDir(folder)
     return folder
@@ -37,6 +40,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables in a folder of their own within the shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+
+    def spill(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it back."""
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write the result, and delete the tables that led to it; the result's own stays for its reader."""
+        used = list(self.paths)
+        out = self.spill(df)
+        for path in used:
+            delete(self.spark, path)
+        return out
+
+
+#: A key is hot if it holds over this part of all rows: fewer keys than that can be. Hot keys are dealt over SALTS tasks.
+HOT_PART, SALTS = 1000, 64
+
+
+def join_on_hot(rows: DataFrame, info: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of ``info`` for their key; rows of other keys drop out.
+
+    ``info`` has each key once, and as n its number of rows.  The fewer than HOT_PART keys that
+    hold over one HOT_PART-th of the rows are broadcast to salt their rows, so that no task gets
+    all rows of a hot key.
+    """
+    hot = F.col("n") * HOT_PART > F.lit(total)
+    few = F.broadcast(info.where(hot).select(key, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(few, key, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(info.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__salt", "n")
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null text becomes empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
