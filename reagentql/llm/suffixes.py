@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reagentql.llm.common import BoundedCache, checkpoint_dir, id_and_text, map_texts
+from reagentql.llm.common import BoundedCache, Scratch, id_and_text, join_on_hot, map_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY, WINDOW = 27, 24
@@ -31,6 +32,8 @@ LEAST = KEY + WINDOW - 1
 REACH = WINDOW - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Rows that are compared at a time; a longer group of one key is held as 20 bytes a row.
+HELD = 100_000
 
 
 @functools.lru_cache(1)
@@ -72,13 +75,6 @@ def anchors(keys: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(views.argmin(1) + np.arange(len(views)))
 
 
-def spill(df: DataFrame) -> DataFrame:
-    """Write to a table in the shared checkpoint folder and read it back."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/suffixes-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _kept_suffixes(rows: DataFrame) -> DataFrame:
     def make():
         def run(ids, texts):
@@ -108,11 +104,14 @@ def _with_surroundings(rows: DataFrame) -> DataFrame:
             out = [], [], [], [], []
             for doc_id, text, chosen in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "chosen"))):
                 words = word_hashes(text)
+                keys = key_hashes(words).view(np.int64)
                 short = (words >> np.uint64(32)).astype(">u4") | np.uint32(1)  # never the padding 0
                 back = short[::-1]
                 for s in chosen:
                     a, end = s["at"], s["at"] + KEY
                     n = len(words)
+                    if a >= len(keys) or keys[a] != s["key"]:
+                        continue  # of another text with this id
                     for column, value in zip(
                         out,
                         (s["key"], doc_id, a, short[end : end + REACH].tobytes(), back[n - a : n - a + REACH].tobytes()),
@@ -124,90 +123,137 @@ def _with_surroundings(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, at int, after binary, before binary")
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """Equal leading words of two runs of four-byte hashes."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
-    return (8 * n - differ.bit_length()) // 32
+def padded(runs: pa.Array) -> np.ndarray:
+    """Runs of four-byte hashes as rows of REACH numbers, 0 where a run has ended."""
+    data = runs.to_pylist()
+    lengths = np.fromiter(map(len, data), np.int64, len(data)) // 4
+    out = np.zeros((len(data), REACH), np.uint32)
+    out[np.arange(REACH) < lengths[:, None]] = np.frombuffer(b"".join(data), np.uint32)
+    return out
 
 
-def _compare(batches, name: str):
-    """Neighbours of sorted suffixes: the longest common run with another document's, each way.
+def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal leading words of each two rows of padded runs."""
+    return np.where((a != b) | (a == 0), np.arange(a.shape[1]), a.shape[1]).min(1, initial=a.shape[1])
+
+
+def _least_from_left(steps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The running minimum of steps (0 to REACH) within each group; groups are numbered upwards."""
+    lift = group * (REACH + 1)
+    return np.minimum.accumulate(steps - lift) + lift
 
-    The first and last suffix of each partition are passed on as edges, to be compared
-    with those of the partitions next to it.
-    """
-    rows = []  # of the key at hand: (run, doc, at)
-    first = last = None
-
-    def ext(rows):
-        best = [0] * len(rows)
-        for order in (range(len(rows)), range(len(rows) - 1, -1, -1)):
-            # The nearest row of another document: if not the row before, then the last one
-            # before its document's run; common runs only shrink along the order.
-            before = other = None
-            shared = 0
-            for i in order:
-                run, doc, _ = rows[i]
-                if before is not None:
-                    step = common_words(run, rows[before][0])
-                    if rows[before][1] != doc:
-                        other, shared = before, step
-                    elif other is not None:
-                        shared = min(shared, step)
-                    if other is not None:
-                        best[i] = max(best[i], shared)
-                before = i
-        return best
-
-    def emit(key, rows):
-        best = ext(rows)
-        yield from ((key, d, a, e, None) for (_, d, a), e in zip(rows, best))
-
-    pending, size, key = [], 0, None
-
-    def batch_of(found):
-        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()
-        columns = list(zip(*found)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "doc_id", "at", "ext", "edge"])
 
+def neighbours(key, doc, step, open_left: bool, open_right: bool):
+    """The longest run each row shares with a row of another document, of rows sorted by key and run.
+
+    ``step`` is the common run with the row before.  Common runs only shrink along the order,
+    so the nearest row of another document on either side has the longest.  Also given, for
+    rows whose nearest such row may lie before the first (or after the last) row: the words
+    shared with that first (last) row; -1 for the others.
+    """
+    n = len(key)
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    start = new_key | np.concatenate([[True], doc[1:] != doc[:-1]])
+    group = np.cumsum(start) - 1
+    left = _least_from_left(np.where(new_key, 0, step), group)
+    after = np.append(np.where(new_key[1:], 0, step[1:]), 0)
+    right = _least_from_left(after[::-1], (group[-1] - group)[::-1])[::-1]
+    from_left, from_right = np.full(n, -1), np.full(n, -1)
+    if open_left:
+        first = group == 0
+        from_left[first] = np.minimum.accumulate(np.append(REACH, step[first][1:]))
+    if open_right:
+        last = group == group[-1]
+        from_right[last] = np.minimum.accumulate(np.append(REACH, step[last][1:][::-1]))[::-1]
+    return left, right, from_left, from_right
+
+
+ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("ext", pa.int32()), ("from_left", pa.int32()), ("from_right", pa.int32()), ("part", pa.int32()), ("edge", pa.binary())])
+
+
+def _compare(batches, name: str, part: int):
+    """Each suffix's longest run in common with another document, among the rows of one partition.
+
+    The partition's first and last suffix come once more as edges, with their run and, as ext,
+    what they share with the nearest other document after (before) them.
+    """
+    def pack(key, doc, at, ext, left, right, edges=None):
+        columns = key, doc, at, ext, left, right, np.full(len(key), part)
+        runs = pa.nulls(len(key), pa.binary()) if edges is None else pa.array(edges, pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(c).cast(f.type) for c, f in zip(columns, ROW)), runs], schema=ROW)
+
+    def emit(held, first, last):
+        key, doc, at, step = (np.concatenate(c) for c in zip(*held))
+        left, right, from_left, from_right = neighbours(key, doc, step, first, last)
+        yield pack(key, doc, at, np.maximum(left, right), from_left, from_right)
+        for here, i, value in ((first, 0, right), (last, -1, left)):
+            if here:
+                one = slice(i, None) if i else slice(0, 1)
+                yield pack(key[one], doc[one], at[one], value[one], from_left[one], from_right[one], [runs[i]])
+
+    held, first, before, runs = [], True, None, [b"", b""]
     for batch in batches:
-        for k, d, a, run in zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "at", name))):
-            if k != key and rows:
-                pending.extend(emit(key, rows))
-                rows = []
-                if len(pending) > 50_000:
-                    yield batch_of(pending)
-                    pending = []
-            elif len(rows) >= 100_000:  # a very large group goes in pieces that overlap
-                pending.extend(emit(key, rows))
-                rows = rows[-1:]
-            key = k
-            rows.append((run, d, a))
-            last = (k, d, a, 0, run)
-            first = first or last
-    if rows:
-        pending.extend(emit(key, rows))
-    if first:
-        pending.extend([first, last])
-    yield batch_of(pending)
-
-
-def _extend(around: DataFrame, name: str) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        key, doc, at = (batch.column(n).to_numpy() for n in ("key", "doc_id", "at"))
+        words = padded(batch.column(name))
+        step = np.append(0 if before is None else common_words(before, words[:1]), common_words(words[:-1], words[1:]))
+        if before is None:
+            runs[0] = batch.column(name)[0].as_py()
+        before, runs[-1] = words[-1:], batch.column(name)[batch.num_rows - 1].as_py()
+        held.append((key, doc, at, step))
+        if sum(len(h[0]) for h in held) < HELD or held[0][0][0] == key[-1]:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        end = int(np.searchsorted(columns[0], key[-1]))
+        yield from emit([[c[:end] for c in columns]], first, False)
+        held, first = [[c[end:] for c in columns]], False
+    if held:
+        yield from emit(held, first, True)
+
+
+def joined_edges(edges: list) -> list[tuple[int, int, int]]:
+    """(part, left, right): what the rows of each part share with the nearest other document outside it.
+
+    ``edges`` has first and last (key, doc_id, ext, from_left, from_right, part, edge) of each part, in order.
+    A value holds for rows that reach that end of the part (from_left, from_right).
+    """
+
+    def walk(pairs, open_of):
+        out, key, doc, run, shared = {}, None, None, None, 0
+        for near, far in pairs:
+            into = 0
+            if near["key"] == key:
+                common = int(common_words(padded(pa.array([run], pa.binary())), padded(pa.array([near["edge"]], pa.binary())))[0])
+                into = common if near["doc_id"] != doc else min(common, shared)
+            out[near["part"]] = into
+            key, doc, run = far["key"], far["doc_id"], far["edge"]
+            # A part of one document and key only passes on what came in.
+            shared = far["ext"] if far[open_of] < 0 else min(into, far[open_of])
+        return out
+
+    pairs = [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
+    left = walk(pairs, "from_left")
+    right = walk([(b, a) for a, b in reversed(pairs)], "from_right")
+    return [(p, left[p], right[p]) for p in left]
+
+
+def _extend(around: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """key, doc_id, at, ext: words by which each suffix's match reaches beyond its key on one side."""
-    schema = "key long, doc_id long, at int, ext int, edge binary"
     rows = around.select("key", "doc_id", "at", name)
     order = ["key", name, "doc_id", "at"]
-    n = max(1, int(around.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = around.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = spill(dealt.mapInArrow(lambda b: _compare(b, name), schema))
-    # Two edges a partition: compared in order once more.
-    edges = found.where("edge IS NOT NULL").select("key", "doc_id", "at", F.col("edge").alias(name)).distinct()
-    again = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(lambda b: _compare(b, name), schema)
-    both = found.where("edge IS NULL").union(again.where("edge IS NULL"))
-    return both.select("key", "doc_id", "at", "ext")
+    kinds = "key long, doc_id long, at int, ext int, from_left int, from_right int, part int, edge binary"
+    found = scratch.spill(dealt.mapInArrow(lambda b: _compare(b, name, TaskContext.get().partitionId()), kinds))
+    # Two edges a partition.
+    edges = [r.asDict() for r in found.where("edge IS NOT NULL").collect()]
+    edges.sort(key=lambda r: (r["part"], r["key"], r["edge"], r["doc_id"], r["at"]))
+    ends = spark.createDataFrame(joined_edges(edges), "part int, left int, right int")
+    both = found.where("edge IS NULL").join(F.broadcast(ends), "part", "left")
+    ext = F.greatest("ext", F.least("left", "from_left"), F.least("right", "from_right")).cast("int")
+    return both.select("key", "doc_id", "at", ext.alias("ext"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,30 +263,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passage lies in a run of at least 27 words that another document shares.  ``first_doc``
     is the smallest id among the documents that share any of the passage's keys: where it is
     the row's own id, the passage is not a later copy.  Null, empty and short texts have no
-    passages; ids must be whole numbers; rows that repeat an id count as one document.
+    passages; ids must be whole numbers (rows without one have none).  Rows that repeat an id
+    are one document, whose passages are those of all its texts, by position.  An empty table
+    gives no rows.
     """
     rows = id_and_text(docs, id_col, text_col)
-    kept = spill(_kept_suffixes(rows))
-    several = kept.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    several = spill(several.where("first_doc < last_doc").select("key", "first_doc"))
-    shared = spill(kept.join(several, "key"))
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.spill(_kept_suffixes(rows).where("doc_id IS NOT NULL"))
+    several = kept.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+    several = scratch.spill(several.where("first_doc < last_doc").select("key", "first_doc", "n"))
+    shared = scratch.spill(join_on_hot(kept, several, "key", kept.count()))
     chosen = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("chosen"))
-    around = spill(_with_surroundings(rows.join(chosen, "doc_id").select("doc_id", "text", "chosen")))
+    around = scratch.spill(_with_surroundings(rows.join(chosen, "doc_id").select("doc_id", "text", "chosen")))
     parts = [
-        _extend(around, "after").select("doc_id", "at", F.lit(0).alias("left"), F.col("ext").alias("right")),
-        _extend(around, "before").select("doc_id", "at", F.col("ext").alias("left"), F.lit(0).alias("right")),
+        _extend(around, "after", scratch).select("doc_id", "at", F.lit(0).alias("left"), F.col("ext").alias("right")),
+        _extend(around, "before", scratch).select("doc_id", "at", F.col("ext").alias("left"), F.lit(0).alias("right")),
         shared.select("doc_id", "at", F.lit(0).alias("left"), F.lit(0).alias("right")),
     ]
     spans = parts[0].union(parts[1]).union(parts[2]).groupBy("doc_id", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     spans = spans.join(shared.groupBy("doc_id", "at").agg(F.min("first_doc").alias("first_doc")), ["doc_id", "at"])
-    span = F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + KEY + F.col("right")).alias("end"), "first_doc")
-    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("s"))
-    step = """
-      aggregate(s, cast(array() AS array<struct<start:int,end:int,first_doc:bigint>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND x.start <= a[size(a) - 1].end
-             THEN concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start AS start,
-                    greatest(a[size(a) - 1].end, x.end) AS end, least(a[size(a) - 1].first_doc, x.first_doc) AS first_doc)))
-             ELSE concat(a, array(struct(x.start AS start, x.end AS end, x.first_doc AS first_doc))) END)"""
-    merged = listed.select("doc_id", F.explode(F.expr(step)).alias("p")).select("doc_id", "p.*")
+    spans = spans.select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + KEY + F.col("right")).alias("end"), "first_doc")
+    # Spans that touch are one passage.
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    spans = spans.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy("doc_id", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
     merged = merged.withColumn("n_words", F.col("end") - F.col("start")).where(F.col("n_words") >= LEAST)
-    return merged.select("doc_id", "start", "end", "n_words", "first_doc")
+    return scratch.last(merged.select("doc_id", "start", "end", "n_words", "first_doc"))
