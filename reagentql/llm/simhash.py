@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reagentql.llm.common import cut, id_and_text, map_texts
+from reagentql.llm.common import cut, id_and_text, join_on_hot, map_texts
 from reagentql.llm.graph import components
 
 SEED = 42
@@ -145,8 +145,9 @@ def links_within_two(prints: DataFrame) -> DataFrame:
 
     keys = prints.select("node", "fp").mapInArrow(keyed, "key long, node long, fp long")
     counts = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = keys.join(counts, "key")
-    few = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = join_on_hot(keys, counts.withColumn("many", F.col("n") > BUCKET), "key", total)
+    few = shared.where("not many").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m"))
     pairs = few.select(F.posexplode("m").alias("i", "x"), "m").select(
         F.col("x.node").alias("a"),
         F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (F.bit_count(y["fp"].bitwiseXOR(F.col("x.fp"))) <= 2))).alias("y"),
@@ -154,7 +155,7 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     near = F.concat(
         F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     )
-    many = shared.where(F.col("n") > BUCKET).select("node", "fp").distinct()
+    many = shared.where("many").select("node", "fp").distinct()
     meet = many.select("node", F.explode(near).alias("z")).groupBy("z").agg(F.sort_array(F.collect_list("node")).alias("m")).where(F.size("m") > 1)
     stars = meet.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, 64)).alias("b"))
     return pairs.select("a", F.col("y.node").alias("b")).union(stars).distinct()
