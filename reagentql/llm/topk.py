@@ -5,6 +5,9 @@ are packed into blocks of bounded size; each pair of blocks is one row of a join
 keys are unique on both sides, so no pair is hot.  In a pair every query scatters its
 weighted postings into a dense score array of the block's candidates, selects its best k,
 and the selections are merged.
+
+Products are summed in 32, 64 or, where a sum could pass 63 bits, in Python's whole numbers,
+so none of them wraps.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
 def best_of_block(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidates: list, k: int) -> tuple[list, list, list]:
     """For each query its k best of the candidates (sorted by id), own id excepted, as query, id and score columns."""
     dims = max([len(v) for v in candidates], default=0)
+    widest = max([abs(x) for v in candidates for x in v], default=0)
     full = np.zeros((dims, len(candidates)), np.int64)
     for i, v in enumerate(candidates):
         full[: len(v), i] = v
@@ -47,8 +51,8 @@ def best_of_block(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidate
     for row in full:
         used = np.flatnonzero(row)
         postings.append((None, row) if len(used) * 4 > len(row) else (used, row[used]))
-    big = max([abs(x) for v in queries for x in v], default=0) * int(np.abs(full).max(initial=0)) * max(dims, 1)
-    kind = np.int32 if big < 2**31 else np.int64
+    big = max([abs(x) for v in queries for x in v], default=0) * widest * max(dims, 1)
+    kind = np.int32 if big < 2**31 else np.int64 if big < 2**63 else object
     postings = [(at, w.astype(kind)) for at, w in postings]
     n, out_q, out_c, out_s = len(candidates), [], [], []
     order = np.arange(n - 1, -1, -1, dtype=np.int64)  # smaller ids win ties
@@ -58,9 +62,9 @@ def best_of_block(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidate
             if x:
                 at, w = postings[t]
                 if at is None:
-                    scores += w * kind(x)
+                    scores += w * np.array(x, kind)
                 else:
-                    scores[at] += w * kind(x)
+                    scores[at] += w * np.array(x, kind)
         if big < 2**40:
             rank = scores.astype(np.int64) * n + order
             own = np.searchsorted(c_ids, q)
@@ -69,7 +73,9 @@ def best_of_block(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidate
             top = np.argpartition(rank, max(0, n - k))[max(0, n - k) :] if n > k else np.arange(n)
             top = top[np.argsort(-rank[top])]
         else:
-            top = np.lexsort((c_ids, -scores.astype(object)))
+            if kind is object:
+                scores = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in scores.tolist()], np.int64)
+            top = np.lexsort((c_ids, ~scores))
         top = [i for i in top[: k + 1].tolist() if c_ids[i] != q][:k]
         out_q += [q] * len(top)
         out_c += c_ids[top].tolist()
@@ -92,6 +98,8 @@ def exact_top_k(
     ``is_query`` is a condition on ``id_col``.  Ties go to the smaller id; a query with
     fewer than k other vectors gets all of them.  Missing components count as zero.  Of rows
     that repeat an id the smallest vector takes part; rows without an id do not.  An empty table gives no rows.
+    A component beyond 64 bits counts as the nearest 64-bit whole number, and so does a score,
+    after its products are summed exactly.
     """
     rows = whole_vectors(vectors, id_col, vector_col, scale)
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
