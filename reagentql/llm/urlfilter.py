@@ -27,6 +27,8 @@ RULES: tuple[Rule, ...] = (
 )
 #: Parts into which the sample is dealt, so that its features are computed side by side.
 SAMPLE_PARTS = 12
+#: Rows of the sample that a suffix needs for a rate of its own.
+LEAST_SUFFIX = 20
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "suffix_rate", "longest_label")
 
 
@@ -62,9 +64,9 @@ def with_features(df: DataFrame, url_col: str, suffix_rates: dict[str, float]) -
     letters = F.array_distinct(F.filter(F.split(lowered, ""), lambda c: c != ""))
     runs = F.aggregate(letters, F.lit(0.0), lambda a, c: a + seen(c) * F.log2(seen(c)))
     labels = F.split("host", r"\.")
-    rate = F.lit(0.0)
-    for suffix, value in sorted(suffix_rates.items()):
-        rate = F.when(F.col("suffix") == suffix, F.lit(value)).otherwise(rate)
+    # One literal map: at most a sample's suffixes, each of LEAST_SUFFIX rows or more.
+    known = [F.lit(x) for item in sorted(suffix_rates.items()) for x in item]
+    rate = F.coalesce(F.try_element_at(F.create_map(*known), F.col("suffix")), F.lit(0.0)) if known else F.lit(0.0)
     df = df.withColumn("suffix", F.element_at(labels, -1))
     return df.withColumns(
         {
@@ -116,17 +118,25 @@ def train(
 ) -> UrlModel:
     """Fit on at most ``sample`` labelled URLs (label 1: block), picked by hash.
 
-    Without rows of both labels the model has no trees and allows everything.
+    Without rows of both labels the model has no trees and allows everything, so does an empty
+    table's.  Prior and suffix rates are of the whole sample; a suffix with fewer than
+    LEAST_SUFFIX rows in it has none, so there are at most ``sample`` / LEAST_SUFFIX of them.
+    Equal rows count as often as they occur; null labels are no rows; a null url is an empty one.
     """
-    picked = labelled.orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample).repartition(SAMPLE_PARTS, url_col)
+    picked = labelled.where(F.col(label_col).isNotNull()).orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample).repartition(SAMPLE_PARTS, url_col)
     by_suffix = with_parts(picked, url_col).groupBy(F.element_at(F.split("host", r"\."), -1).alias("suffix"))
-    rows = by_suffix.agg(F.count("*").alias("n"), F.sum(label_col).alias("bad")).orderBy(F.desc("n"), "suffix").limit(50).collect()
-    total, bad = sum(r["n"] for r in rows), sum(r["bad"] for r in rows)
+    counts = by_suffix.agg(F.count("*").alias("n"), F.sum(label_col).alias("bad"))
+    seen = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        F.collect_list(F.when(F.col("n") >= LEAST_SUFFIX, F.struct("suffix", "n", "bad"))).alias("suffixes"),
+    ).first()
+    total, bad = seen["n"], seen["bad"]
     if not 0 < bad < total:
         return UrlModel()
     prior = math.log(bad / (total - bad))
     model = UrlModel(
-        {r["suffix"]: math.log((r["bad"] + 1) / (r["n"] - r["bad"] + 1)) - prior for r in rows if r["n"] >= 20}, prior
+        {r["suffix"]: math.log((r["bad"] + 1) / (r["n"] - r["bad"] + 1)) - prior for r in seen["suffixes"]}, prior
     )
     features = with_features(with_parts(picked, url_col), url_col, model.suffix_rates)
     cuts = features.agg(
@@ -199,10 +209,12 @@ def judge_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of ``pages``.
 
-    The longest fitting rule decides; URLs that no rule fits are judged by trees trained on
-    those that a rule does fit (at most ``sample`` of them).  ``score`` is the trees'
-    log-odds of block for every URL.  A null url has empty parts and fits no rule.
-    Repeated rows give repeated results.
+    The longest fitting rule decides; URLs that no rule fits are judged by trees.  There are no
+    other labels than the rules' own verdicts: the trees are trained on the URLs that a rule
+    fits (at most ``sample`` of them), so they carry the rules over to other URLs that look
+    alike.  ``score`` is the trees' log-odds of block for every URL.  A null url has empty parts
+    and fits no rule; URLs may have any length; further columns are not read; repeated rows give
+    repeated results; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     parts = with_parts(rows, "url").withColumns({"rule": rule_column(rules, 0), "by_rule": rule_column(rules, 1)})
