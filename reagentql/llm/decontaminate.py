@@ -2,9 +2,9 @@
 
 A seed is a fixed mask over consecutive tokens; the tokens at its ones are hashed and
 those at its zeros ignored, so a substituted word spoils only the seeds that look at it.
-The hashes of all benchmark items form a table (in blocks of bounded size), every
-document looks its own hashes up in it, and each hit is verified by aligning item and
-document around it.
+The hashes of all benchmark items form a sorted table (in blocks of bounded size), every
+document's hashes are joined with it by binary search, and the hits are verified by aligning
+item and document around them, each alignment once.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reagentql.llm.common import BoundedCache, id_and_text, map_texts
+from reagentql.llm.common import BoundedCache, Scratch, id_and_text, map_texts
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Masks of six looked-at tokens, each within ten or eleven.
 MASKS = ("1101100101", "1011010011", "11000110101", "1110100011")
-#: A match needs this many equal tokens in its best stretch (fewer for shorter items), at this share of it.
+#: A match needs this many equal tokens in its best stretch (IDENTITY of an item's tokens if that is less), at this share of it.
 MATCHED, IDENTITY = 12, 0.75
-#: Benchmark characters that are matched in one pass over the documents.
+#: Benchmark characters that are matched in one pass over the documents: a table of about 250 MB at most.
 BLOCK_CHARS = 16_000_000
-BITS = 20
+#: Hits that are expanded, and tokens that are aligned, at a time.
+HITS, ALIGNED = 1 << 20, 1 << 21
 
 
 def token_hash(token: str) -> int:
@@ -50,7 +51,7 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     n = len(tokens) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, len(mask) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+    out = np.full(n, int("1" + mask, 2) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
     for at in (i for i, c in enumerate(mask) if c == "1"):
         out = (out ^ tokens[at : at + n]) * np.uint64(0xFF51AFD7ED558CCD)
         out ^= out >> np.uint64(32)
@@ -62,70 +63,160 @@ def masks_for(n: int) -> tuple[str, ...]:
     return MASKS if n >= max(map(len, MASKS)) else ("1" * n,)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with the most matches less mismatches."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.argmax(total[: end + 1] == lowest[end]))
-    while start < end and not equal[start]:
-        start += 1
-    return start, end, int(equal[start:end].sum())
+def needed(n: np.ndarray) -> np.ndarray:
+    """Equal tokens that an item of n tokens needs; all of one shorter than the masks."""
+    return np.where(n < max(map(len, MASKS)), n, np.minimum(MATCHED, np.ceil(IDENTITY * n))).astype(np.int64)
+
+
+def best_stretches(equal: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and matches of the stretch with the most matches less mismatches, per alignment.
+
+    ``equal`` has the alignments one after another, none of them empty.  Of equal stretches the
+    one that ends first counts, from the earliest start.
+    """
+    # Each alignment gets a place before its first token, with a total of zero.
+    first = np.cumsum(lengths + 1) - lengths - 1
+    of = np.repeat(np.arange(len(lengths)), lengths + 1)
+    step = np.zeros(len(of), np.int64)
+    inner = np.ones(len(of), bool)
+    inner[first] = False
+    step[inner] = np.where(equal, 1, -1)
+    total = np.cumsum(step)
+    total -= total[first][of]
+    lift = of * (2 * int(lengths.max()) + 2)
+    lowest = np.minimum.accumulate(total - lift) + lift
+    gain = total - lowest
+    most = np.maximum.reduceat(gain, first)
+    at = np.flatnonzero(gain == most[of])
+    end = at[np.searchsorted(of[at], np.arange(len(lengths)))]
+    lows = np.flatnonzero(total == lowest[end][of])
+    start = lows[np.searchsorted(of[lows], np.arange(len(lengths)))]
+    matches = ((end - start) + (total[end] - total[start])) // 2
+    return start - first, end - first, matches
 
 
 class SeedTable:
-    """The seeds of one block of benchmark items."""
+    """The seeds of one block of benchmark items, as arrays sorted by hash."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        self.masks: set[str] = set()
-        for k, (_, tokens) in enumerate(items):
-            if not len(tokens):
-                continue
-            for mask in masks_for(len(tokens)):
-                self.masks.add(mask)
-                for q, h in enumerate(seed_hashes(tokens, mask).tolist()):
-                    self.at.setdefault(h, []).append((k, q))
-        self.maybe = np.zeros(1 << BITS, bool)
-        self.maybe[np.array(list(self.at), np.uint64) >> np.uint64(64 - BITS)] = True
-        self.masks = sorted(self.masks)
+        items = [(i, t) for i, t in items if len(t)]
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.length = np.array([len(t) for _, t in items], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.uint64)
+        parts, self.masks = [], sorted({m for n in self.length.tolist() for m in masks_for(n)})
+        for mask in self.masks:
+            for k in np.flatnonzero([mask in masks_for(n) for n in self.length.tolist()]).tolist():
+                h = seed_hashes(items[k][1], mask)
+                parts.append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
+        h, item, at = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 2)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.item, self.at = h[order], item[order], at[order]
+        self.shift = np.uint64(64 - min(24, max(20, int(len(h)).bit_length() + 3)))
+        self.maybe = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
+        self.maybe[self.hash >> self.shift] = True
+
+    def _hits(self, tokens: np.ndarray):
+        """Alignments (item, shift) of the seeds that document and items share, a bounded number of hits at a time."""
+        found = []
+        for mask in self.masks:
+            hashes = seed_hashes(tokens, mask)
+            p = np.flatnonzero(self.maybe[hashes >> self.shift])
+            if len(p):
+                low = np.searchsorted(self.hash, hashes[p])
+                n = np.searchsorted(self.hash, hashes[p], "right") - low
+                found.append((p[n > 0], low[n > 0], n[n > 0]))
+        if not found:
+            return
+        p, low, n = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(p, kind="stable")
+        p, low, n = p[order], low[order], n[order]
+        # Pieces of one seed's items, should it have more than HITS.
+        pieces = (n - 1) // HITS + 1
+        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        p, low, n = np.repeat(p, pieces), np.repeat(low, pieces) + part * HITS, np.minimum(np.repeat(n, pieces) - part * HITS, HITS)
+        piece = np.cumsum(n) // HITS
+        for at in np.split(np.arange(len(p)), np.flatnonzero(np.diff(piece)) + 1):
+            if len(at):
+                times = n[at]
+                of = np.repeat(low[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                shift = np.repeat(p[at], times) - self.at[of]
+                both = np.unique(self.item[of].astype(np.int64) << 32 | shift + (1 << 31))
+                yield both >> 32, (both & (1 << 32) - 1) - (1 << 31)
+
+    def _aligned(self, tokens, item, shift):
+        """(row of item, start, end, item_start, matches) of the alignments that are matches."""
+        low, high = np.maximum(0, -shift), np.minimum(self.length[item], len(tokens) - shift)
+        for at in np.split(np.arange(len(item)), np.flatnonzero(np.diff(np.cumsum(high - low) // ALIGNED)) + 1):
+            if len(at):
+                lengths = (high - low)[at]
+                inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                here = np.repeat((low + shift)[at], lengths) + inside
+                there = np.repeat((self.first[item] + low)[at], lengths) + inside
+                start, end, matches = best_stretches(tokens[here] == self.tokens[there], lengths)
+                good = (matches >= needed(self.length[item[at]])) & (matches >= IDENTITY * (end - start))
+                yield from zip(*(c[good].tolist() for c in (item[at], (low + shift)[at] + start, (low + shift)[at] + end, low[at] + start, matches)))
 
     def find(self, tokens: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
-        """(item, start, end, item_start, matches, identity) of the best stretch for each item found."""
-        tried: set[tuple[int, int]] = set()
+        """(item, start, end, item_start, matches, identity) of the best stretch for each item found.
+
+        Best is the one with the most matches, then the first in the document, then in the item.
+        """
         best: dict[int, tuple] = {}
-        for mask in self.masks:
-            hashes = seed_hashes(tokens, mask)
-            for p in np.flatnonzero(self.maybe[hashes >> np.uint64(64 - BITS)]).tolist():
-                for k, q in self.at.get(int(hashes[p]), ()):
-                    shift = p - q
-                    if (k, shift) in tried:
-                        continue
-                    tried.add((k, shift))
-                    item, other = self.items[k]
-                    low, high = max(0, -shift), min(len(other), len(tokens) - shift)
-                    start, end, matches = best_stretch(tokens[low + shift : high + shift] == other[low:high])
-                    if matches >= min(MATCHED, len(other)) and matches >= IDENTITY * (end - start):
-                        row = (item, low + shift + start, low + shift + end, low + start, matches, matches / (end - start))
-                        if k not in best or row[4] > best[k][4]:
-                            best[k] = row
-        return sorted(best.values(), key=lambda r: r[0])
+        for item, shift in self._hits(tokens):
+            for k, start, end, there, matches in self._aligned(tokens, item, shift):
+                row = -matches, start, there, end
+                if k not in best or row < best[k]:
+                    best[k] = row
+        rows = [(int(self.ids[k]), a, b, t, -m, -m / (b - a)) for k, (m, a, t, b) in best.items()]
+        return sorted(rows, key=lambda r: (r[0], r[1], r[3]))
+
+    def any(self, tokens: np.ndarray) -> bool:
+        """Whether some item is found."""
+        return any(True for item, shift in self._hits(tokens) for _ in self._aligned(tokens, item, shift))
 
 
 def seed_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
-    """The benchmark as seed tables of bounded size, one after another.
+    """Functions that give the benchmark as seed tables of bounded size, one each.
 
     The benchmark is the query set: it is dealt into blocks by hash of its ids, and each
-    block is matched against all documents.
+    block is matched against all documents.  Items without an id take no part; repeated rows
+    are one item.
     """
     items = id_and_text(benchmark, id_col, text_col).where(F.col("doc_id").isNotNull())
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(chars / block_chars))
-    cache = BoundedCache(token_hash, 500_000)
-    for k in range(n):
+
+    def build(k):
+        cache = BoundedCache(token_hash, 500_000)
         rows = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k).distinct().orderBy("doc_id", "text").collect()
-        yield SeedTable([(r["doc_id"], token_hashes(r["text"], cache)) for r in rows])
+        return SeedTable([(r["doc_id"], token_hashes(r["text"], cache)) for r in rows])
+
+    return [functools.partial(build, k) for k in range(n)]
+
+
+FOUND = ("doc_id", "item_id", "start", "end", "item_start", "matches", "identity")
+
+
+def _search(rows: DataFrame, shared, column: str, kind: str) -> DataFrame:
+    """The items of a broadcast table in documents given as text or as token hashes."""
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            which, found = [], []
+            for i, value in enumerate(batch.column(column).to_pylist()):
+                tokens = token_hashes(value) if column == "text" else np.frombuffer(value, np.uint64)
+                for row in table.find(tokens):
+                    which.append(i)
+                    found.append(row)
+            columns = list(zip(*found)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(which, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], FOUND
+            )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, start int, end int, item_start int, matches int, identity double")
 
 
 def benchmark_overlaps(
@@ -134,50 +225,54 @@ def benchmark_overlaps(
     """doc_id, item_id, start, end, item_start, matches, identity: one row per document and item found in it.
 
     Positions are tokens, ends exclusive.  An item is found where its best ungapped stretch
-    has at least 12 equal tokens (all of a shorter item's) and three quarters of the stretch
-    are equal.  Null and empty texts and items match nothing; rows repeated in ``docs`` give
-    repeated results; an empty benchmark gives no rows.
+    has at least 12 equal tokens (three quarters of a shorter item's; all of one under 11 tokens)
+    and three quarters of the stretch are equal.  Of several such stretches the one with the most
+    equal tokens is given, then the first.  Null and empty texts and items match nothing; rows
+    repeated in ``docs`` give repeated results; an empty benchmark or table gives no rows; texts of
+    any length are searched whole.
+
+    Where the benchmark has several blocks, documents are tokenised once into a table of their
+    own, and only one block's table is held at a time.
     """
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    context, out = docs.sparkSession.sparkContext, None
-    for table in seed_tables(benchmark, block_chars=block_chars):
-        shared = context.broadcast(table)
-
-        def make(shared=shared):
-            table = shared.value
-
-            def run(ids, texts):
-                which, found = [], []
-                for i, text in enumerate(texts):
-                    for row in table.find(token_hashes(text)):
-                        which.append(i)
-                        found.append(row)
-                columns = list(zip(*found)) or [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(which, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))],
-                    ["doc_id", "item_id", "start", "end", "item_start", "matches", "identity"],
-                )
-
-            return run
-
-        part = map_texts(rows, make, f"doc_id {kind}, item_id long, start int, end int, item_start int, matches int, identity double")
+    context, tables = docs.sparkSession.sparkContext, seed_tables(benchmark, block_chars=block_chars)
+    if len(tables) == 1:
+        return _search(rows, context.broadcast(tables[0]()), "text", kind)
+
+    def make():
+        def run(ids, texts):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([token_hashes(t).tobytes() for t in texts], pa.binary())], ["doc_id", "tokens"])
+
+        return run
+
+    scratch = Scratch(docs.sparkSession)
+    tokens, out = scratch.spill(map_texts(rows, make, f"doc_id {kind}, tokens binary")), None
+    for build in tables:
+        shared = context.broadcast(build())
+        part = scratch.spill(_search(tokens, shared, "tokens", kind))
+        shared.destroy()
         out = part if out is None else out.union(part)
-    return out
+    return scratch.last(out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no benchmark item is found."""
-    context = docs.sparkSession.sparkContext
-    for table in seed_tables(benchmark, block_chars=block_chars):
-        shared = context.broadcast(table)
-
-        def run(batches, shared=shared):
-            table = shared.value
-            for batch in batches:
-                keep = [not table.find(token_hashes(t or "")) for t in batch.column(text_col).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of ``docs``, with all their columns, in which no benchmark item is found.
+
+    Null and empty texts stay; rows that repeat a text stay or go together; an empty benchmark
+    drops nothing; an empty table gives no rows.
+    """
+    context, tables = docs.sparkSession.sparkContext, seed_tables(benchmark, block_chars=block_chars)
+    if len(tables) > 1:
+        texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+        gone = benchmark_overlaps(texts, benchmark, "h", "text", block_chars).select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, F.xxhash64(docs[text_col]) == gone["__gone"], "left_anti")
+    shared = context.broadcast(tables[0]())
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            keep = [not table.any(token_hashes(t or "")) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
