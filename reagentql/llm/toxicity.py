@@ -136,16 +136,19 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
     return {r["feature"]: round(r["s"], 4) for r in scored.where(F.col("s") >= LEAST).collect()}
 
 
-def _scale(scores: list[float], tokens: int) -> float:
-    """The positive root of mean(exp(lambda * score)) = 1 over the tokens of harmless texts."""
+def _scale(scores: list[tuple[float, int]], tokens: int) -> float:
+    """The positive root of mean(exp(lambda * score)) = 1 over the tokens of harmless texts.
+
+    ``scores`` lists each score above zero with its number of tokens.
+    """
     if not scores or not tokens:
         return 1.0
-    rest = (tokens - len(scores)) / tokens * 1.0
-    gain = np.array(scores) - DRIFT
+    gain, times = np.array([s for s, _ in scores]) - DRIFT, np.array([n for _, n in scores])
+    rest = (tokens - int(times.sum())) / tokens
     low, high = 1e-6, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        mean = rest * math.exp(-mid * DRIFT) + float(np.exp(np.minimum(mid * gain, 700)).sum()) / tokens
+        mean = rest * math.exp(-mid * DRIFT) + float((times * np.exp(np.minimum(mid * gain, 700))).sum()) / tokens
         low, high = (mid, high) if mean < 1 else (low, mid)
     return max(low, 0.05)
 
@@ -167,7 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most ``sample`` labelled documents outside the held-out quarter.
 
     Four fifths of them make the lexicon, one fifth the calibration.  Copies of a text count
-    once.  Without documents of both labels the model finds nothing toxic.
+    once.  Without documents of both labels the model finds nothing toxic.  Labels of null ids
+    or null values teach nothing; a document with several labels counts as toxic if one says so.
+
+    The driver gets the lexicon, the scores in it with their counts, and three numbers for each
+    text of the calibration: all bounded by ``sample``, none by the texts' lengths.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -184,27 +191,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         scanner = Scanner(shared.value)
         for batch in batches:
             found = [scanner.scan(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("toxic"),
-                    pa.array([n for n, _ in found], pa.int64()),
-                    pa.array([[i for i, _ in hits] for _, hits in found], pa.list_(pa.int64())),
-                    pa.array([[s for _, s in hits] for _, hits in found], pa.list_(pa.float64())),
-                ],
-                ["toxic", "n", "at", "score"],
-            )
-
-    tune = texts.where("tune").select("text", "toxic").mapInArrow(run, "toxic int, n long, at array<long>, score array<double>").collect()
-    harmless = [r for r in tune if not r["toxic"]]
+            best = [max([s for *_, s in segments(hits)], default=None) for _, hits in found]
+            counts = [[{"score": s, "times": k} for s, k in Counter(s for _, s in hits).items()] for _, hits in found]
+            kind = pa.list_(pa.struct([("score", pa.float64()), ("times", pa.int64())]))
+            columns = [batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64()), pa.array(counts, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "n", "best", "counts"])
+
+    tune = texts.where("tune").select("text", "toxic")
+    scanned = cut(tune.mapInArrow(run, "toxic int, n long, best double, counts array<struct<score:double,times:long>>"))
+    harmless = scanned.where("toxic = 0")
+    scores = harmless.select(F.explode("counts").alias("c")).groupBy("c.score").agg(F.sum("c.times").alias("times")).orderBy("score").collect()
+    sizes = sorted((r["n"], r["best"]) for r in harmless.select("n", F.coalesce("best", F.lit(-1.0)).alias("best")).collect())
     model = ToxicityModel(lexicon)
-    model.scale = _scale([s for r in harmless for s in r["score"]], sum(r["n"] for r in harmless))
-    best = [(max([s for *_, s in segments(list(zip(r["at"], r["score"])))]), r["n"]) for r in harmless if r["score"]]
+    model.scale = _scale([(r["score"], r["times"]) for r in scores], sum(n for n, _ in sizes))
+    best = [(s, n) for n, s in sizes if s > 0]
     if best:
         # Mean of a Gumbel law: location plus Euler's constant times the scale.
         model.constant = math.exp(sum(model.scale * s - math.log(n) for s, n in best) / len(best) - 0.5772156649)
-    x = np.array([math.log1p(model.evidence(r["n"], segments(list(zip(r["at"], r["score"]))))) for r in tune])
-    y = np.array([float(r["toxic"]) for r in tune])
-    if len(tune) and 0 < y.sum() < len(y):
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        model = fitted.value
+        scanner = Scanner(model.lexicon)
+        for batch in batches:
+            found = [scanner.scan(t) for t in batch.column("text").to_pylist()]
+            evidence = [model.evidence(n, segments(hits)) for n, hits in found]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(evidence, pa.float64())], ["toxic", "evidence"])
+
+    weighed = sorted((r["evidence"], r["toxic"]) for r in tune.mapInArrow(weigh, "toxic int, evidence double").collect())
+    x = np.array([math.log1p(e) for e, _ in weighed])
+    y = np.array([float(t) for _, t in weighed])
+    if len(weighed) and 0 < y.sum() < len(y):
         model.slope, model.intercept = _logistic(x, y)
     else:
         model.slope, model.intercept = 4.0, -4.0
@@ -231,7 +248,8 @@ def _scorer(docs: DataFrame, model: ToxicityModel):
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), passages (start, end in tokens, end exclusive, score) for every row.
 
-    Null and empty texts get the score of no evidence.  Repeated rows give repeated results.
+    Null and empty texts get the score of no evidence.  Repeated rows give repeated results, an
+    empty table none; texts of any length are scanned whole.
     """
     scorer = _scorer(docs, model)
 
@@ -254,7 +272,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    """The rows of ``docs``, with all their columns, that score below the threshold.
+
+    Null and empty texts have no evidence and stay; rows that repeat a text stay or go together;
+    an empty table gives no rows.
+    """
     scorer = _scorer(docs, model)
 
     def run(batches):
