@@ -111,7 +111,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float]]:
     if "AKIA" in text:
         base += [("access", *m.span(), bits_of(m[0])) for m in ACCESS.finditer(text)]
     added: list[tuple[str, int, int, float]] = []
-    known = list(base)
+    known = [[(a, b) for k, a, b, _ in base if k == kind] for kind in ("assign", "access")]
+    near = [0, 0]
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
         kind = kind_of(run)
@@ -119,7 +120,13 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float]]:
         if not kind:
             continue
         taken = [h.span() for h in HEX.finditer(run)]
-        taken += [(max(a, at) - at, min(b, m.end()) - at) for _, a, b, _ in known if a < m.end() and at < b]
+        for k, spans in enumerate(known):
+            while near[k] < len(spans) and spans[near[k]][1] <= at:
+                near[k] += 1
+            for a, b in spans[near[k] : near[k] + m.end() - at]:
+                if a >= m.end():
+                    break
+                taken.append((max(a, at) - at, min(b, m.end()) - at))
         for start, end in pieces(run, taken):
             piece = run[start:end]
             if len(piece) >= WINDOW and (kind := kind_of(piece)) and not SLUG.fullmatch(piece):
@@ -131,8 +138,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, spans (kind, start, end, score) for every row of ``docs``.
 
     Starts and ends are code points, ends exclusive; spans are ordered by start, then kind
-    (assign, access, hex, entropy).  A null or empty text has no spans.  Repeated rows give
-    repeated results.
+    (assign, access, hex, entropy).  A null or empty text has no spans; texts of any length are
+    read whole.  Repeated rows give repeated results, an empty table none.
     """
 
     def make():
@@ -156,7 +163,11 @@ def redact(text: str, spans: list[tuple]) -> str:
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """``docs`` with all columns, secrets in the text replaced by markers; a column of sizes follows the text."""
+    """``docs`` with all columns, secrets in the text replaced by markers; a column of sizes follows the text.
+
+    All rows stay, repeated ones too; null and empty texts stay as they are; an empty table gives
+    no rows.
+    """
 
     def run(batches):
         for batch in batches:
