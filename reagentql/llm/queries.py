@@ -111,7 +111,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = ("email", "ip", "card", "phone")
     found = scan_personal(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *map(_count, base), _sha(_spans(base)).alias("base_sha256"), _spans(None).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores")
+    return found.select("doc_id", *map(_count, base), _sha(_spans(base)).alias("base_sha256"), _spans(None).alias("spans"), scores)
 
 
 def queries() -> dict:
