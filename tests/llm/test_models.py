@@ -65,6 +65,23 @@ def _words(rng, n):
     return ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
 
 
+def test_recall_and_precision_of_toxicity(spark):
+    """Held-out labelled rows: most toxic ones are found and few others are."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(labels[r.doc_id], r.predicted) for r in queries.op2_toxicity(spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    found = sum(a == b == 1 for a, b in rows)
+    assert found >= 0.75 * sum(a for a, _ in rows) and found >= 0.75 * sum(b for _, b in rows)
+
+
+def test_drop_toxic_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (1, None)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    kept = toxicity.drop_toxic(odd.union(odd), model)
+    assert kept.columns == odd.columns and kept.count() == 16
+    assert toxicity.drop_toxic(empty, model).collect() == [] == toxicity.drop_toxic(empty, toxicity.fit(empty, labels.limit(0))).collect()
+
+
 def test_decontamination_tolerates_substitutions(spark, odd, empty):
     rng = random.Random(9)
     items = [(i, " ".join(_words(rng, 40))) for i in range(20)] + [(100, "short item of six words here"), (101, None), (102, "")]
@@ -93,6 +110,77 @@ def test_decontamination_tolerates_substitutions(spark, odd, empty):
     assert decontaminate.benchmark_overlaps(table, bench.limit(0)).collect() == []
 
 
+def plain_overlaps(doc, item):
+    """Every alignment tried: (best row, whether any of its seeds is shared) of the alignments that match."""
+    out = []
+    for shift in range(-len(item) + 1, len(doc)):
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        same = [doc[i + shift] == item[i] for i in range(low, high)]
+        seeds = any(
+            all(same[q + i] for i, c in enumerate(mask) if c == "1") for mask in decontaminate.masks_for(len(item)) for q in range(len(same) - len(mask) + 1)
+        )
+        best = None
+        for end in range(1, len(same) + 1):
+            for start in range(end):
+                matches = sum(same[start:end])
+                gain = 2 * matches - (end - start)
+                if best is None or gain > best[0]:
+                    best = gain, start, end, matches
+        _, start, end, matches = best
+        need = len(item) if len(item) < 11 else min(12, -(-3 * len(item) // 4))
+        if matches >= need and matches >= 0.75 * (end - start):
+            out.append(((-matches, low + shift + start, low + start, low + shift + end), seeds))
+    return out
+
+
+def test_overlaps_equal_brute_force(monkeypatch):
+    """All alignments of all items, with few different words, so that seeds and periods abound."""
+    rng = random.Random(2)
+    seen = 0
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(decontaminate, "HITS", 3)
+            monkeypatch.setattr(decontaminate, "ALIGNED", 40)
+        for _ in range(25):
+            words = [f"w{i}" for i in range(rng.choice((2, 4, 12)))]
+            items = [(k, [rng.choice(words) for _ in range(rng.choice((1, 5, 10, 11, 12, 16, 25)))]) for k in range(6)]
+            doc = [rng.choice(words) for _ in range(30)]
+            for k in (1, 3, 5):
+                doc += [w if rng.random() < 0.85 else "other" for w in items[k][1]]
+            hashes = lambda ws: decontaminate.token_hashes(" ".join(ws))
+            table = decontaminate.SeedTable([(k, hashes(ws)) for k, ws in items])
+            want = {}
+            for k, ws in items:
+                if found := [row for row, seeds in plain_overlaps(doc, ws) if seeds]:
+                    want[k] = min(found)
+            got = {k: (-m, a, t, b) for k, a, b, t, m, _ in table.find(hashes(doc))}
+            assert got == want and table.any(hashes(doc)) == bool(want)
+            seen += len(want)
+    assert seen > 60
+
+
+def test_hot_seeds():
+    """Thousands of items that begin alike, against a text made of that beginning."""
+    rng = random.Random(4)
+    start = _words(rng, 20)
+    items = [(k, decontaminate.token_hashes(" ".join(start + _words(rng, 10)))) for k in range(2400)]
+    table = decontaminate.SeedTable(items)
+    found = table.find(decontaminate.token_hashes(" ".join(start * 50)))
+    assert len(found) == 2400 and all(r[1:5] == (0, 20, 0, 20) or r[4] > 20 for r in found)
+
+
+def test_drop_contaminated_of_odd_rows(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "word " * 12), (1, "word " * 12), (None, "plain words and a few more of them"), (2, None)], "item_id long, text string")
+    for chars in (16_000_000, 40):
+        kept = decontaminate.drop_contaminated(odd, bench, block_chars=chars)
+        assert kept.columns == odd.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 4, 5, 6]
+        assert decontaminate.drop_contaminated(empty, bench, block_chars=chars).collect() == []
+    assert decontaminate.drop_contaminated(odd, bench.limit(0)).count() == 8
+    twice = decontaminate.benchmark_overlaps(odd.union(odd), bench, block_chars=40).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in twice] == [(7, 1, 0, 12)] * 2
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage takes effect, and what is clean comes through with the library's ids."""
     import corpus_pipeline

@@ -8,10 +8,11 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from reagentql.llm import graph, neardup, queries, simhash, suffixes, topk
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, SCHEMA
 
 
 def roots(pairs):
@@ -112,6 +113,60 @@ def test_near_duplicates(spark, odd, empty):
     assert neardup.drop_near_duplicates(empty).collect() == []
 
 
+def _similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_all_links_by_similarity_with_templates(spark, monkeypatch):
+    """Pairs at 0.8 to 0.85, to 0.9 and above in groups that share a template: every one is found, and no other.
+
+    ``CELL`` is small, so that shingles of many rows are compared in cells.
+    """
+    monkeypatch.setattr(neardup, "CELL", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for own, changes in ((40, (2, 5, 6)), (60, (2, 5, 6)), (300, (2, 4, 6))):
+        template = [word() for _ in range(300 - own)]
+        for _ in range(130):
+            words = template + [word() for _ in range(own)]
+            other = list(words)
+            for i in rng.sample(range(0, 300, 6), rng.choice(changes)):
+                other[i] = word()
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    rng.shuffle(docs)
+    sets = {d: set(simhash.shingle_hashes(t, 5)) for d, t in docs}
+    ids = sorted(sets)
+    pairs, bands = [], {0.8: 0, 0.85: 0, 0.9: 0}
+    for a in ids:
+        for b in ids[a + 1 :]:
+            if len(sets[a] & sets[b]) > 100 and (s := _similarity(sets[a], sets[b])) >= 0.8:
+                pairs.append((a, b))
+                bands[max(x for x in bands if x <= s)] += 1
+    assert min(bands.values()) > 30
+    want = roots(pairs)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: want.get(d, d) for d in ids}
+
+
+def test_pieces_of_runs(monkeypatch):
+    """Runs longer than a task holds are passed on whole; complete runs without a possible pair are not."""
+    monkeypatch.setattr(neardup, "HELD", 8)
+    key = [1] * 3 + [2] * 30 + [3] * 4 + [4] * 2 + [5] * 3
+    n = len(key)
+    table = pa.table({"key": key, "node": range(n), "comp": [7] * 39 + [1, 2, 3], "size": pa.array([10] * n, pa.int32()), "reach": pa.array([12] * n, pa.int32())})
+    kept = [k for b in neardup._by_run(table.to_batches(max_chunksize=3), neardup.MEET, 1, neardup._meeting) for k in b["key"].to_pylist()]
+    assert kept.count(2) == 30 and kept.count(5) == 3 and not kept.count(4)
+
+
+def test_empty_and_odd_near_duplicates(spark, odd, empty):
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(odd).collect())
+    assert got == sorted((d, 1 if d in (1, 2, 3) else d) for d, *_ in ODD)
+    assert neardup.near_duplicates(empty).collect() == []
+    rows = spark.createDataFrame([(None, "a b c", "en", "s", 1), (None, "a b c", "en", "s", 1), (5, "a b c", "en", "s", 1), (4, "A b c", "en", "s", 1)], SCHEMA)
+    assert sorted(str(r.doc_id) for r in neardup.drop_near_duplicates(rows).collect()) == ["4", "None", "None"]
+
+
 def test_leaders_across_partitions(spark):
     """One fingerprint group larger than any partition ends as one component."""
     rng = random.Random(6)
@@ -143,6 +198,74 @@ def test_repeated_passages(spark, odd, empty):
     assert suffixes.repeated_passages(odd).collect() == [] == suffixes.repeated_passages(empty).collect()
 
 
+def _rows_of_one_key(rng, n):
+    """Rows (key, run, doc, at) with long shared runs and many rows of one document in a row."""
+    words = [rng.integers(1, 1 << 32, 23, dtype=np.uint64).astype(">u4") for _ in range(3)]
+    out = []
+    for i in range(n):
+        run = words[rng.integers(3)].copy()
+        cut = int(rng.integers(0, 24))
+        run[cut : cut + 1] = rng.integers(1, 4)
+        out.append((int(rng.integers(0, 3)) if rng.random() < 0.8 else 9, run[: int(rng.integers(15, 24))].tobytes(), int(rng.choice([1, 1, 1, 1, 2, 3])), i))
+    return sorted(out)
+
+
+def test_neighbours_over_borders(monkeypatch):
+    """Any cuts into partitions, batches and flushes give what comparing all pairs gives."""
+    monkeypatch.setattr(suffixes, "HELD", 5)
+    rng = np.random.default_rng(3)
+
+    def common(a, b):
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        n = min(len(a), len(b))
+        return int(np.argmin(np.append(a[:n] == b[:n], False)))
+
+    for _ in range(40):
+        rows = _rows_of_one_key(rng, 40)
+        want = {r[3]: max([common(r[1], x[1]) for x in rows if x[0] == r[0] and x[2] != r[2]], default=0) for r in rows}
+        cuts = sorted(rng.integers(0, 41, rng.integers(0, 12)).tolist())
+        found = []
+        for part, (low, high) in enumerate(zip([0, *cuts], [*cuts, 40])):
+            columns = list(zip(*rows[low:high])) or [()] * 4
+            table = pa.table({"key": pa.array(columns[0], pa.int64()), "after": pa.array(columns[1], pa.binary()), "doc_id": pa.array(columns[2], pa.int64()), "at": pa.array(columns[3], pa.int32())})
+            for batch in suffixes._compare(table.to_batches(max_chunksize=3), "after", part):
+                found += batch.to_pylist()
+        edges = sorted((r for r in found if r["edge"] is not None), key=lambda r: (r["part"], r["key"], r["edge"], r["doc_id"], r["at"]))
+        ends = {p: (a, b) for p, a, b in suffixes.joined_edges(edges)}
+        got = {r["at"]: max(r["ext"], min(ends[r["part"]][0], r["from_left"]), min(ends[r["part"]][1], r["from_right"])) for r in found if r["edge"] is None}
+        assert got == want
+
+
+def test_repeated_passages_by_partitions(spark):
+    """One passage that a document repeats many times between its copies elsewhere, cut into 1, 4 and 50 partitions."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    docs = [(d, " ".join(word() for _ in range(30)) + " " + " ".join(passage) + " " + word()) for d in (1, 50)]
+    docs += [(7, " ".join(" ".join(passage[2:58]) + " " + word() for _ in range(40)))]
+    docs += [(8, "alone " * 10), (None, " ".join(passage))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(tuple(r) for r in suffixes.repeated_passages(table).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+    assert {(1, 30, 90), (50, 30, 90)} <= {r[:3] for r in results[0]}
+    assert sum(r[0] == 7 and r[3] == 56 for r in results[0]) == 40
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    shared = words(80)
+    rows = [(1, shared), (1, words(300)), (2, words(20) + " " + shared), (2, words(20) + " " + shared)]
+    got = sorted(tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 80, 80, 1), (2, 20, 100, 80, 1)]
+
+
 def test_query_op5_equals_sql(spark, small):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
@@ -162,6 +285,10 @@ def test_top_k_of_odd_rows(spark):
         scores = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:3]
         want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)]
     assert got == want
+    big = [(0, [2.0**40 / 64, -(2.0**40)]), (1, [2.0**30 / 64, 0.0]), (6, [1.0, 0.0]), (2, [2.0**34 / 64, 0.0]), (3, [2.0**50, 2.0**50]), (4, [1e30, 0.0]), (5, [1e30, 0.0])]
+    rows = topk.exact_top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 9).collect()
+    most = 2**63 - 1
+    assert [tuple(r) for r in sorted(rows, key=lambda r: r.rank)] == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 4, most), (0, 4, 5, most), (0, 5, 6, 2**46), (0, 6, 3, -(2**63))]
     assert topk.exact_top_k(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 

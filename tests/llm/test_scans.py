@@ -139,6 +139,25 @@ def test_url_trees_learn(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_suffix_rates_of_more_than_fifty_suffixes(spark):
+    """Prior and rates count every row of the sample."""
+    rows = [(f"https://h{i}.s{k}/x{i}", int(k >= 60)) for k in range(90) for i in range(25)]
+    model = urlfilter.train(spark.createDataFrame(rows, "url string, label int"), "url", "label", sample=10_000, trees=1)
+    assert set(model.suffix_rates) == {f"s{k}" for k in range(90)}
+    assert model.start == pytest.approx(math.log(30 / 60))
+    odd = [(None, 1), ("https://a.b/" + "x" * 50_000, 0), ("", None), ("https://a.b", 1), ("https://a.b", 1)]
+    assert urlfilter.train(spark.createDataFrame(odd, "url string, label int"), "url", "label").start == pytest.approx(math.log(3))
+    assert urlfilter.train(spark.createDataFrame([], "url string, label int"), "url", "label").trees == []
+
+
+def test_judge_odd_urls(spark):
+    rows = [(1, None, "a", 1), (1, None, "a", 1), (2, "", "a", 1), (3, "https://X.ORG/" + "p" * 40_000, "b", 2), (None, "nothing", None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, host string, score int")
+    got = sorted((str(r.page_id), r.host, len(r.path), r.rule, r.verdict) for r in urlfilter.judge_urls(table).collect())
+    assert got == [("1", "", 0, None, "allow")] * 2 + [("2", "", 0, None, "allow"), ("3", "x.org", 40_001, "org/", "allow"), ("None", "", 0, None, "allow")]
+    assert urlfilter.judge_urls(table.limit(0)).collect() == []
+
+
 def test_url_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert [r.verdict for r in urlfilter.judge_urls(pages).collect()] == ["allow"]
