@@ -9,6 +9,8 @@ from reagentql.llm.common import cut
 
 #: Parts into which rows that name one large component are dealt while labels are looked up.
 SALTS = 32
+#: Rows of a table in one partition, at least; small tables are few files.
+ROWS = 250_000
 
 
 def _renamed(rows: DataFrame, column: str, up: DataFrame, salts: int) -> DataFrame:
@@ -30,18 +32,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     one = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges, labels, salts = cut(one(links)), None, 1
+    # No later table has more rows than twice the links.
+    parts = 1 + edges.count() // ROWS
+    keep = lambda rows: cut(rows.coalesce(parts))
     while True:
         both = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
-        up = cut(both.groupBy("node").agg(F.least(F.min("b"), F.first("node")).alias("label")))
+        up = keep(both.groupBy("node").agg(F.least(F.min("b"), F.first("node")).alias("label")))
         while True:
             # Only nodes that others name are looked up, so their salted copies are few.
             named = up.select(F.col("label").alias("node")).distinct()
             named = up.join(named, "node", "left_semi").where("label < node")
             if named.isEmpty():
                 break
-            up = cut(_renamed(up, "label", named, SALTS))
-        labels = up if labels is None else cut(_renamed(labels, "label", up, salts))
-        edges = cut(one(_renamed(_renamed(edges, "a", up, salts), "b", up, salts)))
+            up = keep(_renamed(up, "label", named, SALTS))
+        labels = up if labels is None else keep(_renamed(labels, "label", up, salts))
+        edges = keep(one(_renamed(_renamed(edges, "a", up, salts), "b", up, salts)))
         if edges.isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         salts = SALTS
