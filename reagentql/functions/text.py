@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A run of characters that can stand in a line notation of a molecule.
-TOKEN = r"[A-Za-z0-9@+\\-\[\]()=#$]{3,100}"
 NUMBERED = r"(?im)^\s*SMILES\s*\d+\s*[:=]\s*(\S+)"
 LABELLED = r"(?i)smiles\s*[:=]\s*([A-Za-z0-9@+\-\[\]()=#$]{3,100})"
 LISTED = r"(?m)^\s*\d+\s*[.):]\s*(\S+)"
 # Words that mark a text as prose about design rather than a molecule.
-DESIGN_WORDS = (
-    "scaffold", "strategy", "rationale", "molecule", "design", "target", "binding", "structure", "assembly", "fragment", "linker",
+DESIGN_WORDS = ("scaffold", "strategy", "warhead", "rationale", "enhancer", "estimated", "expected", "name:", "base mw", "bbb potential")
+# Texts that are no line notation, parts that none holds, and names of ring systems.
+NOT_ALONE = (
+    "chain-of-thought", "valid_smiles", "smiles_string", "<valid_smiles>", "analysis", "reasoning", "design", "output", "format", "scaffold",
+    "strategy", "warhead", "enhancer", "rationale",
 )
+NOT_WITHIN = (
+    "synthetic", "complexity", "therefore", "suggests", "moderately", "challenging", "retrosynthesis", "synthesize", "procedure",
+    "designed molecule", "designed scaffold",
+)
+RING_NAMES = ("quinazoline", "pyrimidine", "indole", "imidazotetrazine", "benzimidazole", "purine", "pyridine", "pyrrole", "thiazole")
+#: Words that the loose rule refuses.
 STOP_WORDS = ("smiles", "none", "molecule", "invalid", "example", "unknown", "null")
+# Labels before a line notation, in two languages.
+LABELS = ("SMILES:", "分子式[:：]", "分子结构[:：]", "SMILES字符串[:：]")
+# How a sentence's word begins and ends that looks like a line notation.
+PROSE_STARTS = (
+    "Cytosine", "Quinazoline", "Pyrimidine", "Indole", "Pyridine", "Compound", "Molecule", "Scaffold", "Strategy", "Designed", "Therefore",
+    "However", "Moreover", "Furthermore", "Synthesis", "Solution", "Mixture", "Product", "Reaction", "Procedure", "Step", "Example",
+    "Following", "According", "Resulting", "Generat", "Output", "Format", "SMILES", "Name", "Ration",
+)
+PROSE_ENDS = ("ing", "ted", "nal", "lar", "ble", "tion")
+# Bracketed atoms, bonds and marks, and what each becomes, in order.
+BRACKETS = (
+    ("[C]", "C"), ("[c]", "c"), ("[N]", "N"), ("[n]", "n"), ("[O]", "O"), ("[o]", "o"), ("[S]", "S"), ("[s]", "s"), ("[P]", "P"), ("[p]", "p"),
+    ("[F]", "F"), ("[I]", "I"), ("[B]", "B"), ("[Br]", "Br"), ("[Cl]", "Cl"), ("[N+1]", "N+"), ("[N-1]", "N-"), ("[O+1]", "O+"), ("[O-1]", "O-"),
+    ("[H]", ""), ("[H2]", ""), ("[H3]", ""), ("[OH]", "O"), ("[NH2]", "N"), ("[NH]", "N"), ("[C@]", "C@"), ("[C@@]", "C@@"), ("[C@H]", "C@H"),
+    ("[C@@H]", "C@@H"), ("[C@H1]", "C@H"), ("[=C]", "C"), ("[=N]", "N"), ("[=O]", "O"), ("[=S]", "S"), ("[#C]", "C"), ("[#N]", "N"),
+    ("[Ring1]", ""), ("[Ring2]", ""), ("[Ring3]", ""), ("[Branch1]", ""), ("[Branch2]", ""), ("[Branch3]", ""), ("[=Branch1]", ""),
+    ("[=Branch2]", ""), ("[#Branch1]", ""), ("[#Branch2]", ""), ("[se]", "Se"), ("[Se]", "Se"), ("[Si]", "Si"),
+)
 
 
 def extract_all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -38,21 +63,25 @@ def format_ok(token: Column) -> Column:
 
 
 def strict_ok(token: Column, compat: bool = False) -> Column:
-    """The strict text rule: alphabet, length, brackets in balance, at least two carbons, no stop word.
+    """The strict text rule: alphabet, length, as many opening as closing brackets, two carbons, no prose.
 
-    With ``compat`` double bonds and stereo marks are refused too, as the original rule does.
+    With ``compat`` double bonds, stereo marks, ring numbers after % and backslashes are refused
+    too, as the original rule does.
     """
-    count = lambda c: F.length(token) - F.length(F.replace(token, F.lit(c), F.lit("")))
+    without = lambda chars: F.length(F.translate(token, chars, ""))
+    low = F.lower(token)
+    # Cheap tests first: most words of prose end there.
     ok = (
-        token.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$/\\%.]+$")
-        & F.length(token).between(5, 600)
-        & ~F.lower(token).isin(*STOP_WORDS)
-        & ~token.rlike(r"^\[[^\]]*\]$")
-        & (count("C") + count("c") >= 2)
-        & (count("(") == count(")"))
-        & (count("[") == count("]"))
+        F.length(token).between(5, 600)
+        & token.rlike("[Cc][^Cc]*[Cc]")
+        & token.rlike(r"^[A-Za-z0-9@+\-\[\]()=#%/\\.]+$")
+        & token.rlike("[CBNOSPFIH]")
+        & (without("([") == without(")]"))
+        & ~token.rlike(r"^\[[A-Za-z][A-Za-z0-9]*[+-]?\]$")
+        & ~low.isin(*NOT_ALONE, *RING_NAMES)
+        & ~low.rlike("|".join(NOT_WITHIN))
     )
-    return ok & ~token.rlike(r"[=@\\]") if compat else ok
+    return ok & ~token.rlike(r"[=@%\\]") if compat else ok
 
 
 def loose_ok(token: Column, low: int = 5, high: int = 300, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -63,7 +92,7 @@ def loose_ok(token: Column, low: int = 5, high: int = 300, stop_words: tuple[str
 
 def looks_like_candidate(text: Column) -> Column:
     """Longer than ten characters, some structural character, no design word."""
-    return (F.length(text) > 10) & text.rlike(r"[\[\]()=#0-9]") & ~text.rlike("(?i)" + "|".join(DESIGN_WORDS))
+    return (F.length(text) > 10) & text.rlike(r"[()\[\]=#@+/-]") & ~F.lower(text).rlike("|".join(DESIGN_WORDS))
 
 
 def first_seen(tokens: Column, most: int | None = None) -> Column:
@@ -73,14 +102,15 @@ def first_seen(tokens: Column, most: int | None = None) -> Column:
 
 
 def extract_cascade(text: Column, most: int = 5) -> Column:
-    """Numbered lines, else labelled tokens, else list items, of strict shape; right side of a reaction, largest first seen."""
+    """Numbered lines, else labelled tokens, else list items, else long free tokens, of strict shape, first seen.
+
+    Of a reaction the right side counts; fragments are taken apart.  Each stage is computed once.
+    """
     right = lambda t: F.element_at(F.split(t, ">>"), -1)
-    stages = [extract_all(text, p) for p in (NUMBERED, LABELLED, LISTED)]
-    checked = [F.filter(F.transform(s, lambda t: clean(right(t))), lambda t: strict_ok(t)) for s in stages]
-    out = checked[-1]
-    for stage in reversed(checked[:-1]):
-        out = F.when(F.size(stage) > 0, stage).otherwise(out)
-    return first_seen(out, most)
+    parts = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.split(clean(right(t)), r"\.")))
+    free = r"\b([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.]{10,})\b"
+    stages = [F.filter(F.transform(parts(extract_all(text, p)), clean), lambda t: strict_ok(t)) for p in (NUMBERED, LABELLED, LISTED, free)]
+    return first_seen(F.coalesce(F.get(F.filter(F.array(*stages), lambda x: F.size(x) > 0), F.lit(0)), F.array().cast("array<string>")), most)
 
 
 def extract_lines(text: Column, separator: str = r"[,;\n]") -> Column:
@@ -90,14 +120,137 @@ def extract_lines(text: Column, separator: str = r"[,;\n]") -> Column:
     return first_seen(F.filter(bare, format_ok))
 
 
-def bracket_to_line(text: Column, replacements: tuple[tuple[str, str], ...] = (("-[C]-", "C"), ("-[N]-", "N"), ("-[O]-", "O"), ("[C]", "C"), ("[N]", "N"), ("[O]", "O"), ("-", ""))) -> Column:
-    """Atom-bond notation to line notation by ordered literal replacements."""
+def bracket_to_line(text: Column, replacements: tuple[tuple[str, str], ...] = BRACKETS) -> Column:
+    """Atom-bond notation to line notation by ordered literal replacements; bond orders, rings and branches are lost."""
     out = text
     for old, new in replacements:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
+def bracket_run(text: Column) -> Column:
+    """The atom-bond notation of a text: all its short brackets joined, as line notation; null under five characters."""
+    bare = F.regexp_replace(F.element_at(F.split(text, "### Response:"), -1), r"<[^>\n]*>", "")
+    joined = F.array_join(extract_all(bare, r"(\[[^\]]{1,6}\])"), "")
+    return F.when(F.length(joined) >= 5, bracket_to_line(joined))
+
+
+# Words near the start of a line that make it prose.
+PROSE_LINE = (
+    "the molecule", "this molecule", "i think", "in conclusion", "in my opinion", "in addition", "however", "therefore", "thank", "previous",
+    "response", "instructions", "please", "you must", "your response", "i hope", "i cannot", "let me", "it was", "moreover", "as a side",
+    "first time", "helpful", "hopeful", "answer", "conclusion", "final", "citation", "note", "indeed", "kindness", "person", "meet", "enjoy",
+    "together", "equipped", "bothered", "work out", "glad", "completed", "inhibitor", "drug candidate",
+)
+
+
+def bracket_candidates(text: Column) -> Column:
+    """The joined brackets of a text, then its lines that are not prose and at most 60 % letters, each once, as line notation."""
+    bare = F.regexp_replace(F.element_at(F.split(text, "### Response:"), -1), r"<[^>\n]*>", "")
+    lines = F.transform(F.split(bare, r"[,;\n]"), lambda x: F.trim(x))
+    share = lambda x: F.length(F.regexp_replace(x, "[^A-Za-z]", "")) * 10 <= F.length(x) * 6
+    prose = lambda x: F.lower(F.substring(x, 1, 60)).rlike("|".join(PROSE_LINE))
+    kept = F.filter(lines, lambda x: (F.length(x) >= 4) & share(x) & ~prose(x) & x.rlike(r"[CNOSPFIcnosp\[\]]"))
+    cut = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[-*•]\s*", ""), r"^(\d+[.):]+\s*)?([Ss][Mm][Ii][Ll][Ee][Ss]\s*[:-]?\s*)?|```+", ""))
+    found = F.transform(kept, lambda x: F.when(F.contains(cut(x), F.lit("][")), bracket_to_line(cut(x))).otherwise(cut(x)))
+    whole = F.array_compact(F.array(bracket_run(text)))
+    return F.array_distinct(F.filter(F.concat(whole, found), lambda x: strict_ok(x)))
+
+
+def labelled_first(text: Column) -> Column:
+    """The first valid line notation after a label, else the first valid token of the text, else null."""
+    token = r"([A-Za-z0-9@+\-\[\]()=#]+)"
+    after = [extract_all(text, rf"(?i){label}\s*{token}") for label in LABELS]
+    alone = [extract_all(text, rf"\b({start}[A-Za-z0-9@+\-\[\]()=#]+)\b") for start in ("[A-Za-z]", "[0-9]")]
+    alone = [F.filter(x, lambda t: F.length(t).between(3, 100)) for x in alone]
+    every = F.concat(*after, *alone)
+    return F.get(F.filter(F.transform(every, clean), lambda t: strict_ok(t)), F.lit(0))
+
+
+def extraction_trace(text: Column) -> Column:
+    """Every candidate of a text as (pattern, position, match, cleaned, valid): what each pattern found, valid or not."""
+    token = r"([A-Za-z0-9@+\-\[\]()=#]+)"
+    patterns = (rf"SMILES:\s*{token}", rf"smiles:\s*{token}", r"\b([A-Za-z][A-Za-z0-9@+\-\[\]()=#]+)\b", r"\b([0-9][A-Za-z0-9@+\-\[\]()=#]+)\b")
+    row = lambda k: lambda t, i: F.struct(F.lit(k).alias("pattern"), i.alias("position"), t.alias("match"), clean(t).alias("cleaned"), strict_ok(clean(t)).alias("valid"))
+    return F.concat(*[F.transform(extract_all(text, p), row(k)) for k, p in enumerate(patterns)])
+
+
+def embedded_candidates(text: Column, most: int = 5) -> Column:
+    """Line notations inside sentences: at least nine characters, two different atoms, a structural character, not like a word."""
+    found = F.array_distinct(extract_all(text, r"([A-Z][A-Za-z0-9@+\-\[\]()=#%/.]{8,})"))
+    atoms = lambda t: F.size(F.array_distinct(F.split(F.regexp_replace(t, "[^CBNOSPFIH]", ""), "")))
+    starts, ends = "^(" + "|".join(PROSE_STARTS) + ")", "(" + "|".join(PROSE_ENDS) + ")$"
+    good = F.filter(found, lambda t: ~t.rlike(starts) & ~F.lower(t).rlike(ends) & (atoms(t) >= 2) & t.rlike(r"[()\[\]=#@+/-]"))
+    return F.slice(good, 1, most)
+
+
+def several_patterns(text: Column) -> Column:
+    """SMILESn: and SMILES: values of fair shape, then free tokens with more than letters, first seen."""
+    labelled = F.transform(extract_all(text, r"SMILES\d*:\s*([A-Za-z0-9@+\-\[\]()=#%/ ]+)"), lambda x: F.trim(x))
+    free = extract_all(text, r"\b([A-Z][A-Za-z0-9@+\-\[\]()=#]{4,100})\b")
+    return F.array_distinct(F.concat(F.filter(labelled, format_ok), F.filter(free, lambda t: ~t.rlike("^[A-Za-z]+$"))))
+
+
+def _valid(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: strict_ok(t))
+
+
+def _unbracketed(text: Column) -> Column:
+    """Without anything in parentheses and the blanks before it, as the original rule does to remarks and branches alike."""
+    return F.regexp_replace(text, r"\s*\([^)]*\)", "")
+
+
+def reclaimed(field_text: Column) -> Column:
+    """Line notations of a field into which remarks and steps have slipped: the whole if it is valid, else its valid parts."""
+    bare = F.regexp_replace(F.regexp_replace(_unbracketed(field_text), r"(?i)This\s+is\s+step\s+\d+[^,;.]*[,;.]?", ""), r"(?i)step\s+\d+[^,;.]*[,;.]?", "")
+    whole = F.array(F.trim(bare))
+    return F.when(strict_ok(F.trim(bare)), whole).otherwise(_valid(F.transform(F.split(bare, r"[,;\n]"), lambda x: F.trim(x))))
+
+
+def segment_candidates(segment: Column) -> Column:
+    """A segment without remarks, opening phrase and last punctuation if that is valid, else its valid words."""
+    phrase = r"(?i)^(to\s+synthesize|for\s+the\s+synthesis\s+of|target\s+molecule|final\s+product)\s+"
+    bare = F.regexp_replace(F.trim(F.regexp_replace(_unbracketed(segment), phrase, "")), r"[,;.]+$", "")
+    return F.when(strict_ok(bare), F.array(bare)).otherwise(_valid(F.split(bare, r"[\s,;]+")))
+
+
+# Phrases before a target, marks of lines about steps, words that no target holds.
+TARGET_PHRASES = (r"To\s+synthesize", r"for\s+the\s+synthesis\s+of", r"target\s+molecule\s+is", r"final\s+product\s+is")
+STEP_MARKS = ("This is step", "Step", "step", "synthesis process", "retrosynthes", " retrosyn")
+NO_TARGET = (
+    "chain", "analysis", "reasoning", "scaffold", "strategy", "rationale", "synthetic", "procedure", "therefore", "suggest", "step", "synthes",
+    "available", "example", "reference",
+)
+
+
+def target_candidates(text: Column) -> Column:
+    """(token, context) of a retrosynthesis text, first seen.
+
+    In order: what target phrases name, labelled values, lines that are no step and hold nothing
+    bought, tokens before a parenthesis, and long tokens without words of procedures.
+    """
+    named = F.concat(*[F.flatten(F.transform(extract_all(text, rf"(?i){p}\s+([^\n]+?)(?:\s*[,;.(\n]|$)"), segment_candidates)) for p in TARGET_PHRASES])
+    labelled = F.transform(extract_all(text, r"(?i)SMILES\s*\d*\s*:\s*([^\n]+)"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), r"^[,.;]+|[,.;]+$", ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("|".join(STEP_MARKS)) & ~x.rlike(r"(?i)\(available\)|\(not\s+available\)") & x.rlike("[CNOSPFIcnosp]"))
+    before = extract_all(text, r"([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.\\]+)\s*\(")
+    long = F.filter(extract_all(text, r"\b([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.\\]{8,})\b"), lambda x: ~F.lower(x).rlike("|".join(NO_TARGET)))
+    stages = (("target_phrase", named), ("smiles_label", labelled), ("step_line", F.flatten(F.transform(lines, segment_candidates))), ("paren_prefix", before), ("greedy_pattern", long))
+    tag = lambda name: lambda t: F.struct(t.alias("token"), F.lit(name).alias("context"))
+    return first_of_each(F.concat(*[F.transform(_valid(tokens), tag(name)) for name, tokens in stages]))
+
+
+def rows_of(df: DataFrame, array: Column, keep: list[str], name: str = "token") -> DataFrame:
+    """A row per struct of an array.  The outer form computes the array once; the inner one would also test its size first."""
+    return df.select(*keep, F.inline_outer(array)).where(F.col(name).isNotNull())
+
+
+def first_of_each(rows: Column, name: str = "token") -> Column:
+    """Of an array of structs the first with each value of a field, in order; the array is computed once."""
+    keep = lambda acc, x: F.when(F.array_contains(F.transform(acc, lambda y: y[name]), x[name]), acc).otherwise(F.concat(acc, F.array(x)))
+    # The fold's start has the array's own type: an empty slice of it.
+    return F.get(F.transform(F.array(rows), lambda r: F.aggregate(r, F.slice(r, 1, 0), keep)), F.lit(0))
+
+
 def strip_special(text: Column) -> Column:
     """Without chat-template tokens and hash marks."""
     return F.trim(F.regexp_replace(text, r"<\|[^|>]*\|>|</?s>|#", ""))
@@ -127,10 +280,11 @@ def number_range(text: Column, low: float, high: float) -> Column:
 
 
 def heuristic_verdict(text: Column) -> Column:
-    """impossible, likely or sure from a mass in Da and from words."""
-    mass = F.regexp_extract(text, r"(\d+) Da", 1).try_cast("int")
-    high, low = text.rlike("(?i)high|excellent|strong|good"), text.rlike("(?i)low|poor|weak")
-    return F.when((mass < 200) | (mass > 600), "impossible").when((mass > 500) | (mass < 250), "likely").when(high & ~low, "sure").otherwise("likely")
+    """impossible, likely or sure from a mass in Da and from words, in any letter case."""
+    low = F.lower(text)
+    mass = F.regexp_extract(low, r"(\d+)\s*da", 1).try_cast("int")
+    good, bad = low.rlike("high|excellent|strong"), low.rlike("low|poor|limited")
+    return F.when((mass < 200) | (mass > 600), "impossible").when((mass > 500) | (mass < 250), "likely").when(good & ~bad, "sure").otherwise("likely")
 
 
 def docking_score(output: Column) -> Column:
@@ -140,20 +294,99 @@ def docking_score(output: Column) -> Column:
     return F.coalesce(first.try_cast("double"), second.try_cast("double"))
 
 
-def retrosynthesis_candidates(text: Column) -> Column:
-    """Array of (strategy, token): designed molecules, products of reactions, reactants; first seen across strategies."""
-    patterns = (
-        r"(?i)designed molecule is\s*:?\s*(\S+)",
-        r"(?i)applied reaction is\s*:?\s*(\S+)",
-        r"(?i)requires the reactants?\s*:?\s*(\S+)",
+# Words that no target molecule of a procedure holds.
+PROCEDURE_WORDS = (
+    "available", "synthesize", "synthesis", "procedure", "step", "requires", "applied", "reaction", "follow", "example", "intermediate",
+    "dissolved", "stirred", "heated", "mmol", "equiv", "buffer", "column", "chromatography", "concentrated", "washed", "solution", "mixture",
+    "compound", "reagent", "tert", "butyl", "butoxycarbonyl", "piperazine", "phenyl", "methyl", "methoxy", "ethoxy", "ethoxycarbonyl", "indole",
+    "purified", "sodium", "potassium", "magnesium", "soluble", "hexane", "acetate", "ether", "chloroform", "palladium", "chromium", "copper",
+    "bromide", "chloride", "iodide", "reduct", "oxid", "catalyst", "ligand", "chromene", "quinazoline", "sulfonamide", "nicotinamide",
+    "benzamide", "pyridine", "pyridazine", "pyridinyl", "benzylidene", "acetonitrile", "dichloromethane", "dimethylsulfoxide", "triethylamine",
+    "hydrochloride", "equivalents", "room temperature", "overnight", "reflux", "purification", "extraction", "filtration", "concentration",
+    "evaporation", "saturated", "brine", "anhydrous", "sulfate", "celite", "silica", "gradient",
+)
+
+
+def retrosynthesis_candidates(text: Column, window: int = 600) -> Column:
+    """(strategy, token) of a retrosynthesis text, first seen across strategies, in their order.
+
+    0: the designed molecule, up to the sentence's end; 1: the parts of applied reactions; 2: the
+    reactants required; 3: long tokens between the conclusion and step 1.  1 and 2 look at
+    ``window`` characters after their phrase and at parts of eight characters or more.
+    """
+    after = lambda phrase: extract_all(text, rf"(?is){phrase}\s*:\s*(?=(.{{0,{window}}}))")
+    ended = lambda x: F.trim(F.regexp_replace(F.trim(x), r"[.,]+$", ""))
+    designed = F.array(F.regexp_extract(text, r"(?i)Therefore,?\s+the\s+designed\s+molecule\s+is\s*[:.]?\s*(?:\d+:\s*)?([A-Za-z0-9@+\-\[\]()=#%/.\\]+)\.", 1))
+    applied = F.flatten(F.transform(after(r"The\s+applied\s+reaction\s+is"), lambda x: F.split(ended(F.regexp_replace(x, r"(?i),?\s*which\s+requires.*$", "")), r"\.")))
+    applied = F.filter(F.transform(applied, ended), lambda x: (F.length(x) >= 8) & ~x.rlike("^[0-9]"))
+    needed = F.flatten(F.transform(after(r"requires\s+the\s+reactants?"), lambda x: F.split(F.regexp_replace(x, r"(?i)\s*This\s+is\s+step.*$", ""), r",\s*")))
+    needed = F.filter(F.transform(needed, lambda x: ended(_unbracketed(x))), lambda x: F.length(x) >= 8)
+    step = r"This\s+is\s+step\s*1"
+    until = F.when(text.rlike(rf"(?i){step}"), F.regexp_extract(text, rf"(?is)^(.*?{step})", 1)).otherwise(F.substring(text, 1, 2000))
+    place = F.when(text.rlike(rf"(?is)Therefore.*{step}"), F.regexp_extract(text, rf"(?is)(Therefore.*?{step})", 1)).otherwise(until)
+    greedy = F.filter(extract_all(place, r"\b([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.\\]{12,})\b"), lambda t: ~F.lower(t).rlike("|".join(PROCEDURE_WORDS)))
+    tag = lambda k: lambda t: F.struct(F.lit(k).alias("strategy"), t.alias("token"))
+    return first_of_each(F.concat(*[F.transform(_valid(tokens), tag(k)) for k, tokens in enumerate((designed, applied, needed, greedy))]))
+
+
+# Ring systems that a text without a block may name, and what such a proposal says.
+KNOWN_RINGS = (
+    "quinazoline", "pyrimidine", "indole", "imidazotetrazine", "benzimidazole", "purine", "pyridine", "pyrrole", "thiazole", "quinoline",
+    "isoquinoline", "benzothiazole", "triazine", "morpholine",
+)
+KNOWN_WARHEADS = ("acrylamide", "cyanoacrylamide", "reversible", "covalent", "nitrogen mustard", "epoxide", "alkyl halide")
+KNOWN_ENHANCERS = ("fluorine", "methoxy", "methyl", "trifluoromethyl", "chloro", "bromo")
+
+
+def scaffold_proposals(text: Column, most: int = 3) -> Column:
+    """(name, rationale, base_mw, bbb_potential) of each block that begins with a Name line, else of the ring systems named.
+
+    A block without a mass has 150, without a potential medium; the i-th ring system has 150 + 20 i,
+    and the first two a high potential.
+    """
+    blocks = F.filter(F.transform(F.split(text, r"(?im)^(?=\s*(?:Scaffold\s+\d+:\s*)?Name:)"), lambda b: F.struct(field(b, r"(?:Scaffold\s+\d+:\s*)?Name").alias("name"), b.alias("b"))), lambda x: F.coalesce(F.length(x["name"]) < 50, F.lit(False)))
+    parsed = F.transform(
+        blocks,
+        lambda x: F.struct(
+            x["name"].alias("name"),
+            F.coalesce(F.substring(field(x["b"], "Rationale"), 1, 200), F.lit("Suitable for GBM drug design")).alias("rationale"),
+            F.coalesce(F.regexp_extract(field(x["b"], r"Base\s+MW"), r"(\d+)", 1).try_cast("int"), F.lit(150)).alias("base_mw"),
+            F.coalesce(F.nullif(F.lower(F.regexp_extract(field(x["b"], r"BBB\s+Potential"), "(?i)(high|medium|low)", 1)), F.lit("")), F.lit("medium")).alias("bbb_potential"),
+        ),
+    )
+    named = F.filter(F.array(*[F.lit(r) for r in KNOWN_RINGS]), lambda r: F.contains(F.lower(text), r))
+    rings = F.transform(
+        named,
+        lambda r, i: F.struct(r.alias("name"), F.concat(F.lit("Suitable scaffold for "), r).alias("rationale"), (150 + (i + 1) * 20).alias("base_mw"), F.when(i < 2, "high").otherwise("medium").alias("bbb_potential")),
+    )
+    return F.slice(F.when(F.size(parsed) > 0, parsed).otherwise(rings), 1, most)
+
+
+def assembly_strategies(text: Column, most: int = 3) -> Column:
+    """(warhead, enhancers, mw, logp, tpsa, rationale) of each block that begins with a Warhead line, else one of what the text names."""
+    blocks = F.filter(F.split(text, r"(?im)^(?=\s*Warhead:)"), lambda b: field(b, "Warhead").isNotNull() & field(b, "Rationale").isNotNull())
+    parsed = F.transform(
+        blocks,
+        lambda b: F.struct(
+            field(b, "Warhead").alias("warhead"),
+            field(b, r"BBB\s+Enhancers").alias("enhancers"),
+            F.regexp_extract(field(b, r"Estimated\s+Total\s+MW"), r"(\d+)", 1).try_cast("int").alias("mw"),
+            field(b, r"Expected\s+LogP").alias("logp"),
+            field(b, r"Expected\s+TPSA").alias("tpsa"),
+            field(b, "Rationale").alias("rationale"),
+        ),
+    )
+    first = lambda names: F.coalesce(F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(text), n)), F.lit(0)), F.lit(names[0]))
+    warhead = first(KNOWN_WARHEADS)
+    fallback = F.struct(
+        warhead.alias("warhead"),
+        first(KNOWN_ENHANCERS).alias("enhancers"),
+        F.coalesce(F.regexp_extract(text, r"(\d{3})", 1).try_cast("int"), F.lit(450)).alias("mw"),
+        F.lit("2.5-3.5").alias("logp"),
+        F.lit("60-90").alias("tpsa"),
+        F.concat(F.lit("Extracted from output: warhead="), warhead).alias("rationale"),
     )
-    tagged = lambda k: lambda t: F.struct(F.lit(k).alias("strategy"), t.alias("token"))
-    parts = []
-    for k, pattern in enumerate(patterns):
-        tokens = F.flatten(F.transform(extract_all(text, pattern), lambda t: F.split(F.element_at(F.split(t, ">>"), -1), r"\.")))
-        parts.append(F.transform(F.filter(F.transform(tokens, clean), lambda t: strict_ok(t)), tagged(k)))
-    both = F.concat(*parts)
-    return F.filter(both, lambda x, i: ~F.exists(F.slice(both, F.lit(1), i), lambda y: y["token"] == x["token"]))
+    return F.slice(F.when(F.size(parsed) > 0, parsed).otherwise(F.array(fallback)), 1, most)
 
 
 def alert_lines(alerts: Column, fixes: dict[str, str], generic: str) -> Column:

@@ -28,13 +28,16 @@ RESPONSE = """CASE o_orderkey % 4
  WHEN 2 THEN concat('1. CC(C)N', o_orderkey % 9, chr(10), '2) OCC(=O)', o_custkey % 9, 'C', chr(10), '3: none')
  ELSE concat('<|im_start|>No candidate today', o_custkey % 3, '; weak and poor, ', 150 + o_custkey % 500, ' Da') END"""
 RESP_SQL = f"r AS (SELECT o_orderkey AS id, {RESPONSE} AS text FROM orders)"
-STOP = str(T.STOP_WORDS)
 CLEAN = r"regexp_replace(trim({0}), '^[.,;:''\"`]+|[.,;:''\"`]+$', '', 'g')"
-CNT = "(len({0}) - len(replace({0}, '{1}', '')))"
-STRICT = (
-    r"(regexp_matches({0}, '^[A-Za-z0-9@+\-\[\]()=#$/\\%.]+$') AND len({0}) BETWEEN 5 AND 600 AND lower({0}) NOT IN " + STOP + r" AND NOT regexp_matches({0}, '^\[[^\]]*\]$') AND "
-    + CNT.replace("{1}", "C") + " + " + CNT.replace("{1}", "c") + " >= 2 AND " + CNT.replace("{1}", "(") + " = " + CNT.replace("{1}", ")") + " AND " + CNT.replace("{1}", "[") + " = " + CNT.replace("{1}", "]") + ")"
-)
+# The strict rule, said once more: no constant is shared with the engine.
+STRICT = r"""(regexp_matches({0}, '^[A-Za-z0-9@+\-\[\]()=#%/\\.]+$') AND len({0}) BETWEEN 5 AND 600
+ AND lower({0}) NOT IN ('chain-of-thought', 'valid_smiles', 'smiles_string', '<valid_smiles>', 'analysis', 'reasoning', 'design', 'output', 'format', 'scaffold', 'strategy', 'warhead', 'enhancer', 'rationale',
+   'quinazoline', 'pyrimidine', 'indole', 'imidazotetrazine', 'benzimidazole', 'purine', 'pyridine', 'pyrrole', 'thiazole')
+ AND NOT regexp_matches(lower({0}), 'synthetic|complexity|therefore|suggests|moderately|challenging|retrosynthesis|synthesize|procedure|designed molecule|designed scaffold')
+ AND NOT regexp_matches({0}, '^\[[A-Za-z][A-Za-z0-9]*[+-]?\]$') AND len({0}) - len(replace(replace({0}, 'C', ''), 'c', '')) >= 2
+ AND len(replace(replace({0}, '(', ''), '[', '')) = len(replace(replace({0}, ')', ''), ']', '')) AND regexp_matches({0}, '[BCFHINOPS]'))"""
+STOP = "('smiles', 'none', 'molecule', 'invalid', 'example', 'unknown', 'null')"
+NUMBERED, LABELLED, LISTED = r"(?im)^\s*SMILES\s*\d+\s*[:=]\s*(\S+)", r"(?i)smiles\s*[:=]\s*([A-Za-z0-9@+\-\[\]()=#$]{3,100})", r"(?m)^\s*\d+\s*[.):]\s*(\S+)"
 DISTINCT = "list_filter({0}, lambda v, i: list_position({0}, v) = i)"
 
 
@@ -46,13 +49,13 @@ def responses(spark, sf):
     return read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(RESPONSE).alias("text"))
 
 
-@query(f"WITH {RESP_SQL}, x AS (SELECT id, unnest(regexp_extract_all(text, '{T.NUMBERED}', 1)) AS token FROM r) SELECT id, token FROM x")
+@query(f"WITH {RESP_SQL}, x AS (SELECT id, unnest(regexp_extract_all(text, '{NUMBERED}', 1)) AS token FROM r) SELECT id, token FROM x")
 def q_extract_numbered(spark, sf):
     return responses(spark, sf).select("id", F.explode(T.extract_all(c("text"), T.NUMBERED)).alias("token"))
 
 
 @query(
-    f"WITH {RESP_SQL}, s AS (SELECT id, {_stage(T.NUMBERED)} AS a, {_stage(T.LABELLED)} AS b, {_stage(T.LISTED)} AS c FROM r), y AS (SELECT id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END AS l FROM s) "
+    f"WITH {RESP_SQL}, s AS (SELECT id, {_stage(NUMBERED)} AS a, {_stage(LABELLED)} AS b, {_stage(LISTED)} AS c FROM r), y AS (SELECT id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END AS l FROM s) "
     f"SELECT id, array_to_string({DISTINCT.format('l')}[1:5], ' ') AS tokens FROM y"
 )
 def q_extract_cascade(spark, sf):
@@ -64,7 +67,7 @@ WORD_SQL = "w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, '
 
 @query(
     f"WITH {RESP_SQL}, {WORD_SQL} SELECT word, len(word) BETWEEN 5 AND 150 AND NOT regexp_matches(word, '^[A-Za-z]+$') AND NOT regexp_matches(word, '\\s') AND regexp_matches(word, '^[ -~]+$') AND regexp_matches(word, '^[A-Za-z\\[(]') AS format_ok, "
-    f"{STRICT.format('word')} AS strict_ok, {STRICT.format('word')} AND NOT regexp_matches(word, '[=@\\\\]') AS compat_ok, len(word) BETWEEN 5 AND 300 AND lower(word) NOT IN {STOP} AND len(regexp_replace(word, '[^BCNOPSFIbcnops0-9()\\[\\]=#@+\\-]', '', 'g')) * 2 >= len(word) AS loose_ok FROM w"
+    f"{STRICT.format('word')} AS strict_ok, {STRICT.format('word')} AND NOT regexp_matches(word, '[=@%\\\\]') AS compat_ok, len(word) BETWEEN 5 AND 300 AND lower(word) NOT IN {STOP} AND len(regexp_replace(word, '[^BCNOPSFIbcnops0-9()\\[\\]=#@+\\-]', '', 'g')) * 2 >= len(word) AS loose_ok FROM w"
 )
 def q_text_validator(spark, sf):
     words = read(spark, sf, "documents").select("text").union(responses(spark, sf).select("text")).where(c("text").isNotNull())
@@ -98,9 +101,9 @@ def q_cot_prefix(spark, sf):
 
 
 @query(
-    f"WITH {RESP_SQL}, m AS (SELECT id, text, try_cast(regexp_extract(text, '(\\d+) Da', 1) AS INTEGER) AS mass, regexp_matches(text, '(?i)high|excellent|strong|good') AS hi, regexp_matches(text, '(?i)low|poor|weak') AS lo FROM r) "
+    f"WITH {RESP_SQL}, m AS (SELECT id, text, try_cast(regexp_extract(lower(text), '(\\d+)\\s*da', 1) AS INTEGER) AS mass, regexp_matches(text, '(?i)high|excellent|strong') AS hi, regexp_matches(text, '(?i)low|poor|limited') AS lo FROM r) "
     "SELECT id, CASE WHEN mass < 200 OR mass > 600 THEN 'impossible' WHEN mass > 500 OR mass < 250 THEN 'likely' WHEN hi AND NOT lo THEN 'sure' ELSE 'likely' END AS verdict, "
-    f"len(text) > 10 AND regexp_matches(text, '[\\[\\]()=#0-9]') AND NOT regexp_matches(text, '(?i){'|'.join(T.DESIGN_WORDS)}') AS candidate, md5(trim(regexp_replace(text, '<\\|[^|>]*\\|>|</?s>|#', '', 'g'))) AS bare_md5 FROM m"
+    "len(text) > 10 AND regexp_matches(text, '[()\\[\\]=#@+/-]') AND NOT regexp_matches(text, '(?i)scaffold|strategy|warhead|rationale|enhancer|estimated|expected|name:|base mw|bbb potential') AS candidate, md5(trim(regexp_replace(text, '<\\|[^|>]*\\|>|</?s>|#', '', 'g'))) AS bare_md5 FROM m"
 )
 def q_heuristic_verdict(spark, sf):
     t = c("text")
@@ -115,27 +118,24 @@ def q_docking_parse(spark, sf):
     return read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(DOCK).alias("t")).select("id", T.docking_score(c("t")).alias("score"))
 
 
-RETRO = "concat('The designed molecule is CC(N)C', o_orderkey % 9, '. The applied reaction is CCO', o_custkey % 4, '>>CC(N)C', o_custkey % 9, ' and this is step 1, which requires the reactants CCN', o_orderkey % 5, 'O.OCC', o_custkey % 3, 'F.')"
+RETRO = """concat('Therefore, the designed molecule is: 1: CC(N)CCO', o_orderkey % 9, '. The applied reaction is: CCOC(C)N', o_custkey % 4, '.NCC(F)CO', o_custkey % 9,
+ ', which requires the reactants: CCN(C)CCCO', o_orderkey % 5, ' (available), OCCCCCF', o_custkey % 3, ' (not available). This is step 1, then CCCCCCCCCCCCCCO')"""
 
 
-def _retro(pattern: str, k: int) -> str:
-    tokens = rf"flatten(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda v: string_split(string_split(v, chr(62) || chr(62))[-1], '.')))"
-    return f"list_transform(list_filter(list_transform({tokens}, lambda v: {CLEAN.format('v')}), lambda v: {STRICT.format('v')}), lambda v: '{k}|' || v)"
-
-
-@query(
-    f"WITH d AS (SELECT o_orderkey AS id, {RETRO} AS t FROM orders), l AS (SELECT id, list_concat(list_concat({_retro(r'(?i)designed molecule is\s*:?\s*(\S+)', 0)}, {_retro(r'(?i)applied reaction is\s*:?\s*(\S+)', 1)}), {_retro(r'(?i)requires the reactants?\s*:?\s*(\S+)', 2)}) AS x FROM d), "
-    "e AS (SELECT id, unnest(x) AS v, unnest(range(len(x))) AS i FROM l), f AS (SELECT id, CAST(split_part(v, '|', 1) AS INTEGER) AS strategy, split_part(v, '|', 2) AS token, i FROM e) "
-    "SELECT id, strategy, token FROM (SELECT *, row_number() OVER (PARTITION BY id, token ORDER BY i) AS n FROM f) WHERE n = 1"
-)
+# The rows that the text was made to hold.
+@query("""WITH d AS (SELECT o_orderkey AS id, o_orderkey AS o, o_custkey AS c FROM orders)
+  SELECT id, 0 AS strategy, concat('CC(N)CCO', o % 9) AS token FROM d UNION ALL SELECT id, 1, concat('CCOC(C)N', c % 4) FROM d UNION ALL SELECT id, 1, concat('NCC(F)CO', c % 9) FROM d
+  UNION ALL SELECT id, 2, concat('CCNCCCO', o % 5) FROM d UNION ALL SELECT id, 2, concat('OCCCCCF', c % 3) FROM d UNION ALL SELECT id, 3, concat('CCOC(C)N', c % 4, '.NCC(F)CO', c % 9) FROM d""")
 def q_retro_extract(spark, sf):
     rows = read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(RETRO).alias("t"))
-    return rows.select("id", F.inline(T.retrosynthesis_candidates(c("t"))))
+    return T.rows_of(rows, T.retrosynthesis_candidates(c("t")), ["id"])
 
 
-@query("SELECT o_orderkey AS id, replace(replace(replace(replace(replace(replace(replace('[C]-[N]-[C]-[O]-[C]' || (o_orderkey % 7), '-[C]-', 'C'), '-[N]-', 'N'), '-[O]-', 'O'), '[C]', 'C'), '[N]', 'N'), '[O]', 'O'), '-', '') AS line FROM orders")
+@query("SELECT o_orderkey AS id, concat('COccBrN+', CASE o_orderkey % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'C@Se' ELSE '[Xe]-' END, o_orderkey % 7) AS line FROM orders")
 def q_bracket_to_line(spark, sf):
-    return read(spark, sf, "orders").select(c("o_orderkey").alias("id"), T.bracket_to_line(F.concat(F.lit("[C]-[N]-[C]-[O]-[C]"), (c("o_orderkey") % 7).cast("string"))).alias("line"))
+    tail = F.when(c("o_orderkey") % 3 == 0, "[=C][#N][Branch1]").when(c("o_orderkey") % 3 == 1, "[C@][Ring2][se]").otherwise("[Xe]-")
+    text = F.concat(F.lit("[C][OH][c][c][Br][H][N+1]"), tail, (c("o_orderkey") % 7).cast("string"))
+    return read(spark, sf, "orders").select(c("o_orderkey").alias("id"), T.bracket_to_line(text).alias("line"))
 
 
 @query("""WITH s AS (SELECT event_id AS id, event_type AS state, round(value / 50, 3) AS score FROM events), p AS (SELECT id, state, score, list_filter([CASE WHEN state IN ('view', 'signup') THEN 'permeability: high' ELSE 'permeability: moderate' END, CASE WHEN score > 7 THEN 'activity: high' END, CASE WHEN state = 'error' THEN 'toxicity: low' END], lambda v: v IS NOT NULL) AS c FROM s)
@@ -151,7 +151,7 @@ def q_qa_instruction(spark, sf):
     return rows.withColumn("c", parts).select("id", text.alias("instruction"), F.size("c").alias("n_constraints"))
 
 
-@query(f"WITH {RESP_SQL}, x AS (SELECT id, unnest(regexp_extract_all(text, '{T.LISTED}', 1)) AS token FROM r), k AS (SELECT token, min(id) AS first_id, count(*) AS n FROM x GROUP BY token) SELECT token, first_id, n FROM k")
+@query(f"WITH {RESP_SQL}, x AS (SELECT id, unnest(regexp_extract_all(text, '{LISTED}', 1)) AS token FROM r), k AS (SELECT token, min(id) AS first_id, count(*) AS n FROM x GROUP BY token) SELECT token, first_id, n FROM k")
 def q_distinct_candidates(spark, sf):
     found = responses(spark, sf).select("id", F.explode(T.extract_all(c("text"), T.LISTED)).alias("token"))
     return found.groupBy("token").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
