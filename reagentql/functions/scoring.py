@@ -106,7 +106,10 @@ def synthetic_access(heavy: Column, rings: Column, chiral: Column) -> Column:
 
 
 def synthetic_access_legacy(mw: Column, rings: Column, chiral: Column, hetero_ratio: Column) -> Column:
-    return clamp(8.0 - (mw - 500.0) / 100.0 - 0.5 * (rings - 3) - 0.3 * chiral + F.when(hetero_ratio > 0.3, 0.5).otherwise(0.0), 1.0, 10.0)
+    """The older rule: what exceeds 500 Da, three rings or no stereo centre costs, a share of hetero atoms over 0.3 pays; 3 for a missing molecule."""
+    zero = F.lit(0.0)
+    cost = F.greatest(zero, mw - 500.0) / 100.0 + 0.5 * F.greatest(zero, rings - 3.0) + 0.3 * chiral
+    return F.coalesce(clamp(8.0 - cost + F.when(hetero_ratio > 0.3, 0.5).otherwise(0.0), 1.0, 10.0), F.lit(3.0))
 
 
 def composite(bbb, act, tox, access, drug) -> Column:
@@ -295,11 +298,78 @@ def fisher_z(r: Column) -> Column:
     return 0.5 * F.ln((1.0 + c) / (1.0 - c))
 
 
-def feedback_text(vina: Column, dili: Column, bbb: Column) -> Column:
-    """Advice by bands, joined with bars."""
-    parts = (
-        F.when(vina <= -10, "binding strong").when(vina <= -7, "binding moderate").when(vina.isNotNull(), "binding weak"),
-        F.when(dili > 0.8, "liver risk very high").when(dili > 0.5, "liver risk high").when(dili > 0.3, "liver risk moderate").when(dili.isNotNull(), "liver risk low"),
-        F.when(bbb > 0.7, "permeability good").when(bbb > 0.4, "permeability fair").when(bbb.isNotNull(), "permeability poor"),
-    )
+#: Bounds of the liver risk words: the evaluator's, and the stricter one of the search.
+LIVER_BANDS = {"evaluator": ((0.5, "high"), (0.3, "moderate")), "search": ((0.8, "very high"), (0.5, "high"), (0.3, "moderate"))}
+
+
+def feedback_text(vina, dili, bbb, mw=None, logp=None, tpsa=None, reward=None, prune=None, error=None, liver: str = "evaluator") -> Column:
+    """Advice by bands, joined with bars: binding, liver, permeability, then the parts that are given.
+
+    A missing docking score shows its error, if one is given; other missing values leave their part out.
+    """
+    none = F.lit(None).cast("string")
+    failed = F.concat(F.lit("binding failed: "), error) if error is not None else none
+    parts = [
+        F.when(vina > -7, "binding weak").when(vina < -10, "binding strong").when(vina.isNotNull(), "binding moderate").otherwise(F.coalesce(failed, F.lit("binding unknown"))),
+        F.when(dili.isNotNull(), F.concat(F.lit("liver risk "), bands(dili, *LIVER_BANDS[liver], otherwise="low"))),
+        F.when(bbb.isNotNull(), F.concat(F.lit("permeability "), bands(bbb, (0.7, "good"), (0.4, "fair"), otherwise="poor"))),
+    ]
+    if mw is not None:
+        parts.append(F.format_string("MW=%.1f, LogP=%.2f, TPSA=%.1f", mw, logp, tpsa))
+    if reward is not None:
+        parts.append(F.format_string("reward=%.4f", reward))
+    if prune is not None:
+        parts.append(F.concat(F.lit("pruned: "), prune))
     return F.concat_ws(" | ", *parts)
+
+
+def success_case(score: Column, band: Column, ratio: Column, least: float = 0.8, wanted: str = "high", least_ratio: float = 5.0) -> Column:
+    """A composite and a selectivity above their bounds, and the wanted permeability band."""
+    return F.coalesce((score > least) & (band == wanted) & (ratio > least_ratio), F.lit(False))
+
+
+def any_alert(matches: Column) -> Column:
+    """Whether any pattern of an array of (name, count) matches."""
+    return F.coalesce(F.exists(matches, lambda m: m["count"] > 0), F.lit(False))
+
+
+def cyp_flag(matches: Column, least: int = 2) -> Column:
+    """Whether all matches of an array of (name, count) together are enough."""
+    return F.coalesce(F.aggregate(matches, F.lit(0).cast("long"), lambda a, m: a + m["count"]) >= least, F.lit(False))
+
+
+def named_counts(matches: Column) -> Column:
+    """The matches of an array of (name, count) as name(count), zeros left out."""
+    found = F.filter(matches, lambda m: m["count"] > 0)
+    return F.transform(found, lambda m: F.concat(m["name"], F.lit("("), m["count"].cast("string"), F.lit(")")))
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How often a literal occurs, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def aromatic_nitrogen(line: Column) -> Column:
+    """Whether a line notation has an aromatic nitrogen: an n outside or alone in brackets."""
+    return F.regexp_replace(line, r"\[(?!n)[^\]]*\]", "").contains("n")
+
+
+# What each predictor says of a molecule that cannot be read.
+MISSING = {
+    "toxicity": {"toxicity_score": 0.5, "pIC50": 6.5, "reactive_group_count": 0, "pains_alerts": 0, "nih_alerts": 0, "brenk_alerts": 0, "herg_risk": False, "cyp_risk": False},
+    "permeability": {"logBB_est": -1.0, "bbb_score": 0.0, "classification": "very_low", "cns_drug_like": False, "score": 0.0},
+}
+
+
+def or_missing(readable: Column, predictor: str, **columns: Column) -> dict[str, Column]:
+    """The columns of a predictor, or its fixed values where the molecule is not readable."""
+    return {n: F.when(readable, x).otherwise(F.lit(MISSING[predictor][n])).alias(n) for n, x in columns.items()}
+
+
+#: Digits that results are shown with.
+SHOWN = {"mw": 2, "logp": 2, "tpsa": 2, "vina_norm": 4, "dili_norm": 4, "herg_norm": 4, "bbb_norm": 4, "reward": 4}
+
+
+def shown(columns: list[str], digits: dict[str, int] = SHOWN) -> list[Column]:
+    """The columns, rounded where they are shown with few digits."""
+    return [F.round(n, digits[n]).alias(n) if n in digits else F.col(n) for n in columns]

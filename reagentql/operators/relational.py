@@ -35,10 +35,70 @@ def already_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
     return df.join(known.select(*keys).distinct(), keys, "left_semi")
 
 
-def sequence_ids(df: DataFrame, group: str, order: list[Column], out: str = "seq_id", width: int = 5) -> DataFrame:
-    """group_00000, group_00001, ... in order within each group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn(out, F.concat_ws("_", F.col(group), F.lpad(n.cast("string"), width, "0")))
+#: Ranges into which a group's rows are dealt, so that no task sorts a whole group.
+RANGES = 256
+
+
+def _ranges(df: DataFrame, value: str) -> Column:
+    """The range (0 to RANGES - 1) of a column; ranges rise with it and hold about as many rows each.
+
+    Strings are placed by their first seven bytes.
+    """
+    key = F.col(value)
+    if dict(df.dtypes)[value] == "string":
+        key = F.conv(F.rpad(F.substring(F.hex(key), 1, 14), 14, "0"), 16, 10).cast("double")
+    shares = [i / RANGES for i in range(1, RANGES)]
+    ends = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x < key)), F.lit(0)) if ends else F.lit(0)
+
+
+def numbered(df: DataFrame, groups: list[str], value: str, ties: list[Column], out: str, bucket: Column | None = None) -> DataFrame:
+    """Rows numbered from 0 within each group by a column (its nulls first), then ``ties``.
+
+    Rows are dealt by ranges of the column: each range is sorted on its own and gets the number
+    of rows before it, so that a group of any size is spread over many tasks.  ``bucket`` may name
+    ranges that are known; they must rise with the column.
+    """
+    dealt = df.withColumn("__range", _ranges(df, value) if bucket is None else bucket)
+    counts = dealt.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(value, *ties)) - 1
+    rows = dealt.withColumn("__within", within).join(counts, [*groups, "__range"])
+    return rows.withColumn(out, F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
+
+
+def exact_quantile(df: DataFrame, by: list[str], value: str, share: float, out: str) -> DataFrame:
+    """The exact quantile (interpolated) of a column per group, null for a group without values.
+
+    Ranges are counted first; only those that hold the quantile's two neighbours are sorted.
+    """
+    dealt = df.withColumn("__range", _ranges(df, value))
+    counts = dealt.groupBy(*by, "__range").agg(F.count(value).alias("__k"))
+    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = F.sum("__k").over(order.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"__upto": upto, "__n": F.sum("__k").over(order)})
+    at = (F.col("__n") - 1) * F.lit(share)
+    counts = counts.withColumns({"__low": F.floor(at), "__high": F.ceil(at), "__part": at - F.floor(at)})
+    needed = counts.where((F.col("__upto") > F.col("__low")) & (F.col("__upto") - F.col("__k") <= F.col("__high")))
+    rows = dealt.where(F.col(value).isNotNull()).join(needed, [*by, "__range"])
+    number = F.col("__upto") - F.col("__k") + F.row_number().over(Window.partitionBy(*by, "__range").orderBy(value)) - 1
+    ends = rows.withColumn("__i", number).groupBy(*by).agg(
+        F.max(F.when(F.col("__i") == F.col("__low"), F.col(value))).alias("__a"), F.max(F.when(F.col("__i") == F.col("__high"), F.col(value))).alias("__b"), F.first("__part").alias("__part")
+    )
+    ends = ends.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(out))
+    return df.select(*by).distinct().join(ends, by, "left") if by else ends
+
+
+def sequence_ids(df: DataFrame, group: str, position: str, ties: list[Column] = (), out: str = "seq_id", width: int = 5) -> DataFrame:
+    """group_00000, group_00001, ... by position within each group."""
+    rows = numbered(df, [group], position, list(ties), "__i")
+    return rows.withColumn(out, F.concat_ws("_", F.col(group), F.lpad(F.col("__i").cast("string"), width, "0"))).drop("__i")
+
+
+def rebuilt_ids(df: DataFrame, group: str, key: str, position: str, out: str = "seq_id", width: int = 5) -> DataFrame:
+    """The first row of each key over all groups, with new sequence ids in each group."""
+    return sequence_ids(first_seen(df, [key], [F.col(position)]), group, position, [], out, width)
 
 
 def attempt_streaks(attempts: DataFrame, group: str, attempt: str, key: str, position: str, stop_after: int = 3, enough: int | None = None) -> DataFrame:
@@ -72,20 +132,23 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
 
 def split_rows(df: DataFrame, stratum: str, key: str, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
     """Exact shares of every stratum in hash order, the last share taking the rest."""
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(hash_order(key, seed=seed), F.col(key)))
-    out, start = F.lit(shares[-1][0]), F.lit(0)
-    for name, share in reversed(shares[:-1]):
-        until = sum((F.floor(n * F.lit(s)) for _, s in shares[: [x for x, _ in shares].index(name) + 1]), F.lit(0))
-        out = F.when(i <= until, name).otherwise(out)
-    return df.withColumn("split", out)
-
-
-def pad_rows(df: DataFrame, group: str, order: list[Column], n: int, filler: dict[str, Column]) -> DataFrame:
-    """Exactly ``n`` rows per group, numbered from 1; missing ones carry the filler values."""
+    # The hash's first two digits are ranges of about equal size.
+    rows = numbered(df.withColumn("__h", hash_order(key, seed=seed)), [stratum], "__h", [F.col(key)], "__i", F.substring("__h", 1, 2)).drop("__h")
+    rows = rows.join(df.groupBy(stratum).agg(F.count("*").alias("__n")), stratum)
+    out, until = F.lit(shares[-1][0]), F.lit(0)
+    bounds = []
+    for name, share in shares[:-1]:
+        until = until + F.floor(F.col("__n") * F.lit(share))
+        bounds.append((name, until))
+    for name, until in reversed(bounds):
+        out = F.when(F.col("__i") < until, name).otherwise(out)
+    return rows.withColumn("split", out).drop("__i", "__n")
+
+
+def pad_rows(df: DataFrame, group: str, order: list[Column], n: int, filler: dict[str, Column], groups: DataFrame | None = None) -> DataFrame:
+    """Exactly ``n`` rows per group (of ``groups``, if given), numbered from 1; missing ones carry the filler values."""
     ranked = top_per_group(df, [group], order, n, "slot")
-    slots = df.select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    slots = (df if groups is None else groups).select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
     out = slots.join(ranked, [group, "slot"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in filler.items()})
 
@@ -93,22 +156,25 @@ def pad_rows(df: DataFrame, group: str, order: list[Column], n: int, filler: dic
 def summary(df: DataFrame, value: str, by: list[str] = (), high: float = 0.7) -> DataFrame:
     """Count, mean, extremes, median and both deviations of a value, and how many exceed ``high``."""
     v = F.col(value)
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count(v).alias("n_valid"),
         F.round(F.avg(v), 6).alias("mean"),
         F.round(F.min(v), 6).alias("low"),
         F.round(F.max(v), 6).alias("high"),
-        F.round(F.median(v), 6).alias("median"),
         F.round(F.stddev_pop(v), 6).alias("std_pop"),
         F.round(F.stddev_samp(v), 6).alias("std_samp"),
         F.count_if(v > high).alias("n_high"),
     )
+    middle = exact_quantile(df, list(by), value, 0.5, "median").withColumn("median", F.round("median", 6))
+    if by:
+        return out.join(middle, list(by), "left")
+    return out.join(F.broadcast(middle), F.lit(True), "left")  # one row each
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for every pair of columns in one aggregate; null where a column is constant."""
-    pairs = list(combinations_with_replacement(columns, 2))
+def correlations(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """a, b, r for every pair of columns (or the pairs given) in one aggregate; null where a column is constant."""
+    pairs = list(combinations_with_replacement(columns, 2)) if pairs is None else pairs
     r = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
     one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(r(a, b), 6).alias("r")) for a, b in pairs]).alias("p"))
     return one.select(F.inline("p"))
@@ -172,8 +238,7 @@ def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cross_correlations(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """a, b, r of every column of ``left`` with every column of ``right``; pairs without a correlation are left out."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in left for b in right])
-    return correlations(df, [*left, *right]).join(F.broadcast(df.sparkSession.range(1).select(F.inline(pairs))), ["a", "b"], "left_semi").where("r IS NOT NULL")
+    return correlations(df, [], [(a, b) for a in left for b in right]).where("r IS NOT NULL")
 
 
 def run_summary(df: DataFrame, group: str, key: str, length: Column) -> DataFrame:
@@ -209,3 +274,88 @@ def mean_of_selected(df: DataFrame, group: str, value: str, selected: DataFrame,
     marks = selected.select(*keys).distinct().withColumn("__in", F.lit(True))
     mean = F.avg(F.when(F.col("__in"), F.col(value)))
     return df.join(marks, keys, "left").groupBy(group).agg(F.round(F.coalesce(mean, F.lit(float("nan"))), 6).alias("mean"))
+
+
+def above(df: DataFrame, value: str, least: float, n: int, ties: list[Column]) -> DataFrame:
+    """The ``n`` rows with the highest values at or above a threshold."""
+    return df.where(F.col(value) >= least).orderBy(F.desc(value), *ties).limit(n)
+
+
+def with_status(df: DataFrame, column: str, wanted: tuple[str, ...] = ("Approved", "Phase 3", "Phase 2"), order: list[Column] = (), n: int = 10) -> DataFrame:
+    """The first ``n`` rows in order whose status is wanted."""
+    return df.where(F.col(column).isin(*wanted)).orderBy(*order).limit(n)
+
+
+def best_first(df: DataFrame, value: str, position: str) -> DataFrame:
+    """All rows by descending value, equal ones by position, null values last, with their place from 1.
+
+    Places are found range by range, so no task sorts the table.
+    """
+    rows = df.withColumn("__v", -F.coalesce(F.nullif(F.col(value).cast("double"), F.lit(float("nan"))), F.lit(float("-inf"))))
+    return numbered(rows, [], "__v", [F.col(position)], "place").withColumn("place", F.col("place") + 1).drop("__v").orderBy("place")
+
+
+def best_of(df: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """Of each group the row with the highest value, a null value counting as 0, the first of equals."""
+    return first_seen(df.withColumn("__v", F.coalesce(F.col(value), F.lit(0.0))), [group], [F.desc("__v"), *map(F.col, order)]).drop("__v")
+
+
+def matched(proposals: DataFrame, evaluations: DataFrame, keys: list[str]) -> DataFrame:
+    """Proposals with their evaluations by key; proposals without one stay."""
+    return proposals.join(evaluations.dropDuplicates(keys), keys, "left")
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str]) -> DataFrame:
+    """Each left row with the right row's values last known at its time, in one pass over both sides.
+
+    Both sides are put in order together (right before left at equal times), so no pair is built.
+    Right rows of equal group and time are ordered by their values.
+    """
+    null = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]
+    one = left.select(by, time, F.struct(*left.columns).alias("__l"), F.lit(1).alias("__side"), *null)
+    two = right.select(by, time, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), F.lit(0).alias("__side"), *values)
+    order = Window.partitionBy(by).orderBy(time, "__side", *values).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("__side") == 0, F.struct(*values)), True).over(order)
+    return one.unionByName(two).withColumn("__last", last).where("__side = 1").select("__l.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+
+
+def within_intervals(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, width: float) -> DataFrame:
+    """Points joined with the intervals [start, end] of their group that hold them.
+
+    Both meet in cells of ``width``: an interval is copied to the cells it touches, a point to one.
+    """
+    cell = lambda x: F.floor(F.col(x) / width).cast("long")
+    spread = intervals.withColumn("__cell", F.explode(F.sequence(cell(start), cell(end))))
+    return points.withColumn("__cell", cell(at)).join(spread, [by, "__cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__cell")
+
+
+def per_state(df: DataFrame, state: str, value: str, least: float = 0.8, n: int = 500, order: list[Column] = ()) -> DataFrame:
+    """The first ``n`` rows of each state with a value at or above the threshold."""
+    return top_per_group(df.where(F.col(value) >= least), [state], list(order), n, "__n").drop("__n")
+
+
+def outcome_counts(df: DataFrame, error: str) -> DataFrame:
+    """total, success and failed rows; a row fails if it has an error."""
+    return df.agg(F.count("*").alias("total"), F.count_if(F.col(error).isNull()).alias("success"), F.count_if(F.col(error).isNotNull()).alias("failed"))
+
+
+def template_pick(df: DataFrame, key: str, templates: tuple[str, ...], out: str, seed: int = 42) -> DataFrame:
+    """One of some texts per row, by hash of its key."""
+    n = F.conv(F.substring(hash_order(key, seed=seed), 1, 8), 16, 10).cast("long") % len(templates)
+    return df.withColumn(out, F.element_at(F.array(*[F.lit(t) for t in templates]), (n + 1).cast("int")))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """value, n of every value; null is one."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def grouped_reports(df: DataFrame, sets: list[list[str]], aggregates: list[Column]) -> DataFrame:
+    """Aggregates over several sets of columns at once (grouping sets), each row with its ``level``."""
+    every = list(dict.fromkeys(x for s in sets for x in s))
+    return df.groupingSets([[F.col(x) for x in s] for s in sets], *every).agg(F.grouping_id().alias("level"), *aggregates)
+
+
+def canonical_names(names: Column) -> Column:
+    """Slashes and blanks as underscores."""
+    return F.translate(names, "/ ", "__")

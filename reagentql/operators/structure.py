@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reagentql.operators.relational import first_seen, top_per_group
+from reagentql.operators.relational import exact_quantile, first_seen, top_per_group
 from reagentql.operators.vectors import within_radius
 
 # Residues that coordinate metals, metals, charged surface residues, gatekeeper numbers.
@@ -13,6 +14,7 @@ COORDINATING = ("CYS", "HIS", "ASP", "GLU", "MET")
 METALS = ("ZN", "MG", "MN", "FE", "CU", "CA", "CO", "NI", "CD")
 SURFACE = ("ARG", "LYS", "GLU", "ASP")
 GATEKEEPERS = (855, 883, 338)
+WATER = ("HOH", "WAT")
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -24,17 +26,76 @@ def residues(atoms: DataFrame) -> DataFrame:
 
 def components(atoms: DataFrame) -> DataFrame:
     """Non-polymer components: ligand (more than one atom) or metal, with centroid; water excluded."""
-    het = atoms.where((F.col("grp") == "HETATM") & (F.col("residue_name") != "HOH"))
+    het = atoms.where((F.col("grp") == "HETATM") & (~F.col("residue_name").isin(*WATER)))
     g = het.groupBy("file", "residue_name").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in "xyz"], F.first("element").alias("element"))
     kind = F.when((F.col("n") == 1) & F.upper("element").isin(*METALS), "metal").when(F.col("n") < 50, "ligand")
     return g.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
 def nearby_residues(atoms: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """cid, chain, auth_num, residue_name, d: residues with an atom closer than the radius; the first such atom's distance."""
-    used = atoms.where("residue_name <> 'HOH'").withColumn("pid", F.struct("file", "ordinal", "chain", "auth_num", "residue_name"))
-    found = within_radius(used, centres, radius).select("cid", "pid.*", "d")
-    return first_seen(found, ["cid", "chain", "auth_num"], [F.col("ordinal")]).drop("ordinal")
+    """cid, file, chain, auth_num, residue_name, d: residues with an atom closer than the radius to a centre of their own file.
+
+    ``centres`` has file, cid, x, y, z.  The distance is that of the first such atom; water is left
+    out.  A residue counts once per centre by its name, chain and number.
+    """
+    used = atoms.where(~F.col("residue_name").isin(*WATER)).withColumn("pid", F.struct("file", "ordinal", "chain", "auth_num", "residue_name"))
+    found = within_radius(used, centres, radius, ["file"]).select("cid", "pid.*", "d")
+    return first_seen(found, ["file", "cid", "chain", "auth_num", "residue_name"], [F.col("ordinal")]).drop("ordinal")
+
+
+def metal_sites(atoms: DataFrame, radius: float = 3.5) -> DataFrame:
+    """file, site_id, metal, x, y, z, residues, coordination: each metal with the residues around it and those that coordinate it.
+
+    Metals without a residue closer than the radius have no site.
+    """
+    metals = components(atoms).where("kind = 'metal'")
+    metals = metals.select("file", F.concat(F.lit("site_metal_"), F.lower("element")).alias("cid"), F.upper("element").alias("metal"), *"xyz")
+    around = nearby_residues(atoms.where("grp <> 'HETATM'"), metals, radius)
+    label = F.concat("residue_name", F.col("auth_num").cast("string"))
+    sites = around.groupBy("file", "cid").agg(
+        F.array_sort(F.collect_set(label)).alias("residues"), F.array_sort(F.collect_set(F.when(F.col("residue_name").isin(*COORDINATING), label))).alias("coordination")
+    )
+    return metals.join(sites, ["file", "cid"]).withColumnRenamed("cid", "site_id")
+
+
+def secondary_structure(rows: DataFrame) -> DataFrame:
+    """file, chain, kind, start, end, n: runs of residues in a row with the same kind (H, E, ...); null kinds are no run."""
+    order = Window.partitionBy("file", "chain").orderBy("residue_num")
+    new = F.coalesce((F.lag("kind").over(order) != F.col("kind")) | (F.lag("residue_num").over(order) != F.col("residue_num") - 1) | F.lag("kind").over(order).isNull(), F.lit(True))
+    runs = rows.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order)).where("kind IS NOT NULL")
+    out = runs.groupBy("file", "chain", "kind", "__run").agg(F.min("residue_num").alias("start"), F.max("residue_num").alias("end"), F.count("*").alias("n"))
+    return out.drop("__run")
+
+
+def binding_sites(atoms: DataFrame, ligand_radius: float = 6.0) -> DataFrame:
+    """file, method, site_id, residues of all sites, in the order of their methods: ligand, ATP pocket, metal, surface."""
+    polymer, listed = atoms.where("grp <> 'HETATM'"), lambda x: F.array_sort(F.collect_set(x))
+    label = F.concat("residue_name", F.col("auth_num").cast("string"))
+    ligands = components(atoms).where("kind = 'ligand'").select("file", F.concat(F.lit("site_"), "residue_name").alias("cid"), *"xyz")
+    near = nearby_residues(polymer, ligands, ligand_radius).groupBy("file", F.col("cid").alias("site_id")).agg(listed(label).alias("residues"))
+    once = residues(polymer)
+    atp = atp_pocket(once).groupBy("file").agg(listed(label).alias("residues")).select("file", F.lit("site_atp_binding").alias("site_id"), "residues")
+    metal = metal_sites(atoms).select("file", "site_id", "residues")
+    surface = surface_residues(once).groupBy("file").agg(listed(label).alias("residues")).select("file", F.lit("site_allosteric").alias("site_id"), "residues")
+    out = None
+    for k, part in enumerate((near, atp, metal, surface)):
+        part = part.select("file", F.lit(k).alias("method"), "site_id", "residues")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Words of a description, and the gene each names, in order.
+GENES = (
+    ("epidermal growth factor receptor", "EGFR"), ("vascular endothelial growth factor", "VEGFA"), ("isocitrate dehydrogenase", "IDH1"), ("p53", "TP53"),
+    ("mdm2", "MDM2"), ("mgmt", "MGMT"), ("programmed cell death protein 1", "PDCD1"), ("phosphatidylinositol-4,5-bisphosphate 3-kinase", "PIK3CA"),
+)
+
+
+def gene_of(description: Column) -> Column:
+    """(gene, organism) by words of an entity's description; nulls where none is known."""
+    low = F.lower(description)
+    gene = F.coalesce(*[F.when(low.contains(words), F.lit(gene)) for words, gene in GENES])
+    return F.struct(gene.alias("gene"), F.when(gene.isNotNull(), F.lit("Homo sapiens")).alias("organism"))
 
 
 def surface_residues(rows: DataFrame, n: int = 20) -> DataFrame:
@@ -44,13 +105,51 @@ def surface_residues(rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def atp_pocket(rows: DataFrame, low: int = 800, high: int = 900, n: int = 30) -> DataFrame:
-    """Where a gatekeeper residue exists, the ``n`` residues numbered between low and high nearest to it by sequence."""
-    gate = rows.where(F.col("auth_num").isin(*GATEKEEPERS)).groupBy("file").agg(F.min("auth_num").alias("gate"))
-    near = rows.join(F.broadcast(gate), "file").where(F.col("auth_num").between(low, high)).withColumn("far", F.abs(F.col("auth_num") - F.col("gate")))
+    """Where a gatekeeper residue exists (the first listed one that does), the ``n`` residues numbered between low and high nearest to it by sequence."""
+    places = F.array(*[F.lit(g) for g in GATEKEEPERS])
+    gate = rows.where(F.col("auth_num").isin(*GATEKEEPERS)).groupBy("file").agg(F.min_by("auth_num", F.array_position(places, F.col("auth_num"))).alias("gate"))
+    near = rows.join(gate, "file").where(F.col("auth_num").between(low, high)).withColumn("far", F.abs(F.col("auth_num") - F.col("gate")))
     return top_per_group(near, ["file"], [F.col("far"), F.col("ordinal")], n, "k").drop("k")
 
 
 def pocket_radius(near: DataFrame, default: float = 5.0) -> DataFrame:
     """cid, radius (75th percentile of distances), volume."""
-    r = F.coalesce(F.percentile("d", F.lit(0.75)), F.lit(default))
-    return near.groupBy("cid").agg(r.alias("radius")).withColumn("volume", 4.0 / 3 * F.pi() * F.pow("radius", F.lit(3)))
+    r = exact_quantile(near, ["cid"], "d", 0.75, "radius").withColumn("radius", F.coalesce("radius", F.lit(default)))
+    return r.withColumn("volume", 4.0 / 3 * F.pi() * F.pow("radius", F.lit(3)))
+
+
+#: First residues of each class that are listed.
+KEY_RESIDUES = {
+    "hydrophobic_regions": 50, "hydrogen_bond_donors": 50, "hydrogen_bond_acceptors": 50, "aromatic_regions": 30, "positive_charge": 30, "negative_charge": 30,
+}
+
+
+def key_residues(features: Column, limits: dict[str, int] = KEY_RESIDUES) -> dict[str, Column]:
+    """The first residues of each class of a pharmacophore; none where a class is missing."""
+    return {name: F.coalesce(F.slice(features[name], 1, n), F.array()).alias(name) for name, n in limits.items()}
+
+
+def model_input(rows: DataFrame) -> DataFrame:
+    """target_id, sequence, sequence_length, binding_pockets, pharmacophore (counts) of target documents.
+
+    ``rows`` has name, sequence, binding_sites (structs with site_id, site_name and more) and
+    pharmacophore_features (a struct of arrays).  Missing parts are empty.
+    """
+    kind = rows.schema["pharmacophore_features"].dataType
+    counts = [F.greatest(F.size(F.col(f"pharmacophore_features.{f.name}")), F.lit(0)).alias(f.name) for f in kind.fields]
+    site = rows.schema["binding_sites"].dataType.elementType
+    rename = {"site_id": "pocket_id", "site_name": "pocket_name", "center": "center_3d"}
+    pockets = F.transform("binding_sites", lambda s: F.struct(*[s[f.name].alias(rename.get(f.name, f.name)) for f in site.fields]))
+    return rows.select(
+        F.col("name").alias("target_id"),
+        F.coalesce("sequence", F.lit("")).alias("sequence"),
+        F.coalesce(F.length("sequence"), F.lit(0)).alias("sequence_length"),
+        F.coalesce(pockets, F.array().cast(rows.select(pockets.alias("p")).schema["p"].dataType)).alias("binding_pockets"),
+        F.struct(*counts).alias("pharmacophore"),
+    )
+
+
+def compare_targets(rows: DataFrame, key: str, wanted: list) -> DataFrame:
+    """name, length, sites of the targets wanted; those that are missing are left out."""
+    n = F.greatest(F.size("binding_sites"), F.lit(0))
+    return rows.where(F.col(key).isin(*wanted)).select("name", F.coalesce(F.length("sequence"), F.lit(0)).alias("length"), n.alias("sites"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,29 +32,60 @@ def spearman_to_signature(cells: DataFrame, signature: DataFrame) -> DataFrame:
     return rho.select("cell", (F.round("rho", 6) + 0.0).alias("rho"), (F.round(fisher_z(F.col("rho")), 5) + 0.0).alias("z"))
 
 
-def best_set_match(sets: DataFrame, references: DataFrame) -> DataFrame:
+#: References that are matched in one pass over the sets.
+REFERENCE_BLOCK = 4096
+
+
+def best_set_match(sets: DataFrame, references: DataFrame, block: int = REFERENCE_BLOCK) -> DataFrame:
     """id, best: the highest Tanimoto similarity of each token set (id, tokens) to any reference set.
 
-    Overlaps are counted through shared tokens, without comparing every pair.
+    References are dealt into blocks of about ``block`` sets; a block's tokens list the sets that
+    hold them, and every set adds up the lists of its tokens.  No pair is shuffled, and common
+    tokens only make lists of at most a block.
     """
-    left = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    right = references.select(F.col("id").alias("ref"), F.size("tokens").alias("m"), F.explode("tokens").alias("t"))
-    shared = left.join(right, "t").groupBy("id", "ref", "n", "m").agg(F.count("*").alias("both"))
-    score = shared.groupBy("id").agg(F.max(F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("best"))
-    return sets.select("id").join(score, "id", "left").select("id", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
+    n = max(1, -(-references.count() // block))
+    part = F.pmod(F.xxhash64("id"), F.lit(n))
+    out = None
+    for k in range(n):
+        rows = references.where(part == k).select("tokens").collect()
+        lists: dict = {}
+        for i, r in enumerate(rows):
+            for t in set(r["tokens"] or []):
+                lists.setdefault(t, []).append(i)
+        table = {t: np.array(x, np.int32) for t, x in lists.items()}, np.array([len(set(r["tokens"] or [])) for r in rows], np.int64)
+        shared = sets.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches, shared=shared):
+            lists, sizes = shared.value
+            for batch in batches:
+                best = []
+                for tokens in batch.column("tokens").to_pylist():
+                    mine = set(tokens or [])
+                    hits = [lists[t] for t in mine if t in lists]
+                    both = np.bincount(np.concatenate(hits), minlength=len(sizes)) if hits else np.zeros(0, np.int64)
+                    best.append(float((both / (sizes + len(mine) - both)).max()) if len(both) else 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best, pa.float64())], ["id", "best"])
 
+        found = sets.select("id", "tokens").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, best double")
+        out = found if out is None else out.unionByName(found)
+    if n > 1:
+        out = out.groupBy("id").agg(F.max("best").alias("best"))
+    return out.select("id", F.round("best", 6).alias("best"))
 
-def within_radius(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+
+def within_radius(points: DataFrame, centres: DataFrame, radius: float, by: list[str] = ()) -> DataFrame:
     """Pairs of a point (pid, x, y, z) and a centre (cid, x, y, z) closer than the radius, with their distance.
 
+    Only points and centres with equal ``by`` columns are compared.
+
     Both sides meet in grid cells as wide as the radius; centres are copied to the 27 cells
     around them, so only neighbours are compared.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     near = F.sequence(F.lit(-1), F.lit(1))
-    p = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"], *[cell(c).alias(f"g{c}") for c in "xyz"])
-    c = centres.select("cid", *[F.col(c).alias(f"c{c}") for c in "xyz"], *[cell(c).alias(f"h{c}") for c in "xyz"])
+    p = points.select("pid", *by, *[F.col(c).alias(f"p{c}") for c in "xyz"], *[cell(c).alias(f"g{c}") for c in "xyz"])
+    c = centres.select("cid", *by, *[F.col(c).alias(f"c{c}") for c in "xyz"], *[cell(c).alias(f"h{c}") for c in "xyz"])
     for axis in "xyz":
         c = c.withColumn("__d", F.explode(near)).withColumn(f"g{axis}", F.col(f"h{axis}") + F.col("__d")).drop("__d")
     d = distance(*[F.col(f"{s}{a}") for s in "pc" for a in "xyz"])
-    return p.join(c, ["gx", "gy", "gz"]).withColumn("d", d).where(F.col("d") < radius).select("cid", "pid", "d")
+    return p.join(c, [*by, "gx", "gy", "gz"]).withColumn("d", d).where(F.col("d") < radius).select("cid", "pid", "d")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reagentql.plans import extraction, relational, reports, scores, texts
+from reagentql.plans import extraction, more, relational, reports, scores, texts
 
-MODULES = (scores, relational, texts, extraction, reports)
+MODULES = (scores, relational, texts, extraction, reports, more)
 
 
 def queries() -> dict:

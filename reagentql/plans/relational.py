@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reagentql.operators import relational as R
+from reagentql.operators import structure as P
 from reagentql.operators import vectors as V
 from reagentql.plans.proxies import read
 
@@ -65,7 +66,7 @@ def q_attempt_streaks(spark, sf):
 
 @query(f"WITH {ATTEMPT} SELECT pos, target || '_' || lpad(CAST(row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS VARCHAR), 5, '0') AS seq_id FROM a")
 def q_seq_ids(spark, sf):
-    return R.sequence_ids(attempts(spark, sf), "target", [c("pos")]).select("pos", "seq_id")
+    return R.sequence_ids(attempts(spark, sf), "target", "pos").select("pos", "seq_id")
 
 
 @query("""WITH w AS (SELECT event_type, user_id % 8 AS k, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT *, CASE event_type WHEN 'view' THEN 'high' WHEN 'signup' THEN 'moderate' ELSE 'low' END AS profile FROM w)
@@ -139,10 +140,8 @@ def q_sessions(spark, sf):
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events), s AS (SELECT event_type, unnest(range(1, 6)) AS slot FROM t), r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE value > 400)
   SELECT s.event_type, CAST(slot AS INTEGER) AS slot, coalesce(event_id, -1) AS event_id, coalesce(value, 0) AS value FROM s LEFT JOIN r ON r.event_type = s.event_type AND n = slot""")
 def q_pad_rows(spark, sf):
-    rows, types = read(spark, sf, "events").select("event_type", "event_id", "value"), read(spark, sf, "events").select("event_type").distinct()
-    slots = types.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    ranked = R.top_per_group(rows.where(c("value") > 400), ["event_type"], [c("event_id")], 5, "slot")
-    return slots.join(ranked, ["event_type", "slot"], "left").select("event_type", "slot", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    rows = read(spark, sf, "events").select("event_type", "event_id", "value")
+    return R.pad_rows(rows.where(c("value") > 400), "event_type", [c("event_id")], 5, {"event_id": F.lit(-1), "value": F.lit(0.0)}, rows)
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
@@ -229,5 +228,6 @@ def q_radius_residues(spark, sf):
     e = read(spark, sf, "embeddings")
     p = e.select(c("vec_id").alias("pid"), "label", *[c("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
     centres = p.groupBy(c("label").alias("cid")).agg(*[F.avg(a).alias(a) for a in "xyz"])
-    near = V.within_radius(p, centres, 0.12).groupBy("cid").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.75)).alias("q"), r6(F.avg("d")).alias("mean"))
-    return near.select("cid", "n", r6(c("q")).alias("radius"), r6(4.0 / 3 * F.pi() * F.pow("q", F.lit(3))).alias("volume"), "mean")
+    near = V.within_radius(p, centres, 0.12)
+    size = P.pocket_radius(near).select("cid", r6(c("radius")).alias("radius"), r6(c("volume")).alias("volume"))
+    return near.groupBy("cid").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean")).join(size, "cid")

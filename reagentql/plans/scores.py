@@ -227,14 +227,17 @@ def q_rollup_report(spark, sf):
 
 @query(SCORED_SQL + "SELECT id, composite, band, round(act / tox, 6) AS selectivity FROM s WHERE composite > 0.6 AND band = 'high' AND act / tox > 1.2")
 def q_success_cases(spark, sf):
-    return scored(spark, sf).where((c("composite") > 0.6) & (c("band") == "high") & (c("act") / c("tox") > 1.2)).select("id", "composite", "band", r6(c("act") / c("tox")).alias("selectivity"))
+    ratio = c("act") / c("tox")
+    # With the original bounds no row of this table can pass; see the tests.
+    return scored(spark, sf).where(S.success_case(c("composite"), c("band"), ratio, 0.6, "high", 1.2)).select("id", "composite", "band", r6(ratio).alias("selectivity"))
 
 
-@query(f"""WITH {MOL_SQL} SELECT id, concat_ws(' | ', CASE WHEN vina <= -10 THEN 'binding strong' WHEN vina <= -7 THEN 'binding moderate' ELSE 'binding weak' END,
+@query(f"""WITH {MOL_SQL} SELECT id, concat_ws(' | ', CASE WHEN vina < -10 THEN 'binding strong' WHEN vina > -7 THEN 'binding weak' ELSE 'binding moderate' END,
   CASE WHEN dili > 0.8 THEN 'liver risk very high' WHEN dili > 0.5 THEN 'liver risk high' WHEN dili > 0.3 THEN 'liver risk moderate' ELSE 'liver risk low' END,
-  CASE WHEN {BBBN} > 0.7 THEN 'permeability good' WHEN {BBBN} > 0.4 THEN 'permeability fair' ELSE 'permeability poor' END) AS feedback FROM mol""")
+  CASE WHEN {BBBN} > 0.7 THEN 'permeability good' WHEN {BBBN} > 0.4 THEN 'permeability fair' ELSE 'permeability poor' END, printf('MW=%.1f, LogP=%.2f, TPSA=%.1f', round(mw, 1), round(logp, 2), round(tpsa, 1)), 'pruned: ' || ({PRUNE})) AS feedback FROM mol""")
 def q_feedback_text(spark, sf):
-    return mol(spark, sf).select("id", S.feedback_text(c("vina"), c("dili"), S.bbb_score(_log_bb())).alias("feedback"))
+    shown = [c(n).cast("double") for n in ("mw", "logp", "tpsa")]
+    return mol(spark, sf).select("id", S.feedback_text(c("vina"), c("dili"), S.bbb_score(_log_bb()), *shown, prune=_prune(), liver="search").alias("feedback"))
 
 
 @query(f"""WITH {MOL_SQL}, r AS (SELECT * FROM (VALUES ('mw', 200e0, 500e0), ('logp', 1e0, 4e0), ('tpsa', 40e0, 90e0)) t(property, low, high)),

@@ -10,7 +10,7 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     builder = SparkSession.builder.appName("reagentql")
     if master:
         builder = builder.master(master)
-    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
+    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for key, value in (conf | settings).items():

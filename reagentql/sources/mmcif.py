@@ -17,49 +17,72 @@ ITEM = re.compile(r"'((?:[^']|'(?=\S))*)'(?=\s|$)|\"((?:[^\"]|\"(?=\S))*)\"(?=\s
 ROWS = "file string, block string, category string, ordinal int, fields map<string,string>, error string"
 
 
-def items(line: str) -> list[str | None]:
-    """The values of a line; unquoted ? and . are missing."""
-    out: list[str | None] = []
-    for single, double, bare in ITEM.findall(line):
-        out.append((None if bare in ("?", ".") else bare) if bare else single or double)
-    return out
+def tokens(text: str) -> Iterator[tuple[str, bool]]:
+    """(value, bare) of a file, in order; comments are left out, text between lines that begin with ; is one value."""
+    lines = iter(text.splitlines())
+    for line in lines:
+        if line.startswith(";"):
+            held = [line[1:]]
+            for more in lines:
+                if more.startswith(";"):
+                    break
+                held.append(more)
+            yield "\n".join(held).strip(), False
+            continue
+        for m in ITEM.finditer(line):
+            if m[3] is None:
+                yield m[1] if m[1] is not None else m[2], False
+            elif m[3].startswith("#"):
+                break
+            else:
+                yield m[3], True
 
 
 def parse(text: str) -> Iterator[tuple[str, str, int, dict[str, str]]]:
-    """(block, category, ordinal, fields) of every loop row and of each category of single items."""
-    block, singles, lines = "", {}, text.splitlines()
-    i = 0
-
-    def flush():
-        for category, fields in singles.items():
-            yield block, category, 0, fields
-        singles.clear()
-
-    while i < len(lines):
-        line = lines[i].strip()
-        i += 1
-        if line.startswith("data_"):
-            yield from flush()
-            block = line[5:]
-        elif line == "loop_":
-            names = []
-            while i < len(lines) and lines[i].strip().startswith("_"):
-                names.append(lines[i].strip()[1:])
-                i += 1
-            ordinal = 0
-            while i < len(lines) and (row := lines[i].strip()) and not row.startswith(("_", "loop_", "data_", "#")):
-                values = items(row)
-                if names and len(values) == len(names):
-                    category = names[0].partition(".")[0]
-                    yield block, category, ordinal, {n.partition(".")[2]: v for n, v in zip(names, values) if v is not None}
-                    ordinal += 1
-                i += 1
-        elif line.startswith("_"):
-            name, *rest = line.split(None, 1)
-            category, _, item = name[1:].partition(".")
-            if rest and (value := items(rest[0])) and value[0] is not None:
-                singles.setdefault(category, {})[item] = value[0]
-    yield from flush()
+    """(block, category, ordinal, fields) of every loop row and of each category of single items.
+
+    A row may wrap over lines; unquoted ? and . are missing.  A category that a block repeats gets
+    the suffix _2, _3 and so on.
+    """
+    block, singles, seen = "", {}, {}
+    found = iter([*tokens(text), ("data_", True)])
+    value = next(found)
+
+    def named(category):
+        seen[category] = seen.get(category, 0) + 1
+        return category if seen[category] == 1 else f"{category}_{seen[category]}"
+
+    def mark(t):
+        return t[1] and (t[0].startswith("_") or t[0] == "loop_" or t[0].startswith("data_"))
+
+    while True:
+        word, bare = value
+        if bare and word.startswith("data_"):
+            for category, fields in singles.items():
+                yield block, named(category), 0, fields
+            singles, seen, block = {}, {}, word[5:]
+            if (value := next(found, None)) is None:
+                return
+        elif bare and word == "loop_":
+            names, values = [], []
+            while (value := next(found))[1] and value[0].startswith("_"):
+                names.append(value[0][1:])
+            while not mark(value):
+                values.append(None if value[1] and value[0] in ("?", ".") else value[0])
+                value = next(found)
+            category = named(names[0].partition(".")[0]) if names else ""
+            for ordinal in range(len(values) // len(names) if names else 0):
+                row = values[ordinal * len(names) : (ordinal + 1) * len(names)]
+                yield block, category, ordinal, {n.partition(".")[2]: v for n, v in zip(names, row) if v is not None}
+        elif bare and word.startswith("_"):
+            category, _, item = word[1:].partition(".")
+            value = next(found)
+            if not mark(value):
+                if not (value[1] and value[0] in ("?", ".")):
+                    singles.setdefault(category, {})[item] = value[0]
+                value = next(found)
+        else:
+            value = next(found)
 
 
 def read_mmcif(spark: SparkSession, pattern: str) -> DataFrame:
@@ -99,3 +122,14 @@ def atoms(rows: DataFrame) -> DataFrame:
         f("label_asym_id").alias("chain"),
     )
     return out.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+
+
+#: Target of a structure file, by the start of its name.
+TARGETS = {"1iv0": "EGFR", "3vhe": "VEGF_VEGFR", "3inm": "IDH1_IDH2"}
+
+
+def with_targets(rows: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
+    """``rows`` with the target that the file's name stands for, else the name without its endings."""
+    stem = F.regexp_replace("file", r"(\.cif|\.mmcif)?(\.gz)?$", "")
+    known = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
+    return rows.withColumn("target", F.coalesce(F.try_element_at(known, F.lower(stem)), stem))

@@ -146,10 +146,45 @@ def connectivity(spark: SparkSession, path: str) -> DataFrame:
     return long.unpivot(["cell_state"], drugs, "drug", "score")
 
 
+def combinations(spark: SparkSession, path: str) -> DataFrame:
+    """Compounds and Combination_Index of a combination table; indices that cannot be read are null."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.trim("Compounds").alias("Compounds"), F.col("Combination_Index").try_cast("double").alias("Combination_Index"))
+
+
+def target_summary(summaries: DataFrame, name: str, column: str = "target_name") -> DataFrame:
+    """One target of a summary table; no rows where it is missing."""
+    return summaries.where(F.col(column) == name)
+
+
+def templates(path: str, language: str = "english") -> dict:
+    """The settings of a template file, the English one of a pair by its name; a file that is not there has none."""
+    import os
+
+    base, dot, kind = path.rpartition(".")
+    english = f"{os.path.dirname(path)}/{language}_{os.path.basename(base)}{dot}{kind}"
+    chosen = english if os.path.exists(english) else path
+    if not os.path.exists(chosen):
+        return {}
+    import yaml
+
+    with open(chosen, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
 def existing_candidates(spark: SparkSession, pattern: str) -> DataFrame:
-    """Distinct target, smiles of earlier result CSVs; the target is found in the file name."""
-    rows = spark.read.option("header", True).csv(pattern)
-    name = next(n for n in rows.columns if n.lower() == "smiles")
-    known = F.upper(F.col("_metadata.file_name"))
+    """Distinct target, smiles of earlier result CSVs; the target is found in the file name.
+
+    Every file has its own header, so the place of its smiles column is read from its first line;
+    a file without such a column, or without a header, gives no rows.
+    """
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    first = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n", 2)[0].alias("head"))
+    names = F.transform(F.split(F.regexp_replace("head", "\ufeff", ""), ","), lambda n: F.lower(F.trim(F.replace(n, F.lit('"'), F.lit("")))))
+    places = first.select("path", F.array_position(names, "smiles").cast("int").alias("at"), F.size(names).alias("width")).where("at > 0")
+    # A quoted field may hold commas.
+    cell = F.expr("""trim(replace(try_element_at(regexp_extract_all(value, '(?:^|,)("(?:[^"]|"")*"|[^,]*)', 1), at), '"', ''))""")
+    rows = lines.join(places, "path").select(F.col("name"), cell.alias("smiles")).where("lower(smiles) <> 'smiles'")
+    known = F.upper(F.col("name"))
     target = F.when(known.contains("VEGF"), "VEGF_VEGFR").when(known.contains("IDH1"), "IDH1_IDH2").when(known.contains("EGFR") | known.contains("EFGR"), "EGFR")
-    return rows.select(target.alias("target"), F.trim(F.col(name)).alias("smiles")).where("smiles <> ''").distinct()
+    return rows.select(target.alias("target"), "smiles").where("smiles <> ''").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reagentql.operators.relational import novel, sequence_ids
@@ -18,7 +18,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_candidates_csv(df: DataFrame, path: str, target: str = "target", order: str = "smiles") -> None:
     """Sequence id, target, smiles and properties with two decimals, under a header."""
-    numbered = sequence_ids(df, target, [F.col(order)])
+    numbered = sequence_ids(df, target, order)
     shown = [two_decimals(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in numbered.dtypes]
     numbered.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
@@ -45,6 +45,35 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
         fresh.unpersist()
 
 
+def write_state(results: DataFrame, path: str, attempt: int) -> None:
+    """The whole result table after an attempt, in a folder of its own; a repeated attempt replaces its folder."""
+    results.write.mode("overwrite").parquet(f"{path}/attempt={attempt}")
+
+
+def last_state(spark: SparkSession, path: str) -> DataFrame:
+    """The result table of the last attempt that was written."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("attempt") == rows.agg(F.max("attempt")).first()[0]).drop("attempt")
+
+
+def summary_report(rows: DataFrame, name: str = "target_name", error: str = "error") -> DataFrame:
+    """One JSON document: totals, how many succeeded and failed, and each target's status by name."""
+    status = F.when(F.col(error).isNull(), "success").otherwise("failed")
+    one = rows.agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col(error).isNull()).alias("success"),
+        F.count_if(F.col(error).isNotNull()).alias("failed"),
+        F.array_sort(F.collect_list(F.struct(F.col(name).alias("target"), status.alias("status"), F.col(error).alias("error")))).alias("targets"),
+    )
+    return one.select(F.to_json(F.struct("total", "success", "failed", "targets")).alias("report"))
+
+
+def console_lines(rows: DataFrame, title: str, columns: dict[str, str]) -> DataFrame:
+    """A readable line per row: the title column, then ``label: value`` parts by their formats."""
+    parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}: "), F.format_string(form, F.col(n)))) for n, form in columns.items()]
+    return rows.select(F.col(title), F.concat_ws(" | ", F.col(title), *parts).alias("line"))
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).json(path)
 

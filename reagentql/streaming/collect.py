@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "seen array<string>, dry int, stopped boolean"
+STATE = "seen array<string>, dry int, stopped boolean, attempt long"
 OUT = "target string, smiles string, total int, dry int, stopped boolean"
 
 
@@ -18,16 +18,23 @@ def collect_until_enough(rows: DataFrame, enough: int, stop_after: int) -> DataF
     """New distinct candidates per target until ``enough`` are known or ``stop_after`` attempts in a row had none.
 
     ``rows`` is a stream of target, attempt, pos, smiles.  Within a micro-batch rows are put in
-    order of attempt and position, so arrival order does not matter.  State is bounded by
-    ``enough`` candidates a target.
+    order of attempt and position, so arrival order does not matter.  An attempt may go on in the
+    next micro-batch: whether it was dry is settled when a later attempt comes.  Attempt numbers
+    that are skipped had no candidates and count as dry.  State is bounded by ``enough`` candidates
+    a target.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, dry, stopped = state.get if state.exists else ([], 0, False)
+        # ``dry``: dry attempts in a row, the one at hand included as long as it has found nothing.
+        seen, dry, stopped, attempt = state.get if state.exists else ([], 0, False, None)
         seen, out = list(seen), []
         known = set(seen)
         rows = pd.concat(list(frames)).sort_values(["attempt", "pos"])
-        for _, part in rows.groupby("attempt", sort=True):
+        for number, part in rows.groupby("attempt", sort=True):
+            number = int(number)
+            if attempt is None or number > attempt:
+                stopped = stopped or dry >= stop_after or (attempt is not None and dry + number - attempt - 1 >= stop_after)
+                dry, attempt = dry + (1 if attempt is None else number - attempt), number
             if stopped:
                 break
             before = len(seen)
@@ -36,9 +43,9 @@ def collect_until_enough(rows: DataFrame, enough: int, stop_after: int) -> DataF
                     known.add(s)
                     seen.append(s)
                     out.append((key[0], s, len(seen)))
-            dry = 0 if len(seen) > before else dry + 1
-            stopped = len(seen) >= enough or dry >= stop_after
-        state.update((seen, dry, stopped))
+            dry = 0 if len(seen) > before else dry
+            stopped = len(seen) >= enough
+        state.update((seen, dry, stopped, attempt))
         yield pd.DataFrame([(*o, dry, stopped) for o in out], columns=["target", "smiles", "total", "dry", "stopped"])
 
     return rows.groupBy("target").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

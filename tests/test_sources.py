@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from reagentql.operators import relational as R
@@ -44,16 +45,133 @@ def test_mmcif(spark, tmp_path):
     assert {r.file for r in rows.where("error IS NOT NULL").collect()} == {"c.cif"}
     title = rows.where("category = 'struct' AND file = 'a.cif'").first()
     assert title.fields == {"title": "A small one"}
-    atoms = mmcif.atoms(rows).where("file = 'b.cif.gz'").cache()
+    both = mmcif.atoms(rows)
+    # Every file's centres find its own residues only.
+    centres = P.components(both).select("file", F.col("residue_name").alias("cid"), "x", "y", "z")
+    found = P.nearby_residues(both.where("grp = 'ATOM'").withColumn("x", F.col("x") + F.when(F.col("file") == "a.cif", 50).otherwise(0)), centres, 3.5)
+    assert {r.file for r in found.collect()} == {"b.cif.gz"}
+    atoms = both.where("file = 'b.cif.gz'").cache()
     assert atoms.count() == 5  # the row without z is gone
     assert {(r.residue_name, r.auth_num) for r in P.residues(atoms).collect()} == {("ALA", 855), ("LYS", 856)}
     metal = P.components(atoms).collect()
     assert [(r.residue_name, r.kind) for r in metal] == [("ZN", "metal")]
-    centre = P.components(atoms).select(F.col("residue_name").alias("cid"), "x", "y", "z")
+    centre = P.components(atoms).select("file", F.col("residue_name").alias("cid"), "x", "y", "z")
     near = {(r.residue_name, r.d) for r in P.nearby_residues(atoms.where("grp = 'ATOM'"), centre, 3.5).collect()}
     assert near == {("ALA", 2.0), ("LYS", 1.0)}  # the first atom in range, not the nearest
     assert [r.residue_name for r in P.surface_residues(P.residues(atoms)).collect()] == ["LYS"]
     assert P.atp_pocket(P.residues(atoms)).count() == 2
+    site = P.metal_sites(both).where("file = 'a.cif'").first()
+    assert (site.site_id, site.metal, site.residues, site.coordination) == ("site_metal_zn", "ZN", ["ALA855", "LYS856"], [])
+    sites = {(r.file, r.method, r.site_id) for r in P.binding_sites(both).collect()}
+    assert sites == {(f, k, s) for f in ("a.cif", "b.cif.gz") for k, s in ((1, "site_atp_binding"), (2, "site_metal_zn"), (3, "site_allosteric"))}
+    assert {r.target for r in mmcif.with_targets(rows, {"a": "EGFR"}).select("target").distinct().collect()} == {"EGFR", "b", "c"}
+
+
+def test_cif_of_wrapped_rows_and_repeated_categories():
+    text = """data_X
+_struct.title
+;two
+lines
+;
+loop_
+_a.x
+_a.y
+_a.z
+1 'b c'
+? 2 "q" # end
+.
+loop_
+_a.x
+9
+_b.k v
+"""
+    assert list(mmcif.parse(text)) == [
+        ("X", "a", 0, {"x": "1", "y": "b c"}), ("X", "a", 1, {"x": "2", "y": "q"}), ("X", "a_2", 0, {"x": "9"}), ("X", "struct", 0, {"title": "two\nlines"}), ("X", "b", 0, {"k": "v"}),
+    ]
+
+
+def test_first_listed_gatekeeper(spark):
+    rows = spark.createDataFrame([("f", "A", i, n, "ALA", i) for i, n in enumerate((338, 855, 850, 860, 801, 900, 901))], "file string, chain string, residue_num int, auth_num int, residue_name string, ordinal int")
+    assert [r.far for r in P.atp_pocket(rows).orderBy("far", "auth_num").collect()] == [0, 5, 5, 45, 54]
+
+
+def test_secondary_structure_and_genes(spark):
+    rows = spark.createDataFrame([("f", "A", n, k) for n, k in ((1, "H"), (2, "H"), (3, "E"), (4, None), (5, "E"), (7, "E"), (8, "E"))], "file string, chain string, residue_num int, kind string")
+    got = sorted((r.kind, r.start, r.end, r.n) for r in P.secondary_structure(rows).collect())
+    assert got == [("E", 3, 3, 1), ("E", 5, 5, 1), ("E", 7, 8, 2), ("H", 1, 2, 2)]
+    names = spark.createDataFrame([("Epidermal Growth Factor Receptor",), ("Cellular tumor antigen p53",), ("something",), (None,)], "d string")
+    assert [tuple(r) for r in names.select(P.gene_of(F.col("d")).alias("g")).select("g.*").collect()] == [("EGFR", "Homo sapiens"), ("TP53", "Homo sapiens"), (None, None), (None, None)]
+
+
+def test_earlier_candidates_in_several_dialects(spark, tmp_path):
+    (tmp_path / "EGFR_a.csv").write_text('id,SMILES,mw\n1,CCO,4\n2,"C,N",5\n3,,1\n')
+    (tmp_path / "x_idh1.csv").write_text("\ufeffsmiles,id\nCCN,9\nCCN,8\n", encoding="utf-8")
+    (tmp_path / "VEGF.csv").write_text("1,CCC\n2,CCF\n")
+    got = {tuple(r) for r in readers.existing_candidates(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("EGFR", "CCO"), ("EGFR", "C,N"), ("IDH1_IDH2", "CCN")}
+
+
+def test_smaller_readers_and_reports(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Compounds,Combination_Index\n a+b ,1.5\nc,x\n")
+    assert [tuple(r) for r in readers.combinations(spark, str(tmp_path / "c.csv")).collect()] == [("a+b", 1.5), ("c", None)]
+    (tmp_path / "t.yaml").write_text("a: 1\n")
+    (tmp_path / "english_t.yaml").write_text("a: 2\n")
+    pytest.importorskip("yaml")
+    assert readers.templates(str(tmp_path / "t.yaml")) == {"a": 2} and readers.templates(str(tmp_path / "no.yaml")) == {}
+    rows = spark.createDataFrame([("A", None), ("B", "broken")], "target_name string, error string")
+    assert [r.target_name for r in readers.target_summary(rows, "A").collect()] == ["A"] and readers.target_summary(rows, "Z").count() == 0
+    report = json.loads(sinks.summary_report(rows).first().report)
+    assert (report["total"], report["success"], report["failed"]) == (2, 1, 1) and report["targets"][1] == {"target": "B", "status": "failed", "error": "broken"}
+    for attempt in (1, 2, 2):
+        sinks.write_state(rows.limit(attempt), str(tmp_path / "state"), attempt)
+    assert sinks.last_state(spark, str(tmp_path / "state")).count() == 2
+    shown = spark.createDataFrame([("A", 1.25, None)], "t string, score double, n int")
+    assert sinks.console_lines(shown, "t", {"score": "%.1f", "n": "%d"}).first().line == "A | score: 1.3"
+    sinks.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    sinks.write_splits(rows.withColumn("split", F.lit("train")), str(tmp_path / "s"))
+    assert (tmp_path / "s" / "split=train").is_dir()
+
+
+def test_saved_documents(spark, tmp_path):
+    (tmp_path / "EGFR_raw.json").write_text(json.dumps([{"target": "x", "call": 1, "response": "r"}]))
+    assert [(r.target, r.call, r.response) for r in readers.raw_responses(spark, str(tmp_path / "*_raw.json")).collect()] == [("EGFR", 1, "r")]
+    (tmp_path / "q.json").write_text(json.dumps([{"instruction": "i", "output": "o"}, {"instruction": "j", "response": "p"}]))
+    assert [r.text for r in readers.instructions(spark, str(tmp_path / "q.json")).collect()] == ["Instruction: i\nResponse: o", "Instruction: j\nResponse: p"]
+
+
+def test_stream_attempt_over_two_batches(spark, tmp_path):
+    """One dry attempt that arrives in two pieces counts once; skipped attempts count as dry."""
+    schema = "target string, attempt int, pos int, smiles string"
+    parts = [[("t", 1, 1, "a")], [("t", 2, 1, "a")], [("t", 2, 2, "a"), ("t", 3, 1, "b")], [("t", 6, 1, "c")]]
+    folder = tmp_path / "in"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = collect.collect_until_enough(stream, 9, 2).writeStream.format("memory").queryName("pieces").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [r.smiles for r in spark.table("pieces").orderBy("total").collect()] == ["a", "b"]
+
+
+def test_windows_and_distinct_over_a_stream(spark, tmp_path):
+    schema = "k string, ts timestamp"
+    folder, seen = tmp_path / "in", []
+    spark.sql("SELECT 'a' AS k, timestamp'2024-01-01 00:01:00' AS ts UNION ALL SELECT 'a', timestamp'2024-01-01 00:04:00' UNION ALL SELECT 'b', timestamp'2024-01-01 00:11:00'").coalesce(1).write.parquet(str(folder))
+    stream = spark.readStream.schema(schema).parquet(str(folder))
+    once = collect.to_idempotent_sink(collect.distinct_within(stream, ["k"], "ts", "1 hour"), lambda df, i: seen.append((i, sorted(r.k for r in df.collect()))), str(tmp_path / "c1")).start()
+    counts = collect.windowed_counts(stream, "ts", "10 minutes", "5 minutes", "1 minute", ["k"]).writeStream.outputMode("complete").format("memory").queryName("counts").start()
+    try:
+        once.processAllAvailable()
+        counts.processAllAvailable()
+    finally:
+        once.stop()
+        counts.stop()
+    assert seen[0] == (0, ["a", "b"])
+    got = sorted((str(r.start)[11:16], r.k, r.n) for r in spark.table("counts").collect())
+    assert got == [("00:00", "a", 2), ("00:05", "b", 1), ("00:10", "b", 1), ("23:55", "a", 2)]
 
 
 def test_candidates_in_both_shapes(spark, tmp_path):
