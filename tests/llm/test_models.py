@@ -218,3 +218,24 @@ def test_stages_keep_the_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, empty texts, repeated ids and more columns come through; empty labels and benchmark drop nothing."""
+    import corpus_pipeline
+    from reagentql.llm.common import Scratch
+
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for docs, ids in ((odd, [1, 4, 4, 5, 6, 7]), (empty, [])):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, folder)
+            assert kept.columns == docs.columns, name
+            kept = Scratch(spark).spill(kept)
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, folder)
+        assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        assert sorted(r.doc_id for r in out.collect()) == ids
+    odd.write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 6
