@@ -109,7 +109,7 @@ def synthetic_access_legacy(mw: Column, rings: Column, chiral: Column, hetero_ra
     """The older rule: what exceeds 500 Da, three rings or no stereo centre costs, a share of hetero atoms over 0.3 pays; 3 for a missing molecule."""
     zero = F.lit(0.0)
     cost = F.greatest(zero, mw - 500.0) / 100.0 + 0.5 * F.greatest(zero, rings - 3.0) + 0.3 * chiral
-    return F.coalesce(clamp(8.0 - cost + F.when(hetero_ratio > 0.3, 0.5).otherwise(0.0), 1.0, 10.0), F.lit(3.0))
+    return F.when(mw.isNotNull(), clamp(8.0 - cost + F.when(hetero_ratio > 0.3, 0.5).otherwise(0.0), 1.0, 10.0)).otherwise(3.0)
 
 
 def composite(bbb, act, tox, access, drug) -> Column:

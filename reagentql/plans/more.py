@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from reagentql.functions import scoring as S
 from reagentql.functions import text as T
-from reagentql.operators import control, evaluation
+from reagentql.operators import control, evaluation, molecules
 from reagentql.operators import relational as R
 from reagentql.operators import structure as P
 from reagentql.plans.proxies import MOL_SQL, mol, read
@@ -286,3 +286,13 @@ def q_tree_search(spark, sf):
 def q_run_targets(spark, sf):
     made = read(spark, sf, "events").where("event_type <> 'error'").select(c("event_type").alias("target"))
     return control.run_targets(spark.createDataFrame([("view",), ("click",), ("error",), ("none",)], "target string"), made, "target")
+
+
+# Chains of a known length on a ring, an acid or an alcohol: the SQL works weights and counts out from the formula.
+@query("""WITH k AS (SELECT o_orderkey AS id, 1 + o_custkey % 6 AS n, o_orderkey % 3 AS m FROM orders) SELECT id, round(CASE m WHEN 0 THEN 12.011e0 * n + 1.008e0 * (2 * n + 2) + 15.999e0 WHEN 1 THEN 12.011e0 * (6 + n) + 1.008e0 * (5 + 2 * n + 2) + 14.007e0 ELSE 12.011e0 * (n + 1) + 1.008e0 * (2 * n + 2) + 2 * 15.999e0 END, 3) AS mw,
+  CAST(CASE m WHEN 0 THEN n + 1 WHEN 1 THEN 7 + n ELSE n + 3 END AS INTEGER) AS heavy, CAST(CASE m WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS rings, 1 AS hbd, CAST(CASE m WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS hba,
+  CASE m WHEN 0 THEN 20.23e0 WHEN 1 THEN 26.02e0 ELSE 37.30e0 END AS tpsa, CAST(CASE m WHEN 0 THEN greatest(n - 2, 0) WHEN 1 THEN n ELSE greatest(n - 1, 0) END AS INTEGER) AS rotatable FROM k""")
+def q_descriptors(spark, sf):
+    line = "concat(CASE o_orderkey % 3 WHEN 1 THEN 'c1ccccc1' ELSE '' END, repeat('C', CAST(1 + o_custkey % 6 AS INTEGER)), CASE o_orderkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'N' ELSE 'C(=O)O' END)"
+    rows = read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(line).alias("smiles"))
+    return molecules.with_descriptors(rows).select("id", "mw", "heavy", "rings", "hbd", "hba", "tpsa", "rotatable")
