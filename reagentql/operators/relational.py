@@ -39,8 +39,8 @@ def already_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
 RANGES = 256
 
 
-def _ranges(df: DataFrame, value: str) -> Column:
-    """The range (0 to RANGES - 1) of a column; ranges rise with it and hold about as many rows each.
+def _with_range(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with __range, the range (0 to RANGES - 1) of a column; ranges rise with it and hold about as many rows each.
 
     Strings are placed by their first seven bytes.
     """
@@ -49,7 +49,14 @@ def _ranges(df: DataFrame, value: str) -> Column:
         key = F.conv(F.rpad(F.substring(F.hex(key), 1, 14), 14, "0"), 16, 10).cast("double")
     shares = [i / RANGES for i in range(1, RANGES)]
     ends = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x < key)), F.lit(0)) if ends else F.lit(0)
+    if not ends:
+        return df.withColumn("__range", F.lit(0))
+    # Two steps of at most 16 comparisons: the block of ends, then the place in it.
+    below = lambda values: F.greatest(F.size(F.filter(values, lambda x: x < key)), F.lit(0))
+    every = F.array(*[F.lit(x) for x in ends])
+    block = below(F.array(*[F.lit(ends[min(i + 15, len(ends) - 1)]) for i in range(0, len(ends), 16)]))
+    df = df.withColumn("__at", block * 16)
+    return df.withColumn("__range", F.col("__at") + below(F.slice(every, F.col("__at") + 1, F.lit(16)))).drop("__at")
 
 
 def numbered(df: DataFrame, groups: list[str], value: str, ties: list[Column], out: str, bucket: Column | None = None) -> DataFrame:
@@ -59,7 +66,7 @@ def numbered(df: DataFrame, groups: list[str], value: str, ties: list[Column], o
     of rows before it, so that a group of any size is spread over many tasks.  ``bucket`` may name
     ranges that are known; they must rise with the column.
     """
-    dealt = df.withColumn("__range", _ranges(df, value) if bucket is None else bucket)
+    dealt = _with_range(df, value) if bucket is None else df.withColumn("__range", bucket)
     counts = dealt.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
@@ -73,7 +80,7 @@ def exact_quantile(df: DataFrame, by: list[str], value: str, share: float, out:
 
     Ranges are counted first; only those that hold the quantile's two neighbours are sorted.
     """
-    dealt = df.withColumn("__range", _ranges(df, value))
+    dealt = _with_range(df, value)
     counts = dealt.groupBy(*by, "__range").agg(F.count(value).alias("__k"))
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = F.sum("__k").over(order.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))

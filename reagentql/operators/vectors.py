@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,8 @@ def spearman_to_signature(cells: DataFrame, signature: DataFrame) -> DataFrame:
 
 #: References that are matched in one pass over the sets.
 REFERENCE_BLOCK = 4096
+#: Counters that a task holds at a time.
+MATCHED = 1 << 22
 
 
 def best_set_match(sets: DataFrame, references: DataFrame, block: int = REFERENCE_BLOCK) -> DataFrame:
@@ -43,30 +46,42 @@ def best_set_match(sets: DataFrame, references: DataFrame, block: int = REFERENC
     hold them, and every set adds up the lists of its tokens.  No pair is shuffled, and common
     tokens only make lists of at most a block.
     """
+    distinct = lambda df: df.select("id", F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+    sets, references = distinct(sets), distinct(references)
     n = max(1, -(-references.count() // block))
     part = F.pmod(F.xxhash64("id"), F.lit(n))
     out = None
     for k in range(n):
-        rows = references.where(part == k).select("tokens").collect()
+        rows = [r["tokens"] for r in references.where(part == k).select("tokens").collect()]
         lists: dict = {}
-        for i, r in enumerate(rows):
-            for t in set(r["tokens"] or []):
+        for i, tokens in enumerate(rows):
+            for t in tokens:
                 lists.setdefault(t, []).append(i)
-        table = {t: np.array(x, np.int32) for t, x in lists.items()}, np.array([len(set(r["tokens"] or [])) for r in rows], np.int64)
+        known, held = pa.array(list(lists), pa.string()), [np.array(x, np.int64) for x in lists.values()]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+        table = known, first, np.concatenate(held) if held else np.zeros(0, np.int64), np.array([len(t) for t in rows], np.int64)
         shared = sets.sparkSession.sparkContext.broadcast(table)
 
         def run(batches, shared=shared):
-            lists, sizes = shared.value
+            known, first, of, sizes = shared.value
+            step = max(1, MATCHED // max(1, len(sizes)))
             for batch in batches:
-                best = []
-                for tokens in batch.column("tokens").to_pylist():
-                    mine = set(tokens or [])
-                    hits = [lists[t] for t in mine if t in lists]
-                    both = np.bincount(np.concatenate(hits), minlength=len(sizes)) if hits else np.zeros(0, np.int64)
-                    best.append(float((both / (sizes + len(mine) - both)).max()) if len(both) else 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best, pa.float64())], ["id", "best"])
-
-        found = sets.select("id", "tokens").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, best double")
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    tokens = part.column("tokens")
+                    mine = np.diff(tokens.offsets.to_numpy())
+                    place = pc.index_in(tokens.flatten(), value_set=known)
+                    hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                    which = place.take(pa.array(hit)).to_numpy().astype(np.int64)
+                    times = first[which + 1] - first[which]
+                    row = np.repeat(np.repeat(np.arange(len(mine)), mine)[hit], times)
+                    there = np.repeat(first[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    both = np.bincount(row * len(sizes) + of[there], minlength=len(mine) * len(sizes)).reshape(len(mine), len(sizes))
+                    union = sizes[None, :] + mine[:, None] - both
+                    best = np.where(union > 0, both / np.maximum(union, 1), 0.0).max(1, initial=0.0)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(best, pa.float64())], ["id", "best"])
+
+        found = sets.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, best double")
         out = found if out is None else out.unionByName(found)
     if n > 1:
         out = out.groupBy("id").agg(F.max("best").alias("best"))

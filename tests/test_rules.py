@@ -92,6 +92,23 @@ def test_best_first_puts_nulls_last(spark):
     assert [(r.p, r.place) for r in R.best_first(rows, "v", "p").collect()] == [(3, 1), (1, 2), (4, 3), (2, 4)]
 
 
+def test_best_matches_in_blocks(spark):
+    import random
+
+    from reagentql.operators import vectors as V
+
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghijkl")
+    make = lambda n: [(i, [word() for _ in range(rng.randint(0, 9))]) for i in range(n)] + [(n, None)]
+    sets, refs = make(60), make(25)
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    want = {i: round(max(share(set(t or []), set(r or [])) for _, r in refs), 6) for i, t in sets}
+    frame = lambda rows: spark.createDataFrame(rows, "id int, tokens array<string>")
+    for block in (4096, 4):
+        assert {r.id: r.best for r in V.best_set_match(frame(sets), frame(refs), block).collect()} == want
+    assert {r.best for r in V.best_set_match(frame(sets), frame(refs).limit(0)).collect()} == {0.0}
+
+
 def test_answers_and_sections(spark):
     rows = spark.createDataFrame([(["a", None, "b", "c"],), ([],), (None,)], "x array<string>")
     assert [r.s for r in rows.select(M.section("T:", c("x"), 2).alias("s")).collect()] == ["T:\n- a\n- b", None, None]
