@@ -181,15 +181,22 @@ class SpeculativeBpe:
             cut.append(parts)
         if new:
             self.learn(list(new))
-        return [
+        out = [
             b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join([cache[w] for w in p]) for p in parts])
             for parts in cut
         ]
+        # Only words of bounded length stay, so the cache is bounded in bytes.
+        for w in new:
+            if len(w) > LONG_WORD:
+                del cache[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
+#: Letters of the longest word that stays in the cache.
+LONG_WORD = 64
 #: Texts that are encoded together; bounds the words held at once.
 BLOCK_CHARS = 2_000_000
 
