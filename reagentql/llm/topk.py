@@ -3,8 +3,12 @@
 Vectors of whole numbers are sparse rows over their dimensions.  Candidates and queries
 are packed into blocks of bounded size; each pair of blocks is one row of a join whose
 keys are unique on both sides, so no pair is hot.  In a pair every query scatters its
-weighted postings into a dense score array of the block's candidates, selects its best k,
-and the selections are merged.
+weighted postings into a dense score array of a tile of candidates that fits a core's cache,
+selects its best k, and the selections of tiles, then of blocks, are merged.
+
+A table of n candidates and m queries sends n * m * (1 / query_block + 1 / candidate_block)
+vectors through the exchange, so both blocks are as large as a task holds with ease.  Where
+that would leave cores idle, candidates are dealt into more blocks, down to one tile each.
 
 Products are summed in 32, 64 or, where a sum could pass 63 bits, in Python's whole numbers,
 so none of them wraps.
@@ -32,9 +36,10 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float = 64
     return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Blocks of about ``size`` rows: their number and name, ids, vectors."""
-    n = max(1, math.ceil(rows.count() / size))
+def _blocks(rows: DataFrame, size: int, name: str, least: int = 1, tile: int = 1) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` rows, or ``least`` blocks if they hold a ``tile`` each: their number and name, ids, vectors."""
+    count = rows.count()
+    n = max(1, math.ceil(count / size), min(least, math.ceil(count / tile)))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
     packed = rows.select(part, F.struct("vec_id", "v").alias("r")).groupBy(name).agg(F.sort_array(F.collect_list("r")).alias(f"{name}_rows"))
     return packed, n
@@ -83,6 +88,16 @@ def best_of_block(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidate
     return out_q, out_c, out_s
 
 
+def best_of_tiles(q_ids: np.ndarray, queries: list, c_ids: np.ndarray, candidates: list, k: int, tile: int) -> list[np.ndarray]:
+    """As ``best_of_block``, a tile of candidates after the other."""
+    parts = [best_of_block(q_ids, queries, c_ids[at : at + tile], candidates[at : at + tile], k) for at in range(0, len(c_ids), tile)]
+    q, c, s = (np.concatenate([np.array(p, np.int64) for p in column]) for column in zip(*parts))
+    order = np.lexsort((c, ~s, q))
+    q, c, s = q[order], c[order], s[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return [column[place < k] for column in (q, c, s)]
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -90,8 +105,9 @@ def exact_top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: float = 64.0,
-    query_block: int = 1024,
-    candidate_block: int = 4096,
+    query_block: int = 16_384,
+    candidate_block: int = 16_384,
+    tile: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products.
 
@@ -105,7 +121,8 @@ def exact_top_k(
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
     asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("vec_id")).distinct()
     queries, nq = _blocks(rows.join(asked, "vec_id", "left_semi"), query_block, "qb")
-    candidates, nc = _blocks(rows, candidate_block, "cb")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    candidates, nc = _blocks(rows, candidate_block, "cb", 2 * cores, tile)
     pairs = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).join(
         candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))), ["qb", "cb"]
     )
@@ -115,7 +132,7 @@ def exact_top_k(
             for i in range(batch.num_rows):
                 q, c = (batch.column(n)[i].values for n in ("qb_rows", "cb_rows"))
                 q_ids, c_ids = q.field(0).to_numpy(), c.field(0).to_numpy()
-                columns = best_of_block(q_ids, q.field(1).to_pylist(), c_ids, c.field(1).to_pylist(), k)
+                columns = best_of_tiles(q_ids, q.field(1).to_pylist(), c_ids, c.field(1).to_pylist(), k, tile)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
 
     found = pairs.select("qb_rows", "cb_rows").mapInArrow(score, "query_id long, vec_id long, score long")

@@ -278,7 +278,7 @@ def test_top_k_of_odd_rows(spark):
 
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [1.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf")]), (8, []), (9, [1e9, 1e9]), (9, [1e9, 1e9]), (None, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 20 == 0, 3, query_block=2, candidate_block=2).collect())
+    got = sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 20 == 0, 3, query_block=2, candidate_block=2, tile=1).collect())
     v = {i: [int(np.floor(64 * x)) for x in xs] for i, xs in rows if i in (0, 20, 3, 8, 9)}
     want = []
     for q in (0, 20):
@@ -292,6 +292,19 @@ def test_top_k_of_odd_rows(spark):
     assert topk.exact_top_k(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_tiles_of_a_block():
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (90, 6)).tolist()
+    ids = np.arange(90) * 3
+    for k, tile in ((1, 7), (4, 90), (4, 13), (200, 8)):
+        got = list(zip(*(c.tolist() for c in topk.best_of_tiles(ids[::9], vectors[::9], ids, vectors, k, tile))))
+        want = []
+        for q, v in zip(ids[::9].tolist(), vectors[::9]):
+            scores = sorted((-int(np.dot(v, w)), c) for c, w in zip(ids.tolist(), vectors) if c != q)[:k]
+            want += [(q, c, -s) for s, c in scores]
+        assert got == want
+
+
 def test_near_copies_among_look_alikes(spark):
     """Pairs at about 0.85 inside a templated group at 0.6 to 0.7 are all found."""
     rng = random.Random(9)
