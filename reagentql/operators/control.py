@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,6 +78,53 @@ def tree_search(levels: list[DataFrame], width: int, enough: float) -> DataFrame
     return kept
 
 
+@dataclass(frozen=True)
+class Variant:
+    """What a run uses: its model and prompt, its last ``levels`` (null: all), feedback, evaluation."""
+
+    name: str
+    model: str = "domain"
+    prompt: str = "domain"
+    levels: int | None = None
+    feedback: bool = True
+    evaluated: bool = True
+
+
+#: The whole search and the runs that go without one part of it.
+VARIANTS = (
+    Variant("full"),
+    Variant("single_step", prompt="single", levels=1),
+    Variant("reasoning", prompt="reasoning", levels=1),
+    Variant("no_feedback", feedback=False),
+    Variant("constant_evaluator", evaluated=False),
+    Variant("generic_prompt", prompt="generic"),
+    Variant("general_adapter", model="general"),
+    Variant("base_only", model="base", prompt="single", levels=1, evaluated=False),
+    Variant("direct", prompt="simple", levels=1),
+)
+#: The reward that the constant evaluator gives to all; it prunes nothing.
+CONSTANT_REWARD = 1.0
+
+
+def variant_search(responses: DataFrame, variant: Variant, width: int, enough: float, depth: int) -> DataFrame:
+    """``tree_search`` over the recorded responses that a variant would have seen, with its name in ``variant``.
+
+    ``responses`` has model, prompt, level (0 to ``depth`` - 1) and the columns of ``tree_search``.
+    Without feedback only the first round of a level counts, without evaluation every response
+    has CONSTANT_REWARD and none is pruned.  The first level of a shorter run has no parents.
+    """
+    c = F.col
+    rows = responses.where((c("model") == variant.model) & (c("prompt") == variant.prompt))
+    if not variant.feedback:
+        rows = rows.where(c("round") == 0)
+    if not variant.evaluated:
+        rows = rows.withColumns({"reward": F.lit(CONSTANT_REWARD), "pruned": F.lit(False)})
+    first = depth - (depth if variant.levels is None else variant.levels)
+    rows = rows.withColumn("parent", F.when(c("level") > first, c("parent")))
+    levels = [rows.where(c("level") == n).select("parent", "node", "round", "reward", "pruned") for n in range(first, depth)]
+    return tree_search(levels, width, enough).withColumn("variant", F.lit(variant.name))
+
+
 def run_targets(targets: DataFrame, results: DataFrame, target: str) -> DataFrame:
     """target, n, status of every target asked for: saved, or empty where nothing came of it."""
     n = results.groupBy(target).agg(F.count("*").alias("n"))

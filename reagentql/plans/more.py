@@ -277,9 +277,30 @@ TREE = """WITH l1 AS (SELECT n_nationkey AS node, CAST(NULL AS INTEGER) AS paren
 @query(TREE + "SELECT node, reward, path FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY reward DESC, node) AS i FROM b2) WHERE i <= 3")
 def q_tree_search(spark, sf):
     """Three best nations, then their suppliers in two rounds of refinement; the second round is made only if the first has no reward of 0.65."""
+    return control.tree_search(_tree_levels(spark, sf), 3, 0.65).select(c("node").cast("long").alias("node"), "reward", F.array_join("path", ">").alias("path"))
+
+
+def _tree_levels(spark, sf):
     first = read(spark, sf, "nation").select(F.lit(None).cast("long").alias("parent"), c("n_nationkey").cast("long").alias("node"), F.lit(0).alias("round"), ((c("n_nationkey") * 37 % 100) / 100.0).alias("reward"), (c("n_nationkey") % 7 == 0).alias("pruned"))
-    second = read(spark, sf, "supplier").select(c("s_nationkey").cast("long").alias("parent"), c("s_suppkey").alias("node"), (c("s_suppkey") % 2).cast("int").alias("round"), ((c("s_suppkey") * 41 % 97) / 100.0).alias("reward"), (c("s_suppkey") % 5 == 0).alias("pruned"))
-    return control.tree_search([first, second], 3, 0.65).select(c("node").cast("long").alias("node"), "reward", F.array_join("path", ">").alias("path"))
+    second = read(spark, sf, "supplier").select(c("s_nationkey").cast("long").alias("parent"), c("s_suppkey").cast("long").alias("node"), (c("s_suppkey") % 2).cast("int").alias("round"), ((c("s_suppkey") * 41 % 97) / 100.0).alias("reward"), (c("s_suppkey") % 5 == 0).alias("pruned"))
+    return [first, second]
+
+
+# The models and prompts of responses by the remainders of their nodes; the tree of each variant by hand.
+@query("""WITH n AS (SELECT n_nationkey AS node, (n_nationkey * 37 % 100) / 100e0 AS reward, n_nationkey % 7 = 0 AS pruned FROM nation),
+  s AS (SELECT s_suppkey AS node, s_nationkey AS parent, s_suppkey % 2 AS round, (s_suppkey * 41 % 97) / 100e0 AS reward, s_suppkey % 5 = 0 AS pruned FROM supplier),
+  k AS (SELECT node, CAST(node AS VARCHAR) AS path FROM n WHERE NOT pruned ORDER BY reward DESC, node LIMIT 3), kc AS (SELECT node, CAST(node AS VARCHAR) AS path FROM n ORDER BY node LIMIT 3),
+  plain AS (SELECT 'no_feedback' AS variant, s.node, s.reward, path || '>' || s.node AS path, row_number() OVER (PARTITION BY parent ORDER BY s.reward DESC, s.node) AS i FROM s JOIN k ON parent = k.node WHERE NOT pruned AND round = 0),
+  same AS (SELECT 'constant_evaluator' AS variant, s.node, 1e0 AS reward, path || '>' || s.node AS path, row_number() OVER (PARTITION BY parent ORDER BY s.node) AS i FROM s JOIN kc ON parent = kc.node WHERE round = (SELECT min(round) FROM s JOIN kc ON parent = kc.node)),
+  one AS (SELECT 'direct' AS variant, node, reward, CAST(node AS VARCHAR) AS path, row_number() OVER (ORDER BY reward DESC, node) AS i FROM s WHERE NOT pruned AND (round = 0 OR NOT (SELECT max(reward) >= 0.65 FROM s WHERE NOT pruned AND round = 0)))
+  SELECT variant, node, reward, path FROM (SELECT * FROM plain UNION ALL SELECT * FROM same UNION ALL SELECT * FROM one) WHERE i <= 3""")
+def q_search_variants(spark, sf):
+    """The tree of q_tree_search by variants that go without feedback, evaluation or levels."""
+    first, second = _tree_levels(spark, sf)
+    made = first.withColumn("level", F.lit(0)).unionByName(second.withColumn("level", F.lit(1))).withColumn("model", F.lit("domain"))
+    responses = made.withColumn("prompt", F.explode(F.array(F.lit("domain"), F.lit("simple"))))
+    runs = [control.variant_search(responses, v, 3, 0.65, 2) for v in control.VARIANTS if v.name in ("no_feedback", "constant_evaluator", "direct")]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("variant", "node", "reward", F.array_join("path", ">").alias("path"))
 
 
 @query("WITH t AS (SELECT event_type AS target, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT r.target, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'empty' ELSE 'saved' END AS status FROM (VALUES ('view'), ('click'), ('error'), ('none')) r(target) LEFT JOIN t USING (target)")

@@ -255,3 +255,15 @@ def test_radius_join_is_strict(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, -0.9, 0.0, 0.0)], "pid int, x double, y double, z double")
     got = {(r.cid, r.pid) for r in V.within_radius(p, p.where("pid = 1").withColumnRenamed("pid", "cid"), 1.0).collect()}
     assert got == {(1, 1), (1, 3)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from reagentql.__main__ import main
+
+    main(["list"])
+    assert "q_reward_topk" in capsys.readouterr().out.split()
+    out = str(tmp_path / "out")
+    main(["run", "q_run_targets", "--tables", "/root/testdata/sf0.001", "--out", out, "--format", "json"])
+    assert {r.target for r in spark.read.json(out).collect()} == {"view", "click", "error", "none"}
+    with pytest.raises(SystemExit):
+        main(["run", "q_nothing", "--tables", out])
