@@ -220,7 +220,8 @@ def encode_decode(
 
     Strings of special tokens inside a text become their ids, as the vocabulary file's own
     library does by default.  ``decoded`` is decoded from ``ids``.  A null text counts as
-    empty: no ids, empty string.  Repeated rows give repeated results.
+    empty: no ids, empty string.  Texts of any length are coded whole.  Repeated rows give
+    repeated results, an empty table none; other columns of ``docs`` are not read.
     """
 
     def make():

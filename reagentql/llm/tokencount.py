@@ -165,7 +165,8 @@ def prefix_token_counts(
     prefix_steps has one signed byte per character (code point); the sum of the first n is
     the exact number of tokens of the text's first n characters.  ``tokens_at`` and
     ``longest_within`` read it.  A null text counts as empty: 0 tokens, empty steps.
-    Repeated rows give repeated results; other columns of ``docs`` are not read.
+    Texts of any length are counted whole.  Repeated rows give repeated results, an empty table
+    none; other columns of ``docs`` are not read.
     """
 
     def make():
@@ -204,7 +205,13 @@ def longest_within(steps: bytes, budget: int) -> int:
 def truncate_to_budget(
     docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", model: str | None = None
 ) -> DataFrame:
-    """doc_id, n_tokens, cut (characters kept), cut_tokens for a token budget, from the stored counts."""
+    """doc_id, n_tokens, cut (characters kept), cut_tokens for a token budget, from the stored counts.
+
+    The cut is the longest prefix that fits, not the first that is about to overflow: one more
+    character can make fewer tokens.  Null and empty texts, and all texts where the budget is
+    below every prefix's count, keep 0 characters.  Repeated rows give repeated results, an
+    empty table none; other columns of ``docs`` are not read.
+    """
 
     @F.pandas_udf("struct<cut:int,cut_tokens:int>")
     def answer(steps):

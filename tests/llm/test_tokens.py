@@ -44,6 +44,17 @@ def test_budget_questions(spark, odd, pieces):
         assert all(len(pieces.encode(text[:n])) > 7 for n in range(r.cut + 1, min(r.cut + 40, len(text)) + 1))
 
 
+def test_budgets_that_cut_all_or_nothing(spark, odd, empty):
+    lengths = sorted((d, len(t or "")) for d, t, *_ in ODD)
+    rows = tokencount.truncate_to_budget(odd, 10**9).collect()
+    assert sorted((r.doc_id, r.cut) for r in rows) == lengths and all(r.cut_tokens == r.n_tokens for r in rows)
+    for budget in (0, -1):
+        rows = tokencount.truncate_to_budget(odd, budget).collect()
+        assert len(rows) == len(ODD) and all(r.cut_tokens <= 0 for r in rows)
+        assert {r.doc_id: r.cut for r in rows if r.doc_id != 3} == {d: 0 for d, *_ in ODD if d != 3}
+    assert tokencount.truncate_to_budget(empty, 5).collect() == []
+
+
 def test_query_op1(spark, small, pieces):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = queries.op1_token_counts(spark, small).collect()
