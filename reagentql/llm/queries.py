@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reagentql.llm import contract_sql
 from reagentql.llm.common import table
 
 
@@ -115,6 +116,40 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(_count, base), _sha(_spans(base)).alias("base_sha256"), _spans(None).alias("spans"), scores)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.common import Scratch
+    from reagentql.llm.merkle import folded, leaf_digest, proof_digest, proofs, write_manifest
+
+    c = F.col
+    other = [c("doc_id"), c("source"), c("lang"), c("n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(c("doc_id").cast("string").cast("binary")) % 5 == 0, leaf_digest(*other, lowered))
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_manifest(docs, leaf_digest(*other, c("text")), c("source"), c("doc_id"), {"doc_id": c("doc_id"), "tampered": tampered})
+    found = proofs(manifest).select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(c("path")).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), c("path")).alias("folded_root")
+    )
+    out = Scratch(spark).spill(found.withColumn("verified", c("folded_root") == c("root")))
+    manifest.delete()
+    return out
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.centroids import centroid_clusters
+
+    found = centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+    joined = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", _sha(joined).alias("centroid_sha256"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reagentql.llm.quality import THRESHOLD, fit, held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -129,9 +164,12 @@ def queries() -> dict:
             op8_url_filter,
             op9_secret_scan,
             op10_personal_data,
+            op11_merkle_manifest,
+            op12_centroids,
+            op13_quality,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op11_merkle_manifest": contract_sql.merkle_sql(), "op12_centroids": contract_sql.centroids_sql()}
