@@ -5,6 +5,9 @@ those at its zeros ignored, so a substituted word spoils only the seeds that loo
 The hashes of all benchmark items form a sorted table (in blocks of bounded size), every
 document's hashes are joined with it by binary search, and the hits are verified by aligning
 item and document around them, each alignment once.
+
+The masks are chosen so that no match is missed: every stretch of tokens that counts as a match
+holds, at some place, all tokens that one of its item's masks looks at (see ``masks_for``).
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 from reagentql.llm.common import BoundedCache, Scratch, id_and_text, map_texts
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Masks of six looked-at tokens, each within ten or eleven.
-MASKS = ("1101100101", "1011010011", "11000110101", "1110100011")
+#: Masks of five looked-at tokens.  A stretch of at least nine equal tokens, three quarters of it or more, holds one of them wherever its other tokens stand.
+MASKS = ("11111", "1110011", "110100101", "111010001")
 #: A match needs this many equal tokens in its best stretch (IDENTITY of an item's tokens if that is less), at this share of it.
 MATCHED, IDENTITY = 12, 0.75
+#: Items of fewer tokens than this are matched as a whole, and those of four or more may lose one token.
+SHORT = 11
 #: Benchmark characters that are matched in one pass over the documents: a table of about 250 MB at most.
 BLOCK_CHARS = 16_000_000
 #: Hits that are expanded, and tokens that are aligned, at a time.
@@ -59,13 +64,39 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    """The masks of an item: the fixed ones, or the whole item where it is shorter than they are."""
-    return MASKS if n >= max(map(len, MASKS)) else ("1" * n,)
+    """The masks of an item of n tokens, of which every match of it holds one.
+
+    From SHORT tokens on the fixed ones.  An item of six to ten tokens that loses one keeps a half
+    whole, one of four or five is hashed without each of its tokens in turn, and shorter ones whole.
+    """
+    if n >= SHORT:
+        return MASKS
+    if n >= 6:
+        return ("1" * (n // 2),)
+    if n >= 4:
+        return ("1" * (n - 1), *["1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)])
+    return ("1" * n,)
+
+
+def starts_for(n: int, mask: str) -> range | list[int]:
+    """Where a mask is laid in an item of n tokens: everywhere, or for short items at both ends."""
+    last = n - len(mask)
+    return range(last + 1) if n >= SHORT else sorted({0, last})
 
 
 def needed(n: np.ndarray) -> np.ndarray:
-    """Equal tokens that an item of n tokens needs; all of one shorter than the masks."""
-    return np.where(n < max(map(len, MASKS)), n, np.minimum(MATCHED, np.ceil(IDENTITY * n))).astype(np.int64)
+    """Equal tokens that an item of n tokens needs: of short ones all, or all but one from four tokens on."""
+    return np.where(n < SHORT, np.where(n < 4, n, n - 1), np.minimum(MATCHED, np.ceil(IDENTITY * n))).astype(np.int64)
+
+
+def whole_stretches(equal: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and matches of the stretch from the first to the last equal token, per alignment."""
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(len(equal))
+    matches = np.add.reduceat(equal.astype(np.int64), first)
+    start = np.minimum.reduceat(np.where(equal, at, len(equal)), first) - first
+    end = np.maximum.reduceat(np.where(equal, at + 1, 0), first) - first
+    return np.where(matches > 0, start, 0), np.where(matches > 0, end, 0), matches
 
 
 def best_stretches(equal: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +138,9 @@ class SeedTable:
         parts, self.masks = [], sorted({m for n in self.length.tolist() for m in masks_for(n)})
         for mask in self.masks:
             for k in np.flatnonzero([mask in masks_for(n) for n in self.length.tolist()]).tolist():
-                h = seed_hashes(items[k][1], mask)
-                parts.append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
+                starts = np.array(starts_for(len(items[k][1]), mask), np.int32)
+                h = seed_hashes(items[k][1], mask)[starts]
+                parts.append((h, np.full(len(h), k, np.int32), starts))
         h, item, at = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 2)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.at = h[order], item[order], at[order]
@@ -153,7 +185,9 @@ class SeedTable:
                 inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 here = np.repeat((low + shift)[at], lengths) + inside
                 there = np.repeat((self.first[item] + low)[at], lengths) + inside
-                start, end, matches = best_stretches(tokens[here] == self.tokens[there], lengths)
+                equal = tokens[here] == self.tokens[there]
+                best, whole = best_stretches(equal, lengths), whole_stretches(equal, lengths)
+                start, end, matches = (np.where(self.length[item[at]] < SHORT, w, b) for w, b in zip(whole, best))
                 good = (matches >= needed(self.length[item[at]])) & (matches >= IDENTITY * (end - start))
                 yield from zip(*(c[good].tolist() for c in (item[at], (low + shift)[at] + start, (low + shift)[at] + end, low[at] + start, matches)))
 
@@ -224,9 +258,10 @@ def benchmark_overlaps(
 ) -> DataFrame:
     """doc_id, item_id, start, end, item_start, matches, identity: one row per document and item found in it.
 
-    Positions are tokens, ends exclusive.  An item is found where its best ungapped stretch
-    has at least 12 equal tokens (three quarters of a shorter item's; all of one under 11 tokens)
-    and three quarters of the stretch are equal.  Of several such stretches the one with the most
+    Positions are tokens, ends exclusive.  An item is found wherever its best ungapped stretch
+    has at least 12 equal tokens (three quarters of a shorter item's) and three quarters of the
+    stretch are equal.  An item under 11 tokens is found where it stands whole, or with one token
+    changed if it has four or more.  No such place is missed.  Of several such stretches the one with the most
     equal tokens is given, then the first.  Null and empty texts and items match nothing; rows
     repeated in ``docs`` give repeated results; an empty benchmark or table gives no rows; texts of
     any length are searched whole.
@@ -264,9 +299,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """
     context, tables = docs.sparkSession.sparkContext, seed_tables(benchmark, block_chars=block_chars)
     if len(tables) > 1:
-        texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-        gone = benchmark_overlaps(texts, benchmark, "h", "text", block_chars).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, F.xxhash64(docs[text_col]) == gone["__gone"], "left_anti")
+        # Rows are settled and numbered, so that each is dropped for itself, whatever ids and texts they repeat.
+        rows = Scratch(docs.sparkSession).spill(docs.withColumn("__row", F.monotonically_increasing_id()))
+        gone = benchmark_overlaps(rows, benchmark, "__row", text_col, block_chars).select(F.col("doc_id").alias("__row")).distinct()
+        return rows.join(gone, "__row", "left_anti").select(*docs.columns)
     shared = context.broadcast(tables[0]())
 
     def run(batches):
