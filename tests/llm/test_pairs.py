@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -278,7 +279,7 @@ def test_top_k_of_odd_rows(spark):
 
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [1.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf")]), (8, []), (9, [1e9, 1e9]), (9, [1e9, 1e9]), (None, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 20 == 0, 3, query_block=2, candidate_block=2, tile=1).collect())
+    got = sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 20 == 0, 3, numbers=4, tile_numbers=2).collect())
     v = {i: [int(np.floor(64 * x)) for x in xs] for i, xs in rows if i in (0, 20, 3, 8, 9)}
     want = []
     for q in (0, 20):
@@ -294,7 +295,7 @@ def test_top_k_of_odd_rows(spark):
 
 def test_tiles_of_a_block():
     rng = np.random.default_rng(5)
-    vectors = rng.integers(-3, 4, (90, 6)).tolist()
+    vectors = rng.integers(-3, 4, (90, 6))
     ids = np.arange(90) * 3
     for k, tile in ((1, 7), (4, 90), (4, 13), (200, 8)):
         got = list(zip(*(c.tolist() for c in topk.best_of_tiles(ids[::9], vectors[::9], ids, vectors, k, tile))))
@@ -305,6 +306,37 @@ def test_tiles_of_a_block():
         assert got == want
 
 
+def test_wide_vectors_are_dealt_by_numbers(spark, monkeypatch):
+    """At 1,024 numbers a block holds a 16th as many vectors; results are those of plain products."""
+    rng = np.random.default_rng(7)
+    v = rng.integers(-40, 41, (3000, 1024))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(table, "vec_id % 20 = 0", 5, scale=1.0, numbers=1 << 16, tile_numbers=1 << 14)
+    full = v[:300] @ v[:300].T
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-int(full[q, c]), c) for c in range(300) if c != q)[:5]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    sizes = []
+    plain = topk._blocks
+    monkeypatch.setattr(topk, "_blocks", lambda rows, count, size, *more: (sizes.append(size), plain(rows, count, size, *more))[1])
+    topk.exact_top_k(table, "vec_id % 20 = 0", 5, scale=1.0)
+    assert sizes == [1024, 1024]  # 8 MB a block at 8 bytes
+    tracemalloc.start()
+    topk.best_of_tiles(np.arange(1024), v[:1024], np.arange(1024), v[:1024], 20, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_matrix_of_lists():
+    lists = pa.array([[9], [1, 2, 3], [], [4], [5, 6]], pa.list_(pa.int64()))
+    assert topk.matrix(lists[1:]).tolist() == [[1, 2, 3], [0, 0, 0], [4, 0, 0], [5, 6, 0]]
+    assert topk.matrix(lists[:0]).shape[0] == 0 and topk.matrix(pa.array([[1, 2], [3, 4]], pa.list_(pa.int64()))).tolist() == [[1, 2], [3, 4]]
+
+
 def test_near_copies_among_look_alikes(spark):
     """Pairs at about 0.85 inside a templated group at 0.6 to 0.7 are all found."""
     rng = random.Random(9)
