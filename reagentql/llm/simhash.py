@@ -170,7 +170,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat an id each give a row.  An empty table gives no rows.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    counted = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    prints = counted.where("node IS NOT NULL").select("fp", "node")
     joined = components(links_within_two(prints))
-    info = cut(prints.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return marked.join(info, "fp", "left").select("doc_id", "fp", "component_id")
+    # Rows of a frequent fingerprint, such as the zero of texts without words, are dealt over many tasks.
+    info = cut(counted.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n"))
+    total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_on_hot(marked, info, "fp", total).select("doc_id", "fp", "component_id")
