@@ -19,19 +19,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     The session's own setting wins; only where it is unset in a local session (tests) is a
-    folder next to the warehouse used.  On a cluster it must be set.
+    folder next to the warehouse used.  On a cluster it must be set.  Spark gives each
+    application a folder of its own there, which goes when the driver ends.
     """
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-    context.setCheckpointDir(folder)
-    return folder
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        context.setCheckpointDir(folder)
+    own = context._jsc.sc().getCheckpointDir().get()
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,15 +75,15 @@ class Scratch:
 HOT_PART, SALTS = 1000, 64
 
 
-def join_on_hot(rows: DataFrame, info: DataFrame, key: str, total: int) -> DataFrame:
+def join_on_hot(rows: DataFrame, info: DataFrame, key: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` (``total`` of them) with the columns of ``info`` for their key; rows of other keys drop out.
 
     ``info`` has each key once, and as n its number of rows.  The fewer than HOT_PART keys that
     hold over one HOT_PART-th of the rows are broadcast to salt their rows, so that no task gets
-    all rows of a hot key.
+    all rows of a hot key.  ``counts`` may give key and n alone, where ``info`` is wide.
     """
     hot = F.col("n") * HOT_PART > F.lit(total)
-    few = F.broadcast(info.where(hot).select(key, F.lit(True).alias("__hot")))
+    few = F.broadcast((info if counts is None else counts).where(hot).select(key, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(few, key, "left").withColumn("__salt", salt).drop("__hot")
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
