@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ BRACKETS = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract_all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -132,7 +139,7 @@ def bracket_run(text: Column) -> Column:
     """The atom-bond notation of a text: all its short brackets joined, as line notation; null under five characters."""
     bare = F.regexp_replace(F.element_at(F.split(text, "### Response:"), -1), r"<[^>\n]*>", "")
     joined = F.array_join(extract_all(bare, r"(\[[^\]]{1,6}\])"), "")
-    return F.when(F.length(joined) >= 5, bracket_to_line(joined))
+    return let(joined, lambda j: F.when(F.length(j) >= 5, bracket_to_line(j)))
 
 
 # Words near the start of a line that make it prose.
@@ -152,7 +159,7 @@ def bracket_candidates(text: Column) -> Column:
     prose = lambda x: F.lower(F.substring(x, 1, 60)).rlike("|".join(PROSE_LINE))
     kept = F.filter(lines, lambda x: (F.length(x) >= 4) & share(x) & ~prose(x) & x.rlike(r"[CNOSPFIcnosp\[\]]"))
     cut = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[-*•]\s*", ""), r"^(\d+[.):]+\s*)?([Ss][Mm][Ii][Ll][Ee][Ss]\s*[:-]?\s*)?|```+", ""))
-    found = F.transform(kept, lambda x: F.when(F.contains(cut(x), F.lit("][")), bracket_to_line(cut(x))).otherwise(cut(x)))
+    found = F.transform(F.transform(kept, cut), lambda x: F.when(F.contains(x, F.lit("][")), bracket_to_line(x)).otherwise(x))
     whole = F.array_compact(F.array(bracket_run(text)))
     return F.array_distinct(F.filter(F.concat(whole, found), lambda x: strict_ok(x)))
 
@@ -203,15 +210,14 @@ def _unbracketed(text: Column) -> Column:
 def reclaimed(field_text: Column) -> Column:
     """Line notations of a field into which remarks and steps have slipped: the whole if it is valid, else its valid parts."""
     bare = F.regexp_replace(F.regexp_replace(_unbracketed(field_text), r"(?i)This\s+is\s+step\s+\d+[^,;.]*[,;.]?", ""), r"(?i)step\s+\d+[^,;.]*[,;.]?", "")
-    whole = F.array(F.trim(bare))
-    return F.when(strict_ok(F.trim(bare)), whole).otherwise(_valid(F.transform(F.split(bare, r"[,;\n]"), lambda x: F.trim(x))))
+    return let(bare, lambda b: let(F.trim(b), lambda whole: F.when(strict_ok(whole), F.array(whole)).otherwise(_valid(F.transform(F.split(b, r"[,;\n]"), lambda x: F.trim(x))))))
 
 
 def segment_candidates(segment: Column) -> Column:
     """A segment without remarks, opening phrase and last punctuation if that is valid, else its valid words."""
     phrase = r"(?i)^(to\s+synthesize|for\s+the\s+synthesis\s+of|target\s+molecule|final\s+product)\s+"
     bare = F.regexp_replace(F.trim(F.regexp_replace(_unbracketed(segment), phrase, "")), r"[,;.]+$", "")
-    return F.when(strict_ok(bare), F.array(bare)).otherwise(_valid(F.split(bare, r"[\s,;]+")))
+    return let(bare, lambda b: F.when(strict_ok(b), F.array(b)).otherwise(_valid(F.split(b, r"[\s,;]+"))))
 
 
 # Phrases before a target, marks of lines about steps, words that no target holds.
@@ -246,9 +252,7 @@ def rows_of(df: DataFrame, array: Column, keep: list[str], name: str = "token")
 
 def first_of_each(rows: Column, name: str = "token") -> Column:
     """Of an array of structs the first with each value of a field, in order; the array is computed once."""
-    keep = lambda acc, x: F.when(F.array_contains(F.transform(acc, lambda y: y[name]), x[name]), acc).otherwise(F.concat(acc, F.array(x)))
-    # The fold's start has the array's own type: an empty slice of it.
-    return F.get(F.transform(F.array(rows), lambda r: F.aggregate(r, F.slice(r, 1, 0), keep)), F.lit(0))
+    return let(rows, lambda r: let(r[name], lambda names: F.filter(r, lambda x, i: F.array_position(names, x[name]) == i + 1)))
 
 
 def strip_special(text: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reagentql.operators.intervals import within_intervals  # noqa: F401
+from reagentql.operators.ordered import asof, exact_quantile, null_safe_join, numbered  # noqa: F401
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank; the order should end in a unique column."""
@@ -35,72 +38,10 @@ def already_known(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
     return df.join(known.select(*keys).distinct(), keys, "left_semi")
 
 
-#: Ranges into which a group's rows are dealt, so that no task sorts a whole group.
-RANGES = 256
-
-
-def _with_range(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with __range, the range (0 to RANGES - 1) of a column; ranges rise with it and hold about as many rows each.
-
-    Strings are placed by their first seven bytes.
-    """
-    key = F.col(value)
-    if dict(df.dtypes)[value] == "string":
-        key = F.conv(F.rpad(F.substring(F.hex(key), 1, 14), 14, "0"), 16, 10).cast("double")
-    shares = [i / RANGES for i in range(1, RANGES)]
-    ends = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
-    if not ends:
-        return df.withColumn("__range", F.lit(0))
-    # Two steps of at most 16 comparisons: the block of ends, then the place in it.
-    below = lambda values: F.greatest(F.size(F.filter(values, lambda x: x < key)), F.lit(0))
-    every = F.array(*[F.lit(x) for x in ends])
-    block = below(F.array(*[F.lit(ends[min(i + 15, len(ends) - 1)]) for i in range(0, len(ends), 16)]))
-    df = df.withColumn("__at", block * 16)
-    return df.withColumn("__range", F.col("__at") + below(F.slice(every, F.col("__at") + 1, F.lit(16)))).drop("__at")
-
-
-def numbered(df: DataFrame, groups: list[str], value: str, ties: list[Column], out: str, bucket: Column | None = None) -> DataFrame:
-    """Rows numbered from 0 within each group by a column (its nulls first), then ``ties``.
-
-    Rows are dealt by ranges of the column: each range is sorted on its own and gets the number
-    of rows before it, so that a group of any size is spread over many tasks.  ``bucket`` may name
-    ranges that are known; they must rise with the column.
-    """
-    dealt = _with_range(df, value) if bucket is None else df.withColumn("__range", bucket)
-    counts = dealt.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(value, *ties)) - 1
-    rows = dealt.withColumn("__within", within).join(counts, [*groups, "__range"])
-    return rows.withColumn(out, F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
-
-
-def exact_quantile(df: DataFrame, by: list[str], value: str, share: float, out: str) -> DataFrame:
-    """The exact quantile (interpolated) of a column per group, null for a group without values.
-
-    Ranges are counted first; only those that hold the quantile's two neighbours are sorted.
-    """
-    dealt = _with_range(df, value)
-    counts = dealt.groupBy(*by, "__range").agg(F.count(value).alias("__k"))
-    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("__k").over(order.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumns({"__upto": upto, "__n": F.sum("__k").over(order)})
-    at = (F.col("__n") - 1) * F.lit(share)
-    counts = counts.withColumns({"__low": F.floor(at), "__high": F.ceil(at), "__part": at - F.floor(at)})
-    needed = counts.where((F.col("__upto") > F.col("__low")) & (F.col("__upto") - F.col("__k") <= F.col("__high")))
-    rows = dealt.where(F.col(value).isNotNull()).join(needed, [*by, "__range"])
-    number = F.col("__upto") - F.col("__k") + F.row_number().over(Window.partitionBy(*by, "__range").orderBy(value)) - 1
-    ends = rows.withColumn("__i", number).groupBy(*by).agg(
-        F.max(F.when(F.col("__i") == F.col("__low"), F.col(value))).alias("__a"), F.max(F.when(F.col("__i") == F.col("__high"), F.col(value))).alias("__b"), F.first("__part").alias("__part")
-    )
-    ends = ends.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(out))
-    return df.select(*by).distinct().join(ends, by, "left") if by else ends
-
-
 def sequence_ids(df: DataFrame, group: str, position: str, ties: list[Column] = (), out: str = "seq_id", width: int = 5) -> DataFrame:
-    """group_00000, group_00001, ... by position within each group."""
+    """group_00000, group_00001, ... by position within each group; ids of a null group begin with the underscore."""
     rows = numbered(df, [group], position, list(ties), "__i")
-    return rows.withColumn(out, F.concat_ws("_", F.col(group), F.lpad(F.col("__i").cast("string"), width, "0"))).drop("__i")
+    return rows.withColumn(out, F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit("_"), F.lpad(F.col("__i").cast("string"), width, "0"))).drop("__i")
 
 
 def rebuilt_ids(df: DataFrame, group: str, key: str, position: str, out: str = "seq_id", width: int = 5) -> DataFrame:
@@ -138,10 +79,8 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
 
 
 def split_rows(df: DataFrame, stratum: str, key: str, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
-    """Exact shares of every stratum in hash order, the last share taking the rest."""
-    # The hash's first two digits are ranges of about equal size.
-    rows = numbered(df.withColumn("__h", hash_order(key, seed=seed)), [stratum], "__h", [F.col(key)], "__i", F.substring("__h", 1, 2)).drop("__h")
-    rows = rows.join(df.groupBy(stratum).agg(F.count("*").alias("__n")), stratum)
+    """Exact shares of every stratum in hash order, the last share taking the rest; rows of a null stratum are one."""
+    rows = numbered(df.withColumn("__h", hash_order(key, seed=seed)), [stratum], "__h", [F.col(key)], "__i", "__n").drop("__h")
     out, until = F.lit(shares[-1][0]), F.lit(0)
     bounds = []
     for name, share in shares[:-1]:
@@ -153,15 +92,18 @@ def split_rows(df: DataFrame, stratum: str, key: str, shares: tuple[tuple[str, f
 
 
 def pad_rows(df: DataFrame, group: str, order: list[Column], n: int, filler: dict[str, Column], groups: DataFrame | None = None) -> DataFrame:
-    """Exactly ``n`` rows per group (of ``groups``, if given), numbered from 1; missing ones carry the filler values."""
+    """Exactly ``n`` rows per group (of ``groups``, if given), numbered from 1; missing ones carry the filler values, a null group is one."""
     ranked = top_per_group(df, [group], order, n, "slot")
     slots = (df if groups is None else groups).select(group).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    out = slots.join(ranked, [group, "slot"], "left")
+    out = null_safe_join(slots, ranked, [group, "slot"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in filler.items()})
 
 
 def summary(df: DataFrame, value: str, by: list[str] = (), high: float = 0.7) -> DataFrame:
-    """Count, mean, extremes, median and both deviations of a value, and how many exceed ``high``."""
+    """Count, mean, extremes, median and both deviations of a value, and how many exceed ``high``; null groups are one.
+
+    The median leaves NaN out, as it does null; the other figures follow Spark's rules for NaN.
+    """
     v = F.col(value)
     out = df.groupBy(*by).agg(
         F.count("*").alias("n"),
@@ -174,9 +116,7 @@ def summary(df: DataFrame, value: str, by: list[str] = (), high: float = 0.7) ->
         F.count_if(v > high).alias("n_high"),
     )
     middle = exact_quantile(df, list(by), value, 0.5, "median").withColumn("median", F.round("median", 6))
-    if by:
-        return out.join(middle, list(by), "left")
-    return out.join(F.broadcast(middle), F.lit(True), "left")  # one row each
+    return null_safe_join(out, middle, list(by), "left")
 
 
 def correlations(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -294,12 +234,13 @@ def with_status(df: DataFrame, column: str, wanted: tuple[str, ...] = ("Approved
 
 
 def best_first(df: DataFrame, value: str, position: str) -> DataFrame:
-    """All rows by descending value, equal ones by position, null values last, with their place from 1.
+    """All rows with their place from 1 by descending value, equal ones by position, null values last.
 
-    Places are found range by range, so no task sorts the table.
+    Places are found run by run, so no task sorts the table, and it is sorted once; order by
+    ``place`` where rows are to be shown in order.
     """
     rows = df.withColumn("__v", -F.coalesce(F.nullif(F.col(value).cast("double"), F.lit(float("nan"))), F.lit(float("-inf"))))
-    return numbered(rows, [], "__v", [F.col(position)], "place").withColumn("place", F.col("place") + 1).drop("__v").orderBy("place")
+    return numbered(rows, [], "__v", [F.col(position)], "place").withColumn("place", F.col("place") + 1).drop("__v")
 
 
 def best_of(df: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
@@ -312,30 +253,6 @@ def matched(proposals: DataFrame, evaluations: DataFrame, keys: list[str]) -> Da
     return proposals.join(evaluations.dropDuplicates(keys), keys, "left")
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str]) -> DataFrame:
-    """Each left row with the right row's values last known at its time, in one pass over both sides.
-
-    Both sides are put in order together (right before left at equal times), so no pair is built.
-    Right rows of equal group and time are ordered by their values.
-    """
-    null = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]
-    one = left.select(by, time, F.struct(*left.columns).alias("__l"), F.lit(1).alias("__side"), *null)
-    two = right.select(by, time, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), F.lit(0).alias("__side"), *values)
-    order = Window.partitionBy(by).orderBy(time, "__side", *values).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__side") == 0, F.struct(*values)), True).over(order)
-    return one.unionByName(two).withColumn("__last", last).where("__side = 1").select("__l.*", *[F.col(f"__last.{v}").alias(v) for v in values])
-
-
-def within_intervals(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points joined with the intervals [start, end] of their group that hold them.
-
-    Both meet in cells of ``width``: an interval is copied to the cells it touches, a point to one.
-    """
-    cell = lambda x: F.floor(F.col(x) / width).cast("long")
-    spread = intervals.withColumn("__cell", F.explode(F.sequence(cell(start), cell(end))))
-    return points.withColumn("__cell", cell(at)).join(spread, [by, "__cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__cell")
-
-
 def per_state(df: DataFrame, state: str, value: str, least: float = 0.8, n: int = 500, order: list[Column] = ()) -> DataFrame:
     """The first ``n`` rows of each state with a value at or above the threshold."""
     return top_per_group(df.where(F.col(value) >= least), [state], list(order), n, "__n").drop("__n")

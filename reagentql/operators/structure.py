@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reagentql.operators.relational import exact_quantile, first_seen, top_per_group
+from reagentql.operators.ordered import exact_quantile
+from reagentql.operators.relational import first_seen, top_per_group
 from reagentql.operators.vectors import within_radius
 
 # Residues that coordinate metals, metals, charged surface residues, gatekeeper numbers.

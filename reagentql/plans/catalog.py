@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reagentql.plans import extraction, more, prompts, relational, reports, scores, texts
+from reagentql.plans import extraction, more, ordering, prompts, relational, reports, scores, texts
 
-MODULES = (scores, relational, texts, extraction, reports, more, prompts)
+MODULES = (scores, relational, texts, extraction, reports, more, prompts, ordering)
 
 
 def queries() -> dict:

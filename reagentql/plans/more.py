@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -199,7 +202,7 @@ CELLS = """WITH g AS (SELECT vec_id AS cell, unnest(range(64)) AS gene, CAST(unn
 def q_connection_scores(spark, sf):
     cells = read(spark, sf, "embeddings").select(c("vec_id").alias("cell"), F.posexplode("embedding").alias("gene", "v")).select("cell", "gene", c("v").cast("double").alias("value"))
     signature = cells.where("cell = 0 AND gene < 40").select("gene", c("value").alias("weight"))
-    chosen = spark.range(1, 1_000_000, 10).select(c("id").alias("cell"))
+    chosen = read(spark, sf, "embeddings").where("vec_id % 10 = 1").select(c("vec_id").alias("cell"))
     out = evaluation.connection_scores(cells, signature, "minmax", chosen)
     return out.select("cell", r6(c("z")).alias("z"), r6(c("mean")).alias("mean"))
 
@@ -286,21 +289,25 @@ def _tree_levels(spark, sf):
     return [first, second]
 
 
-# The models and prompts of responses by the remainders of their nodes; the tree of each variant by hand.
-@query("""WITH n AS (SELECT n_nationkey AS node, (n_nationkey * 37 % 100) / 100e0 AS reward, n_nationkey % 7 = 0 AS pruned FROM nation),
-  s AS (SELECT s_suppkey AS node, s_nationkey AS parent, s_suppkey % 2 AS round, (s_suppkey * 41 % 97) / 100e0 AS reward, s_suppkey % 5 = 0 AS pruned FROM supplier),
-  k AS (SELECT node, CAST(node AS VARCHAR) AS path FROM n WHERE NOT pruned ORDER BY reward DESC, node LIMIT 3), kc AS (SELECT node, CAST(node AS VARCHAR) AS path FROM n ORDER BY node LIMIT 3),
-  plain AS (SELECT 'no_feedback' AS variant, s.node, s.reward, path || '>' || s.node AS path, row_number() OVER (PARTITION BY parent ORDER BY s.reward DESC, s.node) AS i FROM s JOIN k ON parent = k.node WHERE NOT pruned AND round = 0),
-  same AS (SELECT 'constant_evaluator' AS variant, s.node, 1e0 AS reward, path || '>' || s.node AS path, row_number() OVER (PARTITION BY parent ORDER BY s.node) AS i FROM s JOIN kc ON parent = kc.node WHERE round = (SELECT min(round) FROM s JOIN kc ON parent = kc.node)),
-  one AS (SELECT 'direct' AS variant, node, reward, CAST(node AS VARCHAR) AS path, row_number() OVER (ORDER BY reward DESC, node) AS i FROM s WHERE NOT pruned AND (round = 0 OR NOT (SELECT max(reward) >= 0.65 FROM s WHERE NOT pruned AND round = 0)))
-  SELECT variant, node, reward, path FROM (SELECT * FROM plain UNION ALL SELECT * FROM same UNION ALL SELECT * FROM one) WHERE i <= 3""")
+# Every model and prompt made the same responses, so that the trees of the variants can be written by hand.
+@query(TREE.rstrip() + """,
+  t AS (SELECT node, reward, path, row_number() OVER (PARTITION BY parent ORDER BY reward DESC, node) AS i FROM b2),
+  plain AS (SELECT node, reward, path, row_number() OVER (PARTITION BY parent ORDER BY reward DESC, node) AS i FROM d2 WHERE round = 0),
+  kc AS (SELECT node, CAST(node AS VARCHAR) AS path FROM l1 ORDER BY node LIMIT 3),
+  same AS (SELECT l2.node, 1e0 AS reward, path || '>' || l2.node AS path, row_number() OVER (PARTITION BY l2.parent ORDER BY l2.node) AS i FROM l2 JOIN kc ON l2.parent = kc.node WHERE round = (SELECT min(round) FROM l2 JOIN kc ON l2.parent = kc.node)),
+  one AS (SELECT node, reward, CAST(node AS VARCHAR) AS path, row_number() OVER (ORDER BY reward DESC, node) AS i FROM l2 WHERE NOT pruned AND (round = 0 OR NOT (SELECT max(reward) >= 0.65 FROM l2 WHERE NOT pruned AND round = 0))),
+  basic AS (SELECT node, 1e0 AS reward, CAST(node AS VARCHAR) AS path, row_number() OVER (ORDER BY node) AS i FROM l2 WHERE round = (SELECT min(round) FROM l2)),
+  every AS (SELECT unnest(['full', 'generic_prompt', 'general_adapter']) AS variant, * FROM t UNION ALL SELECT 'no_feedback', * FROM plain UNION ALL SELECT 'constant_evaluator', * FROM same
+    UNION ALL SELECT unnest(['single_step', 'reasoning', 'direct']), * FROM one UNION ALL SELECT 'base_only', * FROM basic)
+  SELECT variant, node, reward, path FROM every WHERE i <= 3""")
 def q_search_variants(spark, sf):
-    """The tree of q_tree_search by variants that go without feedback, evaluation or levels."""
+    """The tree of q_tree_search in all variants: whole ones, and those that go without feedback, evaluation or levels."""
     first, second = _tree_levels(spark, sf)
-    made = first.withColumn("level", F.lit(0)).unionByName(second.withColumn("level", F.lit(1))).withColumn("model", F.lit("domain"))
-    responses = made.withColumn("prompt", F.explode(F.array(F.lit("domain"), F.lit("simple"))))
-    runs = [control.variant_search(responses, v, 3, 0.65, 2) for v in control.VARIANTS if v.name in ("no_feedback", "constant_evaluator", "direct")]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("variant", "node", "reward", F.array_join("path", ">").alias("path"))
+    made = first.withColumn("level", F.lit(0)).unionByName(second.withColumn("level", F.lit(1)))
+    pairs = sorted({(v.model, v.prompt) for v in control.VARIANTS})
+    responses = made.withColumn("__p", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("prompt")) for m, p in pairs]))).select("*", "__p.*").drop("__p")
+    runs = [control.variant_search(responses, v, 3, 0.65, 2) for v in control.VARIANTS]
+    return reduce(DataFrame.unionByName, runs).select("variant", "node", "reward", F.array_join("path", ">").alias("path"))
 
 
 @query("WITH t AS (SELECT event_type AS target, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT r.target, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'empty' ELSE 'saved' END AS status FROM (VALUES ('view'), ('click'), ('error'), ('none')) r(target) LEFT JOIN t USING (target)")
