@@ -18,6 +18,36 @@ def last_good(attempts: DataFrame, call: str, attempt: str, ok: str, values: lis
     return out.select(call, *[F.col(f"__b.{x}").alias(x) for x in (attempt, *values)], "n", "solved")
 
 
+def retry_requests(attempts: DataFrame, call: str, attempt: str, prompt: str, warning: str, tokens: str, temperature: float = 0.8, top_p: float = 0.95, most: int = 3, share: float = 0.6) -> DataFrame:
+    """``attempts`` with what each was asked with: request, temperature, top_p, tokens, source; those after ``most`` a call are left out.
+
+    The first attempt of a call is asked with the prompt alone.  A retry keeps no history: its
+    request is the warning that the attempt before it left, if it left one, and the prompt; it is
+    asked at temperature 0.2 and top_p 0.85, for ``share`` of the tokens.
+    """
+    order = Window.partitionBy(call).orderBy(attempt)
+    rows = attempts.withColumns({"__n": F.row_number().over(order), "__warning": F.lag(warning).over(order)}).where(F.col("__n") <= most)
+    retry = F.col("__n") > 1
+    asked = F.when(F.length("__warning") > 0, F.concat_ws("\n\n", F.col("__warning"), F.col(prompt))).otherwise(F.col(prompt))
+    rows = rows.withColumn("request", F.when(retry, asked).otherwise(F.col(prompt)))
+    rows = rows.withColumn("temperature", F.when(retry, 0.2).otherwise(temperature)).withColumn("top_p", F.when(retry, 0.85).otherwise(top_p))
+    return rows.withColumn("tokens", F.when(retry, F.floor(F.col(tokens) * share)).otherwise(F.col(tokens)).cast("int")).drop("__n", "__warning")
+
+
+def last_resort(attempts: DataFrame, call: str, attempt: str, ok: str, value: str, base: DataFrame, most: int = 3) -> DataFrame:
+    """call, value, source: the first good attempt of each call among ``most``; without one the base model's answer, else the last attempt's.
+
+    ``base`` has the call and the value; it is looked at only for calls that no attempt solved.
+    """
+    order = Window.partitionBy(call).orderBy(attempt)
+    tried = attempts.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    best = tried.groupBy(call).agg(F.min_by(value, F.when(F.col(ok), F.col("__n"))).alias("__good"), F.max(F.coalesce(F.col(ok), F.lit(False))).alias("__ok"), F.max_by(value, "__n").alias("__last"))
+    rows = best.join(base.select(call, F.col(value).alias("__base"), F.lit(True).alias("__has")), call, "left")
+    source = F.when(F.col("__ok"), "attempt").when(F.col("__has"), "base").otherwise("last")
+    chosen = F.when(F.col("__ok"), F.col("__good")).when(F.col("__has"), F.col("__base")).otherwise(F.col("__last"))
+    return rows.select(call, chosen.alias(value), source.alias("source"))
+
+
 def with_fallback(keys: DataFrame, primary: DataFrame, fallback: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, source: the primary's value, else the fallback's; both have one row a key."""
     one = primary.select(key, F.col(value).alias("__a"))

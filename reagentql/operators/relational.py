@@ -283,3 +283,19 @@ def grouped_reports(df: DataFrame, sets: list[list[str]], aggregates: list[Colum
 def canonical_names(names: Column) -> Column:
     """Slashes and blanks as underscores."""
     return F.translate(names, "/ ", "__")
+
+
+def looked_up(rows: DataFrame, key: str, wanted: list, columns: dict[str, Column]) -> DataFrame:
+    """The key and some columns of each row that is wanted, in the order asked; a key that is missing has nulls, and empty lists and maps."""
+    asked = rows.sparkSession.createDataFrame([(k, i) for i, k in enumerate(wanted)], f"__key {rows.schema[key].dataType.simpleString()}, place int")
+    found = rows.join(F.broadcast(asked.select(F.col("__key").alias(key))), key, "left_semi").select(F.col(key).alias("__key"), *[v.alias(n) for n, v in columns.items()])
+    out = F.broadcast(asked).join(found, "__key", "left")
+    empty = {"array": F.array, "map": F.create_map}
+    kinds = {f.name: f.dataType for f in out.schema.fields}
+    filled = {n: F.coalesce(F.col(n), empty[kinds[n].typeName()]().cast(kinds[n])) for n in columns if kinds[n].typeName() in empty}
+    return out.withColumns(filled).withColumnRenamed("__key", key)
+
+
+def synergies(combinations: DataFrame, index: str = "Combination_Index", least: float = 1.0) -> DataFrame:
+    """The rows of a combination table whose index is above ``least``; indices that are missing or no numbers are not."""
+    return combinations.where(F.col(index).isNotNull() & ~F.isnan(F.col(index).cast("double")) & (F.col(index) > least))

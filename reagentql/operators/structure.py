@@ -85,6 +85,41 @@ def binding_sites(atoms: DataFrame, ligand_radius: float = 6.0) -> DataFrame:
     return out
 
 
+# Residues of each class of a pharmacophore.
+RESIDUE_CLASSES = {
+    "hydrophobic_regions": ("ALA", "VAL", "LEU", "ILE", "MET", "PHE", "TRP", "PRO"),
+    "hydrogen_bond_donors": ("SER", "THR", "TYR", "CYS", "LYS", "ARG", "HIS", "TRP"),
+    "hydrogen_bond_acceptors": ("SER", "THR", "TYR", "ASN", "GLN", "ASP", "GLU", "CYS"),
+    "aromatic_regions": ("PHE", "TYR", "TRP", "HIS"),
+    "positive_charge": ("LYS", "ARG", "HIS"),
+    "negative_charge": ("ASP", "GLU"),
+}
+# Weights of elements, of an element that is not listed, and of metals that stand alone.
+ELEMENT_WEIGHTS = {"C": 12.01, "N": 14.01, "O": 16.00, "S": 32.07, "H": 1.008, "P": 30.97, "F": 19.00, "CL": 35.45, "BR": 79.90, "I": 126.90}
+OTHER_WEIGHT = 12.01
+METAL_WEIGHTS = {"ZN": 65.38, "MG": 24.31, "MN": 54.94, "FE": 55.85}
+
+
+def pharmacophore_lists(rows: DataFrame, by: list[str], name: str, number: str, order: list[str]) -> DataFrame:
+    """by, and for each class of residues the names with numbers of those that belong to it, in order; empty where none does."""
+    label = F.concat(F.col(name), F.col(number).cast("string"))
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("__name"), label.alias("__label")))).alias("__all"))
+    of_class = lambda names: F.transform(F.filter("__all", lambda r: r["__name"].isin(*names)), lambda r: r["__label"])
+    return listed.select(*by, *[of_class(names).alias(n) for n, names in RESIDUE_CLASSES.items()])
+
+
+def _weights(table: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
+def component_weights(atoms: DataFrame, by: list[str], component: str, element: str) -> DataFrame:
+    """by, component, weight: a lone metal's by its name, others' as the sum over their atoms."""
+    each = F.coalesce(F.try_element_at(_weights(ELEMENT_WEIGHTS), F.col(element)), F.lit(OTHER_WEIGHT))
+    sums = atoms.groupBy(*by, component).agg(F.sum(each).alias("__sum"))
+    metal = F.try_element_at(_weights(METAL_WEIGHTS), F.col(component))
+    return sums.select(*by, component, F.round(F.coalesce(metal, F.col("__sum")), 4).alias("weight"))
+
+
 # Words of a description, and the gene each names, in order.
 GENES = (
     ("epidermal growth factor receptor", "EGFR"), ("vascular endothelial growth factor", "VEGFA"), ("isocitrate dehydrogenase", "IDH1"), ("p53", "TP53"),
@@ -154,3 +189,66 @@ def compare_targets(rows: DataFrame, key: str, wanted: list) -> DataFrame:
     """name, length, sites of the targets wanted; those that are missing are left out."""
     n = F.greatest(F.size("binding_sites"), F.lit(0))
     return rows.where(F.col(key).isin(*wanted)).select("name", F.coalesce(F.length("sequence"), F.lit(0)).alias("length"), n.alias("sites"))
+
+
+# One letter for each residue's name.
+LETTERS = {
+    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
+    "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+}
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """file, pdb_id, title, method, resolution, chains, gene, organism of every file that could be read."""
+    field = lambda category, name: F.max(F.when((F.col("category") == category) & (F.col("ordinal") == 0), F.try_element_at("fields", F.lit(name))))
+    names = F.when(F.col("category") == "entity", gene_of(F.try_element_at("fields", F.lit("pdbx_description"))))
+    # The last entity that is known counts.
+    gene = F.max_by(names, F.when(names["gene"].isNotNull(), F.col("ordinal")))
+    out = rows.where("error IS NULL").groupBy("file").agg(
+        F.coalesce(field("struct", "entry_id"), F.lit("XXXX")).alias("pdb_id"),
+        F.coalesce(field("struct", "title"), F.lit("")).alias("title"),
+        F.coalesce(field("exptl", "method"), F.lit("X-RAY DIFFRACTION")).alias("method"),
+        field("exptl", "resolution").try_cast("double").alias("resolution"),
+        F.array(F.coalesce(F.trim(field("entity_poly", "pdbx_strand_id")), F.lit("A"))).alias("chains"),
+        field("entity_poly", "pdbx_seq_one_letter_code").alias("__code"),
+        gene.alias("__gene"),
+    )
+    return out.select("*", "__gene.gene", "__gene.organism").drop("__gene")
+
+
+def _sequences(rows: DataFrame) -> DataFrame:
+    """file, __built: the residues of the polymer's table as letters, X for one that has none."""
+    listed = rows.where("category = 'entity_poly_seq'").select("file", "ordinal", F.try_element_at("fields", F.lit("mon_id")).alias("r")).where("r <> ''")
+    letter = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair]), F.col("r")), F.lit("X"))
+    ordered = listed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", letter.alias("l")))).alias("s"))
+    return ordered.select("file", F.array_join("s.l", "").alias("__built"))
+
+
+def whole_structure(rows: DataFrame, atoms: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """One row a file with everything that is known of it, or with the error that kept it from being read.
+
+    ``rows`` are those of ``read_mmcif``, ``atoms`` their atoms, ``kinds`` the residues' secondary
+    structure (file, chain, residue_num, kind), if it is known.  The columns are the description
+    (pdb_id, title, method, resolution, chains, gene, organism), sequence and its length, n_atoms,
+    n_residues, components (name, kind, weight), sites (as of ``binding_sites``), runs of secondary
+    structure, and the lists of the pharmacophore.  A part that a file lacks is empty.
+    """
+    found = residues(atoms.where("grp <> 'HETATM'"))
+    counts = atoms.groupBy("file").agg(F.count("*").alias("n_atoms")).join(found.groupBy("file").agg(F.count("*").alias("n_residues")), "file", "left")
+    weights = component_weights(atoms.where("grp = 'HETATM'"), ["file"], "residue_name", "element")
+    parts = components(atoms).join(weights, ["file", "residue_name"]).groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("residue_name").alias("name"), "kind", "weight"))).alias("components"))
+    sites = binding_sites(atoms).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("method", "site_id", "residues"))).alias("sites"))
+    lists = pharmacophore_lists(found, ["file"], "residue_name", "auth_num", ["chain", "residue_num"])
+    lists = lists.select("file", F.struct(*RESIDUE_CLASSES).alias("pharmacophore"))
+    code = F.regexp_replace("__code", r"[;\s]", "")
+    sequence = F.when(F.length("__built") >= 10, F.col("__built")).otherwise(F.coalesce(F.when(F.length(code) > 0, code), F.col("__built"), F.lit("")))
+    out = _described(rows).join(_sequences(rows), "file", "left").withColumn("sequence", sequence).withColumn("sequence_length", F.length("sequence")).drop("__code", "__built")
+    for part in (counts, parts, sites, lists):
+        out = out.join(part, "file", "left")
+    if kinds is not None:
+        runs = secondary_structure(kinds).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("chain", "start", "end", "kind", "n"))).alias("secondary"))
+        out = out.join(runs, "file", "left")
+    lacking = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("n_atoms", "n_residues")}
+    lacking |= {n: F.coalesce(F.col(n), F.array().cast(out.schema[n].dataType)) for n in ("components", "sites", "secondary") if n in out.columns}
+    broken = rows.where("error IS NOT NULL").groupBy("file").agg(F.min("error").alias("error"))
+    return out.withColumns(lacking).withColumn("error", F.lit(None).cast("string")).unionByName(broken, True)

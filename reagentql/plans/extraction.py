@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reagentql.functions import text as T
 from reagentql.plans.proxies import read
+from reagentql.sources.readers import spread
 
 c = F.col
 Q: dict = {}
@@ -23,6 +24,7 @@ def query(sql: str):
 
 def texts(spark, sf, text: str):
     rows = read(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_orderkey % 9 AS a", "o_custkey % 7 AS b", "o_orderkey % 4 AS k")
+    rows = spread(rows)  # extraction is costly, and the table one small file
     return rows.select("id", F.expr(text).alias("t"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reagentql.functions import text as T
 from reagentql.operators import relational as R
 from reagentql.plans.proxies import read
+from reagentql.sources.readers import spread
 
 c = F.col
 Q: dict = {}
@@ -127,7 +128,7 @@ RETRO = """concat('Therefore, the designed molecule is: 1: CC(N)CCO', o_orderkey
   SELECT id, 0 AS strategy, concat('CC(N)CCO', o % 9) AS token FROM d UNION ALL SELECT id, 1, concat('CCOC(C)N', c % 4) FROM d UNION ALL SELECT id, 1, concat('NCC(F)CO', c % 9) FROM d
   UNION ALL SELECT id, 2, concat('CCNCCCO', o % 5) FROM d UNION ALL SELECT id, 2, concat('OCCCCCF', c % 3) FROM d UNION ALL SELECT id, 3, concat('CCOC(C)N', c % 4, '.NCC(F)CO', c % 9) FROM d""")
 def q_retro_extract(spark, sf):
-    rows = read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(RETRO).alias("t"))
+    rows = spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(c("o_orderkey").alias("id"), F.expr(RETRO).alias("t"))
     return T.rows_of(rows, T.retrosynthesis_candidates(c("t")), ["id"])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from reagentql import schemas
 from reagentql.operators.relational import keep_last
+from reagentql.storage import hadoop_path
 
 
 def file_stem() -> Column:
@@ -157,34 +158,48 @@ def target_summary(summaries: DataFrame, name: str, column: str = "target_name")
     return summaries.where(F.col(column) == name)
 
 
-def templates(path: str, language: str = "english") -> dict:
-    """The settings of a template file, the English one of a pair by its name; a file that is not there has none."""
-    import os
+def templates(spark: SparkSession, path: str, language: str = "english") -> dict:
+    """The settings of a template file, the English one of a pair by its name; a file that is not there has none.
 
-    base, dot, kind = path.rpartition(".")
-    english = f"{os.path.dirname(path)}/{language}_{os.path.basename(base)}{dot}{kind}"
-    chosen = english if os.path.exists(english) else path
-    if not os.path.exists(chosen):
-        return {}
+    The file is read by Spark, so it may lie in any of its file systems.
+    """
     import yaml
 
-    with open(chosen, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    folder, slash, base = path.rpartition("/")
+    stem, dot, kind = base.rpartition(".")
+    for chosen in (f"{folder}{slash}{language}_{stem}{dot}{kind}", path):
+        where, files = hadoop_path(spark, chosen)
+        if files.exists(where):
+            return yaml.safe_load(spark.read.text(chosen, wholetext=True).first()[0]) or {}
+    return {}
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that was read from fewer pieces of files than there are cores, dealt over all cores; others stay as they are.
+
+    For costly expressions over small files, whose one piece would keep all cores but one idle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def existing_candidates(spark: SparkSession, pattern: str) -> DataFrame:
     """Distinct target, smiles of earlier result CSVs; the target is found in the file name.
 
-    Every file has its own header, so the place of its smiles column is read from its first line;
-    a file without such a column, or without a header, gives no rows.
+    Every file has its own header, so the place of its smiles column is read from its first line
+    (the one at the start of its first piece; no file is held whole).  A file without such a column,
+    or without a header, gives no rows.  Quoted fields may hold commas and line breaks.
     """
-    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
-    first = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n", 2)[0].alias("head"))
+    path, name = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name")
+    heads = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(path, "value").withColumn("at", F.monotonically_increasing_id())
+    first = heads.groupBy("path").agg(F.min_by("value", "at").alias("head"))
     names = F.transform(F.split(F.regexp_replace("head", "\ufeff", ""), ","), lambda n: F.lower(F.trim(F.replace(n, F.lit('"'), F.lit("")))))
     places = first.select("path", F.array_position(names, "smiles").cast("int").alias("at"), F.size(names).alias("width")).where("at > 0")
-    # A quoted field may hold commas.
-    cell = F.expr("""trim(replace(try_element_at(regexp_extract_all(value, '(?:^|,)("(?:[^"]|"")*"|[^,]*)', 1), at), '"', ''))""")
-    rows = lines.join(places, "path").select(F.col("name"), cell.alias("smiles")).where("lower(smiles) <> 'smiles'")
+    width = places.agg(F.max("width")).first()[0] or 1
+    columns = [f"c{i}" for i in range(width)]
+    cells = spark.read.schema(", ".join(f"{n} string" for n in columns)).option("multiLine", True).option("quote", '"').option("escape", '"').csv(pattern)
+    rows = cells.select(path, name, F.array(*columns).alias("cells")).join(places, "path")
+    rows = rows.select("name", F.trim(F.try_element_at("cells", F.col("at"))).alias("smiles")).where("lower(smiles) <> 'smiles'")
     known = F.upper(F.col("name"))
     target = F.when(known.contains("VEGF"), "VEGF_VEGFR").when(known.contains("IDH1"), "IDH1_IDH2").when(known.contains("EGFR") | known.contains("EFGR"), "EGFR")
     return rows.select(target.alias("target"), "smiles").where("smiles <> ''").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -113,6 +113,19 @@ def collect_within_clock(rows: DataFrame, enough: int, stop_after: int, seconds:
     return rows.groupBy("target").transformWithStateInPandas(collector, f"{OUT}, reason string", "Append", "ProcessingTime")
 
 
+RESPONSE = "target string, attempt int, pos int, response string"
+
+
+def response_stream(spark: SparkSession, folder: str, files_a_batch: int = 1000, schema: str = RESPONSE) -> DataFrame:
+    """Recorded responses (JSON lines) as they come into a folder, at most so many files a batch.
+
+    Spark's own file source keeps the offsets: which files a batch has taken stands in the
+    query's checkpoint, so a restarted query goes on where it ended, with nothing lost or repeated
+    if its sink knows its batches (``sources.ledger``).  Lines that are no JSON have null fields.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(folder)
+
+
 def distinct_within(rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Duplicates dropped while they arrive within the watermark; the state stays bounded."""
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

@@ -111,13 +111,64 @@ def test_earlier_candidates_in_several_dialects(spark, tmp_path):
     assert got == {("EGFR", "CCO"), ("EGFR", "C,N"), ("IDH1_IDH2", "CCN")}
 
 
+def test_earlier_candidates_with_line_breaks_and_many_files(spark, tmp_path):
+    (tmp_path / "a_egfr.csv").write_text('note,smiles\n"two\nlines, one ""note""",CCO\nx,"C\nN"\n')
+    (tmp_path / "b_vegf.csv").write_text("a,b,c,SMILES\n1,2,3,CCF\n1,2\n")
+    (tmp_path / "c_idh1.csv").write_text("")
+    got = {tuple(r) for r in readers.existing_candidates(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("EGFR", "CCO"), ("EGFR", "C\nN"), ("VEGF_VEGFR", "CCF")}
+
+
+def test_whole_structure(spark, tmp_path):
+    more = CIF.replace("loop_", "_struct.entry_id 1ABC\n_exptl.resolution 2.5\n_entity_poly.pdbx_strand_id B\n_entity_poly.pdbx_seq_one_letter_code ;MKV;\nloop_\n_entity.id\n_entity.pdbx_description\n1 other\n2 'Cellular tumor antigen P53'\nloop_", 1)
+    (tmp_path / "a.cif").write_text(more)
+    (tmp_path / "b.cif").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "d.cif").write_text("data_X\n_struct.title nothing\n")
+    rows = mmcif.read_mmcif(spark, str(tmp_path / "*.cif")).cache()
+    kinds = spark.createDataFrame([("a.cif", "A", 1, "H"), ("a.cif", "A", 2, "H")], "file string, chain string, residue_num int, kind string")
+    got = {r.file: r for r in P.whole_structure(rows, mmcif.atoms(rows), kinds).collect()}
+    assert got.keys() == {"a.cif", "b.cif", "d.cif"} and got["b.cif"].error.startswith("UnicodeDecodeError")
+    a, d = got["a.cif"], got["d.cif"]
+    assert (a.pdb_id, a.resolution, a.chains, a.gene, a.organism, a.sequence, a.sequence_length, a.n_atoms, a.n_residues, a.error) == ("1ABC", 2.5, ["B"], "TP53", "Homo sapiens", "MKV", 3, 5, 2, None)
+    assert [(x.name, x.kind, x.weight) for x in a.components] == [("ZN", "metal", 65.38)]
+    assert [x.site_id for x in a.sites] == ["site_atp_binding", "site_metal_zn", "site_allosteric"] and [(x.start, x.end, x.n) for x in a.secondary] == [(1, 2, 2)]
+    assert (a.pharmacophore.hydrophobic_regions, a.pharmacophore.positive_charge, a.pharmacophore.negative_charge) == (["ALA855"], ["LYS856"], [])
+    assert (d.title, d.pdb_id, d.n_atoms, d.sites, d.components, d.sequence, d.gene) == ("nothing", "XXXX", 0, [], [], "", None)
+
+
+def test_responses_over_a_restart(spark, tmp_path):
+    """Two files a batch; stopped after the first batch, the stream goes on with nothing lost or repeated."""
+    from reagentql.sources.ledger import Ledger, to_ledger
+
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.json").write_text("".join(f'{{"target": "t", "attempt": {i}, "pos": {k}, "response": "r"}}\n' for k in range(3)))
+    ledger, seen = Ledger(spark, str(tmp_path / "out")), []
+
+    def stop_later(batch):
+        seen.append(batch)
+        if len(seen) == 2:
+            raise RuntimeError("stopped")
+
+    for _ in range(2):
+        q = to_ledger(collect.response_stream(spark, str(tmp_path / "in"), 2), ledger, str(tmp_path / "ck"), "responses", after_stage=stop_later).start()
+        try:
+            q.processAllAvailable()
+        except Exception as e:
+            assert "stopped" in str(e)
+        finally:
+            q.stop()
+    assert sorted((r.attempt, r.pos) for r in ledger.read().collect()) == [(i, k) for i in range(5) for k in range(3)]
+    assert [e["batch"] for e in ledger.versions()] == [0, 1, 2] and seen == [0, 1, 1, 2]
+
+
 def test_smaller_readers_and_reports(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Compounds,Combination_Index\n a+b ,1.5\nc,x\n")
     assert [tuple(r) for r in readers.combinations(spark, str(tmp_path / "c.csv")).collect()] == [("a+b", 1.5), ("c", None)]
     (tmp_path / "t.yaml").write_text("a: 1\n")
     (tmp_path / "english_t.yaml").write_text("a: 2\n")
     pytest.importorskip("yaml")
-    assert readers.templates(str(tmp_path / "t.yaml")) == {"a": 2} and readers.templates(str(tmp_path / "no.yaml")) == {}
+    assert readers.templates(spark, str(tmp_path / "t.yaml")) == {"a": 2} and readers.templates(spark, str(tmp_path / "no.yaml")) == {}
     rows = spark.createDataFrame([("A", None), ("B", "broken")], "target_name string, error string")
     assert [r.target_name for r in readers.target_summary(rows, "A").collect()] == ["A"] and readers.target_summary(rows, "Z").count() == 0
     report = json.loads(sinks.summary_report(rows).first().report)
