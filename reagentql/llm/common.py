@@ -75,14 +75,15 @@ class Scratch:
 HOT_PART, SALTS = 1000, 64
 
 
-def join_on_hot(rows: DataFrame, info: DataFrame, key: str, total: int, counts: DataFrame | None = None) -> DataFrame:
+def join_on_hot(rows: DataFrame, info: DataFrame, key: str, total: int, counts: DataFrame | None = None, least: int = 0) -> DataFrame:
     """``rows`` (``total`` of them) with the columns of ``info`` for their key; rows of other keys drop out.
 
     ``info`` has each key once, and as n its number of rows.  The fewer than HOT_PART keys that
     hold over one HOT_PART-th of the rows are broadcast to salt their rows, so that no task gets
-    all rows of a hot key.  ``counts`` may give key and n alone, where ``info`` is wide.
+    all rows of a hot key.  ``counts`` may give key and n alone, where ``info`` is wide, and
+    ``least`` the rows that a key must exceed to be hot, where copies of ``info`` are dear.
     """
-    hot = F.col("n") * HOT_PART > F.lit(total)
+    hot = (F.col("n") * HOT_PART > F.lit(total)) & (F.col("n") > least)
     few = F.broadcast((info if counts is None else counts).where(hot).select(key, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(few, key, "left").withColumn("__salt", salt).drop("__hot")
