@@ -102,3 +102,35 @@ def toxicity_feedback(alerts: Column, fixes: dict[str, str], generic: str, delta
     lines = F.transform(F.array_distinct(alerts), lambda a: F.concat(a, F.lit(": "), F.coalesce(F.try_element_at(known, a), F.lit(generic))))
     rises = F.array_compact(F.array(*[F.when(d > least, F.concat(F.lit(f"{n} rose by "), F.format_string("%.2f", d))) for n, d in deltas.items()]))
     return F.array_join(F.concat(lines, rises), "\n")
+
+
+# What each aim of a profile asks for; where two are listed, the first for scores above STRONG.
+STRONG = 7.0
+AIMS = {
+    "bbb": {"high": ("BBB: high permeability (logBB > 0)", "BBB: good permeability (logBB > -0.5)"), "moderate": ("BBB: moderate permeability (logBB > -0.5)",)},
+    "activity": {"high": ("GBM Activity: high", "GBM Activity: good"), "moderate": ("GBM Activity: moderate",)},
+    "toxicity": {"low": ("Toxicity: low",), "moderate": ("Toxicity: moderate acceptable",)},
+    "selectivity": {"high": ("Selectivity: high (GBM/normal ratio)",), "moderate": ("Selectivity: moderate",)},
+}
+
+
+def target_metrics(profile: dict[str, Column], score: Column | None = None) -> Column:
+    """What a profile (bbb, activity, toxicity, selectivity) asks for, joined by semicolons.
+
+    With a score the aims above STRONG ask for more.  Without one, as in the plain data set, they
+    ask for the most, and a moderate selectivity is not named.
+    """
+
+    def said(aim: str, level: str, texts: tuple[str, ...]) -> Column | None:
+        if score is None and (aim, level) == ("selectivity", "moderate"):
+            return None
+        text = F.lit(texts[0]) if score is None or len(texts) == 1 else F.when(score > STRONG, texts[0]).otherwise(texts[1])
+        return F.when(profile[aim] == level, text)
+
+    parts = [F.coalesce(*[x for level, texts in levels.items() if (x := said(aim, level, texts)) is not None]) for aim, levels in AIMS.items()]
+    return F.array_join(F.array_compact(F.array(*parts)), "; ")
+
+
+def metric_instruction(description: Column, metrics: Column) -> Column:
+    """The instruction of a sample: what is asked, the metrics, and the form of the answer."""
+    return F.concat(F.lit("Generate a GBM drug candidate SMILES for "), description, F.lit(".\nTarget metrics: "), metrics, F.lit("\nOutput format: SMILES: <canonical_SMILES>"))

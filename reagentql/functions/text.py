@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,61 @@ def loose_ok(token: Column, low: int = 5, high: int = 300, stop_words: tuple[str
     return F.length(token).between(low, high) & ~F.lower(token).isin(*stop_words) & (chemical * 2 >= F.length(token))
 
 
+@dataclass(frozen=True)
+class LooseRule:
+    """A loose validator: length, words that are refused anywhere or near the start, and what else it asks."""
+
+    low: int
+    high: int
+    words: tuple[str, ...]
+    near_start: int | None = None
+    shape: str | None = None
+    share: float = 0.0
+    surface: tuple[float, float] | None = None
+
+
+# Words that the loose validators refuse, by validator.
+BASE_WORDS = (
+    "chain-of-thought", "analysis", "reasoning", "design", "scaffold", "strategy", "rationale", "therefore", "synthetic", "procedure", "output",
+    "format", "here is", "valid_smiles", "smiles_string", "note:", "note :", "example", "generated", "molecule", "compound",
+)
+ADAPTER_WORDS = (
+    "chain-of-thought", "analysis", "reasoning", "scaffold", "strategy", "rationale", "therefore", "synthetic", "procedure", "output", "format",
+    "here is", "valid_smiles", "smiles_string", "note:", "note :", "example", "generated", "molecule", "compound", "retrsynthesis", "nmr",
+    "yellow solid", "preparation", "intermediate", "furthermore", "specifically", "preferably", "similarly", "chloro", "bromo", "fluoro",
+    "soluble", "solubility", "colorless", "tert-butyl", "dimethylamino", "dimethyl", "isocyanato", "hydroxysuccinimide", "carboxamide", "phenyl",
+    "benzyl", "acetyl", "glycyl", "methyl", "dmso", "etoh", "meoh", "thf", "dcm",
+)
+CHAT_WORDS = (
+    "in conclusion", "i think", "thank", "however", "therefore", "moreover", "previous", "in my opinion", "in addition", "the molecule is",
+    "instructions", "please", "response", "answer", "helpful", "hope", "you must", "your response", "as a side", "this has nothing", "let me",
+    "i cannot", "i will", "it was the first",
+)
+#: Validators of runs with the base model, with an adapter and with a chat model.
+LOOSE_RULES = {
+    "base": LooseRule(5, 600, BASE_WORDS, shape=r"^\S+$", surface=(40.0, 120.0)),
+    "adapter": LooseRule(5, 600, ADAPTER_WORDS, shape=r"^[CNOSFPBIrl][A-Za-z0-9@+\-\[\]()=#%/\\.]*$", surface=(20.0, 150.0)),
+    "chat": LooseRule(1, 1000, CHAT_WORDS, near_start=100, share=0.5),
+}
+
+
+def passes_loose(token: Column, rule: LooseRule, surface: Column | None = None) -> Column:
+    """Whether a token passes a loose validator.  Whether a molecule can be read from it is not asked; its polar surface is an input.
+
+    A token without a surface fails a rule that asks for one.
+    """
+    t = F.trim(token) if rule.near_start is None else token
+    low = F.lower(t) if rule.near_start is None else F.substring(F.lower(t), 1, rule.near_start)
+    ok = F.length(t).between(rule.low, rule.high) & ~low.rlike("|".join(rule.words))
+    if rule.shape:
+        ok = ok & t.rlike(rule.shape)
+    if rule.share:
+        ok = ok & (F.length(F.regexp_replace(t, r"[^BCNOPSFIbcnosp\[\]()=#@+\-0-9]", "")) >= rule.share * F.length(t))
+    if rule.surface:
+        ok = ok & F.coalesce(surface.between(*rule.surface), F.lit(False))
+    return ok
+
+
 def looks_like_candidate(text: Column) -> Column:
     """Longer than ten characters, some structural character, no design word."""
     return (F.length(text) > 10) & text.rlike(r"[()\[\]=#@+/-]") & ~F.lower(text).rlike("|".join(DESIGN_WORDS))

@@ -20,30 +20,27 @@ def _links(links: DataFrame, node: str, parent: str) -> DataFrame:
     return one.join(there, "up", "left").select("node", F.when(F.col("__is"), F.col("up")).alias("up"))
 
 
-def _jumps(links: DataFrame, node: str, parent: str, keep: bool = False) -> tuple[list[DataFrame], DataFrame, int]:
-    """Tables (node, up) of each power of two steps (if they are to be kept), the state after the last round, and the number of rounds.
+def _walks(links: DataFrame, node: str, parent: str) -> list[DataFrame]:
+    """The state after each round: every node's walk of up to 2^r steps.
 
-    The state has node, top (the root, or where the walk stands), depth (steps to it), least (the
+    A state has node, top (the root, or where the walk stands), depth (steps to it), least (the
     smallest node passed, itself included) and open (whether the walk has not ended).
     """
     first = spilled(_links(links, node, parent))
     n = first.count()
-    state = first.select("node", F.coalesce("up", "node").alias("top"), F.col("up").isNotNull().cast("long").alias("depth"), F.least("node", F.coalesce("up", "node")).alias("least"), F.col("up").isNotNull().alias("open"))
+    top = F.coalesce("up", "node")
+    state = first.select("node", top.alias("top"), F.col("up").isNotNull().cast("long").alias("depth"), F.least("node", top).alias("least"), F.col("up").isNotNull().alias("open"))
     # A parent that has none is a root, so its children have arrived.
     roots = first.where("up IS NULL").select(F.col("node").alias("top"), F.lit(True).alias("__root"))
-    state = spilled(state.join(roots, "top", "left").withColumn("open", F.col("open") & F.col("__root").isNull()).drop("__root"))
-    tables, rounds = [first.where("up IS NOT NULL")], 0
-    while (1 << rounds) <= n and not state.where("open").isEmpty():
-        ahead = state.select(F.col("node").alias("top"), F.col("top").alias("__top"), F.col("depth").alias("__depth"), F.col("least").alias("__least"), F.col("open").alias("__open"))
+    states = [spilled(state.join(roots, "top", "left").select(*state.columns[:-1], (F.col("open") & F.col("__root").isNull()).alias("open")))]
+    while 1 << (len(states) - 1) <= n and not states[-1].where("open").isEmpty():
+        state = states[-1]
+        ahead = state.select(F.col("node").alias("top"), *[F.col(x).alias(f"__{x}") for x in ("top", "depth", "least", "open")])
         moved = state.where("open").join(ahead, "top").select(
             "node", F.col("__top").alias("top"), (F.col("depth") + F.col("__depth")).alias("depth"), F.least("least", "__least").alias("least"), F.col("__open").alias("open")
         )
-        state = spilled(state.where("not open").unionByName(moved))
-        rounds += 1
-        if keep:
-            jump = tables[-1]
-            tables.append(spilled(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("__up")), "up").select("node", F.col("__up").alias("up"))))
-    return tables, state, rounds
+        states.append(spilled(state.where("not open").unionByName(moved)))
+    return states
 
 
 def parent_chains(links: DataFrame, node: str, parent: str) -> DataFrame:
@@ -53,7 +50,7 @@ def parent_chains(links: DataFrame, node: str, parent: str) -> DataFrame:
     Of repeated nodes the smallest parent counts.  A chain that ends in a cycle has neither root
     nor depth.  Rows without a node take no part.
     """
-    _, state, _ = _jumps(links, node, parent)
+    state = _walks(links, node, parent)[-1]
     # What is open after log2(n) rounds stands on a cycle, and has passed all of it.
     on = state.select(F.col("node").alias("top"), F.col("least").alias("__cycle"))
     closed = state.where("not open").select("node", F.col("top").alias("root"), "depth", F.lit(None).cast(state.schema["node"].dataType).alias("cycle"))
@@ -67,11 +64,12 @@ def chain_paths(links: DataFrame, node: str, parent: str, of: DataFrame) -> Data
     Every place is reached by the jumps of its distance's binary digits, so the work grows with
     the rows returned.  Nodes that run into a cycle have no path.
     """
-    tables, state, _ = _jumps(links, node, parent, keep=True)
+    states = _walks(links, node, parent)
+    state = states[-1]
     asked = of.select(F.col(node).alias("node")).distinct()
     rows = state.where("not open").join(asked, "node").select("node", "depth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth"))).alias("away"), F.col("node").alias("at"))
-    for k, jump in enumerate(tables):
+    for k, walked in enumerate(states):
         bit = F.call_function("shiftright", F.col("away"), F.lit(k)).bitwiseAND(F.lit(1)) == 1
-        ahead = jump.select(F.col("node").alias("__node"), "up")
+        ahead = walked.where(F.col("depth") == 1 << k).select(F.col("node").alias("__node"), F.col("top").alias("up"))
         rows = rows.join(ahead, (F.col("at") == F.col("__node")) & bit, "left").select("node", "depth", "away", F.when(bit, F.col("up")).otherwise(F.col("at")).alias("at"))
     return rows.select("node", (F.col("depth") - F.col("away")).alias("place"), F.col("at").alias("ancestor"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reagentql.functions import prompts, registry
+from reagentql.functions import text as T
 from reagentql.operators import control
 from reagentql.operators import relational as R
 from reagentql.operators import structure as P
-from reagentql.plans.proxies import read
+from reagentql.plans.proxies import MOL_SQL, mol, read
 from reagentql.plans.relational import RES_SQL, residues
 
 c = F.col
@@ -84,3 +86,44 @@ def q_component_weights(spark, sf):
 def q_synergies(spark, sf):
     rows = read(spark, sf, "part").select(c("p_partkey").alias("id"), F.when(c("p_size") % 7 > 0, c("p_size") / 25.0).alias("index"))
     return R.synergies(rows, "index")
+
+
+# Tokens made to pass or fail one part of each rule; the SQL says which.
+TOKENS = """CASE o_orderkey % 8 WHEN 0 THEN concat('CC(N)CCO', o_orderkey % 9) WHEN 1 THEN 'CC N' WHEN 2 THEN 'CCmethyl(N)' WHEN 3 THEN 'thank you, CC(N)' WHEN 4 THEN '(CC)NCCO' WHEN 5 THEN 'CCO' WHEN 6 THEN 'xyzzyxyz' ELSE 'CCO design' END"""
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, 20 + o_custkey % 140 AS s FROM orders) SELECT id, k IN (0, 2, 4, 6) AND s BETWEEN 40 AND 120 AS base, k = 0 AND s BETWEEN 20 AND 150 AS adapter, k IN (0, 1, 4, 5, 7) AS chat FROM k""")
+def q_loose_rules(spark, sf):
+    rows = read(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.expr(TOKENS).alias("t"), (20 + c("o_custkey") % 140).cast("double").alias("s"))
+    return rows.select("id", *[T.passes_loose(c("t"), rule, c("s")).alias(n) for n, rule in T.LOOSE_RULES.items()])
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS state, event_id % 12 AS score, event_id % 3 AS b FROM events), p AS (SELECT *,
+    CASE b WHEN 0 THEN CASE WHEN score > 7 THEN 'BBB: high permeability (logBB > 0); GBM Activity: high' ELSE 'BBB: good permeability (logBB > -0.5); GBM Activity: good' END || '; Toxicity: low; Selectivity: moderate'
+      WHEN 1 THEN 'BBB: moderate permeability (logBB > -0.5); GBM Activity: moderate; Toxicity: moderate acceptable; Selectivity: high (GBM/normal ratio)' ELSE '' END AS by_score,
+    CASE b WHEN 0 THEN 'BBB: high permeability (logBB > 0); GBM Activity: high; Toxicity: low' WHEN 1 THEN 'BBB: moderate permeability (logBB > -0.5); GBM Activity: moderate; Toxicity: moderate acceptable; Selectivity: high (GBM/normal ratio)' ELSE '' END AS plain FROM e)
+  SELECT id, plain, 'Generate a GBM drug candidate SMILES for ' || state || '.' || chr(10) || 'Target metrics: ' || by_score || chr(10) || 'Output format: SMILES: <canonical_SMILES>' AS instruction FROM p""")
+def q_target_metrics(spark, sf):
+    b = c("event_id") % 3
+    level = lambda zero, one: F.when(b == 0, zero).when(b == 1, one)
+    profile = {"bbb": level("high", "moderate"), "activity": level("high", "moderate"), "toxicity": level("low", "moderate"), "selectivity": level("moderate", "high")}
+    instruction = prompts.metric_instruction(c("event_type"), prompts.target_metrics(profile, c("event_id") % 12))
+    return read(spark, sf, "events").select(c("event_id").alias("id"), prompts.target_metrics(profile).alias("plain"), instruction.alias("instruction"))
+
+
+@query(f"WITH {MOL_SQL} SELECT id, round(greatest(-12e0, least(-4e0, -0.08e0 * mw + 0.4e0 * logp - 0.008e0 * tpsa - 5.5e0)), 6) AS docking, 1e0 AS vina_norm FROM mol")
+def q_evaluators(spark, sf):
+    """Scores by name, one of them replaced by a constant as a run without docking does."""
+    rows = mol(spark, sf).select("id", *[c(n).cast("double").alias(n) for n in ("mw", "logp", "tpsa", "vina")])
+    known = registry.default_evaluators().replaced(vina_norm=lambda vina: F.lit(1.0))
+    return known.evaluate(rows, ["docking", "vina_norm"]).select("id", r6(c("docking")).alias("docking"), "vina_norm")
+
+
+@query("SELECT o_orderkey AS id, 'numbered' AS rule, 0 AS place, concat('CC', o_orderkey % 9) AS token FROM orders UNION ALL SELECT o_orderkey, 'numbered', 1, concat('OC', o_custkey % 9) FROM orders UNION ALL SELECT o_orderkey, 'listed', 0, concat('NC', o_custkey % 9) FROM orders")
+def q_table_functions(spark, sf):
+    """Extraction rules called from SQL, in LATERAL joins."""
+    text = "concat('SMILES 1: CC', o_orderkey % 9, chr(10), 'SMILES 2: OC', o_custkey % 9, chr(10), '3. NC', o_custkey % 9)"
+    registry.register_table_functions(spark)
+    read(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text").createOrReplaceTempView("table_function_texts")
+    parts = [f"SELECT id, '{n}' AS rule, x.place, x.token FROM table_function_texts, LATERAL extract_{n}(text) x" for n in ("numbered", "listed")]
+    return spark.sql(" UNION ALL ".join(parts))
