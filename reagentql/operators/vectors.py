@@ -33,59 +33,66 @@ def spearman_to_signature(cells: DataFrame, signature: DataFrame) -> DataFrame:
     return rho.select("cell", (F.round("rho", 6) + 0.0).alias("rho"), (F.round(fisher_z(F.col("rho")), 5) + 0.0).alias("z"))
 
 
-#: References that are matched in one pass over the sets.
-REFERENCE_BLOCK = 4096
-#: Counters that a task holds at a time.
-MATCHED = 1 << 22
-
-
-def best_set_match(sets: DataFrame, references: DataFrame, block: int = REFERENCE_BLOCK) -> DataFrame:
-    """id, best: the highest Tanimoto similarity of each token set (id, tokens) to any reference set.
-
-    References are dealt into blocks of about ``block`` sets; a block's tokens list the sets that
-    hold them, and every set adds up the lists of its tokens.  No pair is shuffled, and common
-    tokens only make lists of at most a block.
+#: Sets and tokens of a block, and counters that a task holds at a time.
+BLOCK_SETS, BLOCK_TOKENS, MATCHED = 4096, 1 << 20, 1 << 22
+
+
+def _set_blocks(sets: DataFrame, name: str, block: int) -> tuple[DataFrame, int]:
+    """Sets packed by hash of their id into blocks of about ``block`` sets and BLOCK_TOKENS tokens, and how many blocks there are."""
+    count, tokens = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    n = max(1, -(-count // block), -(-tokens // BLOCK_TOKENS))
+    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    return sets.groupBy(part).agg(F.collect_list(F.struct("id", "tokens")).alias(f"{name}_sets")), n
+
+
+def _best_of_block(sets: pa.Array, references: pa.Array) -> np.ndarray:
+    """The highest Tanimoto similarity of each token list to any of the references'."""
+    known = references.flatten().unique()
+    of = pc.index_in(references.flatten(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(references.offsets.to_numpy())
+    order = np.argsort(of, kind="stable")
+    holders = np.repeat(np.arange(len(sizes)), sizes)[order]  # references by the tokens they hold
+    first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(known)))]).astype(np.int64)
+    best, step = [], max(1, MATCHED // max(1, len(sizes)))
+    for at in range(0, len(sets), step):
+        part = sets.slice(at, step)
+        mine = np.diff(part.offsets.to_numpy())
+        place = pc.index_in(part.flatten(), value_set=known)
+        hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        which = place.take(pa.array(hit)).to_numpy().astype(np.int64)
+        times = first[which + 1] - first[which]
+        row = np.repeat(np.repeat(np.arange(len(mine)), mine)[hit], times)
+        there = np.repeat(first[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.bincount(row * len(sizes) + holders[there], minlength=len(mine) * len(sizes)).reshape(len(mine), len(sizes))
+        union = sizes[None, :] + mine[:, None] - both
+        best.append(np.where(union > 0, both / np.maximum(union, 1), 0.0).max(1, initial=0.0))
+    return np.concatenate(best) if best else np.zeros(0)
+
+
+def best_set_match(sets: DataFrame, references: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
+    """id, best: the highest Tanimoto similarity of each token set (id, tokens) to any reference set; repeated ids give one row, their best.
+
+    Both sides are packed into blocks of bounded size, and each pair of blocks is a row of a join
+    whose keys are unique on both sides, so the driver holds nothing and no pair is hot.  In a pair
+    the references' tokens list the sets that hold them, and every set adds up its tokens' lists.
     """
     distinct = lambda df: df.select("id", F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+    kind = sets.schema["id"].dataType.simpleString()
     sets, references = distinct(sets), distinct(references)
-    n = max(1, -(-references.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(n))
-    out = None
-    for k in range(n):
-        rows = [r["tokens"] for r in references.where(part == k).select("tokens").collect()]
-        lists: dict = {}
-        for i, tokens in enumerate(rows):
-            for t in tokens:
-                lists.setdefault(t, []).append(i)
-        known, held = pa.array(list(lists), pa.string()), [np.array(x, np.int64) for x in lists.values()]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-        table = known, first, np.concatenate(held) if held else np.zeros(0, np.int64), np.array([len(t) for t in rows], np.int64)
-        shared = sets.sparkSession.sparkContext.broadcast(table)
-
-        def run(batches, shared=shared):
-            known, first, of, sizes = shared.value
-            step = max(1, MATCHED // max(1, len(sizes)))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    tokens = part.column("tokens")
-                    mine = np.diff(tokens.offsets.to_numpy())
-                    place = pc.index_in(tokens.flatten(), value_set=known)
-                    hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-                    which = place.take(pa.array(hit)).to_numpy().astype(np.int64)
-                    times = first[which + 1] - first[which]
-                    row = np.repeat(np.repeat(np.arange(len(mine)), mine)[hit], times)
-                    there = np.repeat(first[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    both = np.bincount(row * len(sizes) + of[there], minlength=len(mine) * len(sizes)).reshape(len(mine), len(sizes))
-                    union = sizes[None, :] + mine[:, None] - both
-                    best = np.where(union > 0, both / np.maximum(union, 1), 0.0).max(1, initial=0.0)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(best, pa.float64())], ["id", "best"])
-
-        found = sets.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, best double")
-        out = found if out is None else out.unionByName(found)
-    if n > 1:
-        out = out.groupBy("id").agg(F.max("best").alias("best"))
-    return out.select("id", F.round("best", 6).alias("best"))
+    mine, nm = _set_blocks(sets, "m", block)
+    theirs, nt = _set_blocks(references, "t", block)
+    pairs = mine.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))).join(theirs.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(nm - 1)))), ["m", "t"])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(n)[i].values for n in ("m_sets", "t_sets"))
+                yield pa.RecordBatch.from_arrays([a.field("id"), pa.array(_best_of_block(a.field("tokens"), b.field("tokens")), pa.float64())], ["id", "best"])
+
+    found = pairs.select("m_sets", "t_sets").mapInArrow(run, f"id {kind}, best double")
+    # Without references there is no pair, and the best is zero.
+    every = sets.select("id", F.lit(0.0).alias("best"))
+    return every.unionByName(found).groupBy("id").agg(F.round(F.max("best"), 6).alias("best"))
 
 
 def within_radius(points: DataFrame, centres: DataFrame, radius: float, by: list[str] = ()) -> DataFrame:
