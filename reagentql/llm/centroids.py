@@ -1,9 +1,10 @@
 """Exact k-means over whole-number vectors with block-norm screening.
 
-A vector is compressed to the norms of its segments.  By Cauchy and Schwarz two segments are at
-least as far apart as their norms differ, so the norms of a vector's and of a centroid's segments
-give a lower bound of their distance.  A vector gets the exact distance of the centroid with the
-least bound, then of those whose bounds do not exceed what is known; the others are never computed.
+A vector is compressed to a code of one byte a number, and the norms of its segments of what the
+code leaves over.  By Cauchy and Schwarz the rest adds to the product with a centroid at most the
+sum of the segments' norms times those of the centroid's segments.  So code and norms give a lower
+bound of the squared distance.  A vector gets the exact distance of the centroid with the least
+bound, then of those whose bounds do not exceed what is known; the others are never computed.
 Distances are sums of whole numbers, so assignment, ties and centroids are exact.
 
 A round reads the stored vectors once and sends k rows of sums from each task; the driver holds
@@ -12,6 +13,7 @@ only the centroids.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
@@ -21,12 +23,12 @@ from pyspark.sql import functions as F
 
 from reagentql.llm.common import Scratch
 
-#: Segments whose norms stand for a vector.
+#: Segments whose norms stand for what the codes leave over.
 SEGMENTS = 8
 #: Numbers below this in size have distances below 2^63 in up to 64 dimensions; others are computed with Python's whole numbers.
 NARROW = 1 << 27
-#: What rounding of norms may take off a bound, as a share.
-SLACK = 1e-6
+#: What rounding may take off a bound: a share of the product of norms, and of the squares.
+SLACK, FINE = 1e-6, 1e-9
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
@@ -46,14 +48,37 @@ def segment_norms(v: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(np.square(part.astype(np.float64)).sum(1)) for part in np.array_split(v, SEGMENTS, axis=1)], 1).astype(np.float32)
 
 
-def lower_bounds(norms: np.ndarray, centre_norms: np.ndarray) -> np.ndarray:
-    """Lower bounds of the squared distances of each row from each centroid, rounding allowed for."""
-    a, b = norms.astype(np.float64)[:, None, :], centre_norms.astype(np.float64)[None, :, :]
-    gap = np.maximum(np.abs(a - b) - SLACK * (a + b), 0)
-    return np.square(gap).sum(2) * (1 - SLACK)
+@dataclass
+class Compressed:
+    """Vectors as codes of ``step`` each, the norms of what is left over by segments, and their squared norms."""
 
+    step: np.ndarray
+    code: np.ndarray
+    rest: np.ndarray
+    square: np.ndarray
 
-def nearest(v: np.ndarray, norms: np.ndarray, centroids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    def __getitem__(self, rows) -> Compressed:
+        return Compressed(self.step[rows], self.code[rows], self.rest[rows], self.square[rows])
+
+
+def compressed(v: np.ndarray) -> Compressed:
+    """Whole-number vectors in compressed form."""
+    largest = np.maximum(v.max(1, initial=0), ~v.min(1, initial=-1))
+    step = largest // 127 + 1
+    code = ((v + (step // 2)[:, None]) // step[:, None]).astype(np.int8)
+    return Compressed(step, code, segment_norms(v - code * step[:, None]), np.square(v.astype(np.float64)).sum(1))
+
+
+def lower_bounds(x: Compressed, centres: np.ndarray) -> np.ndarray:
+    """Lower bounds of the squared distances of each vector from each centroid, rounding allowed for."""
+    c = centres.astype(np.float64)
+    product = (x.code.astype(np.float64) @ c.T) * x.step.astype(np.float64)[:, None]
+    rest = (x.rest.astype(np.float64) @ segment_norms(centres).astype(np.float64).T) * (1 + SLACK)
+    squares = x.square[:, None] + np.square(c).sum(1)[None, :]
+    return squares * (1 - FINE) - 2 * product - 2 * rest
+
+
+def nearest(v: np.ndarray, x: Compressed, centroids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
     """Of each row the nearest centroid (of equals the first) and its squared distance, held at 64 bits; and how many distances were computed."""
     cluster, distance = np.zeros(len(v), np.int32), np.zeros(len(v), np.int64)
     wide = ((v >= NARROW) | (v <= -NARROW)).any(1)
@@ -68,7 +93,7 @@ def nearest(v: np.ndarray, norms: np.ndarray, centroids: list[list[int]]) -> tup
     if wide.all():
         return cluster, distance, done
     rows, centres = v[~wide], np.array(centroids, np.int64)
-    bounds = lower_bounds(norms[~wide], segment_norms(centres))
+    bounds = lower_bounds(x[~wide], centres)
     chosen = bounds.argmin(1).astype(np.int32)
     best = np.square(rows - centres[chosen]).sum(1)
     started = chosen.copy()
@@ -83,6 +108,21 @@ def nearest(v: np.ndarray, norms: np.ndarray, centroids: list[list[int]]) -> tup
     return cluster, distance, done
 
 
+STORED = "vec_id long, v array<long>, step long, code array<tinyint>, rest array<float>, square double"
+
+
+def _stored(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, Compressed]:
+    """The vectors of a stored batch and their compressed form."""
+    at = batch.schema.names.index
+    step, square = (batch.column(at(n)).to_numpy(zero_copy_only=False) for n in ("step", "square"))
+    code, rest = _matrix(batch.column(at("code")), dims, np.int8), _matrix(batch.column(at("rest")), SEGMENTS, np.float32)
+    return _matrix(batch.column(at("v")), dims, np.int64), Compressed(step, code, rest, square)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def _matrix(column: pa.Array, dims: int, kind: type) -> np.ndarray:
     """A column of equally long lists, without Python lists between."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dims)
@@ -95,8 +135,8 @@ def _sums(vectors: DataFrame, centroids: list[list[int]], dims: int) -> list[lis
         counts = [0] * len(centroids)
         sums = [[0] * dims for _ in centroids]
         for batch in batches:
-            v = _matrix(batch.column(0), dims, np.int64)
-            cluster, _, _ = nearest(v, _matrix(batch.column(1), SEGMENTS, np.float32), centroids)
+            v, x = _stored(batch, dims)
+            cluster, _, _ = nearest(v, x, centroids)
             for j in np.unique(cluster).tolist():
                 rows = v[cluster == j]
                 # High and low halves are summed apart, so that no sum passes 63 bits.
@@ -107,7 +147,7 @@ def _sums(vectors: DataFrame, centroids: list[list[int]], dims: int) -> list[lis
         columns = [pa.array(used, pa.int32()), pa.array([counts[j] for j in used], pa.int64()), pa.array([[Decimal(x) for x in sums[j]] for j in used], pa.list_(pa.decimal128(38, 0)))]
         yield pa.RecordBatch.from_arrays(columns, ["cluster", "n", "sums"])
 
-    parts = vectors.select("v", "norms").mapInArrow(run, "cluster int, n long, sums array<decimal(38,0)>")
+    parts = vectors.drop("vec_id").mapInArrow(run, "cluster int, n long, sums array<decimal(38,0)>")
     totals = parts.select("cluster", "n", F.posexplode("sums").alias("at", "part")).groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("part").alias("total"))
     out = [list(c) for c in centroids]
     for r in totals.collect():  # k * dims rows
@@ -144,12 +184,12 @@ def centroid_clusters(
 
     def compress(batches):
         for batch in batches:
-            norms = segment_norms(_matrix(batch.column(1), dims, np.int64))
-            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(norms) + 1) * SEGMENTS, pa.int32()), pa.array(norms.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["vec_id", "v", "norms"])
+            x = compressed(_matrix(batch.column(1), dims, np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(x.step), _lists(x.code), _lists(x.rest), pa.array(x.square)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "step", "code", "rest", "square"])
 
     rows = whole_vectors(df, id_col, vector_col, scale, dims)
-    vectors = scratch.spill(rows.mapInArrow(compress, "vec_id long, v array<long>, norms array<float>"))
+    vectors = scratch.spill(rows.mapInArrow(compress, STORED))
     centroids = first_centroids(vectors, k, seed)
     for _ in range(rounds if centroids else 0):
         after = _sums(vectors, centroids, dims)
@@ -159,7 +199,7 @@ def centroid_clusters(
 
     def assign(batches):
         for batch in batches:
-            cluster, distance, _ = nearest(_matrix(batch.column(1), dims, np.int64), _matrix(batch.column(2), SEGMENTS, np.float32), centroids)
+            cluster, distance, _ = nearest(*_stored(batch, dims), centroids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster), pa.array(distance)], ["vec_id", "cluster", "distance"])
 
     schema = "vec_id long, cluster int, distance long"
