@@ -68,6 +68,23 @@ def summary_report(rows: DataFrame, name: str = "target_name", error: str = "err
     return one.select(F.to_json(F.struct("total", "success", "failed", "targets")).alias("report"))
 
 
+def write_structures(structures: DataFrame, folder: str, name: str = "file") -> None:
+    """Whole structures (``operators.structure.whole_structure``) as JSON, in three tables of a folder.
+
+    ``structures`` has a folder for each structure, ``summaries`` a line each with counts instead of
+    lists and the error if there is one, ``totals`` one line of how many succeeded and failed.  No
+    task holds more than a row at a time.
+    """
+    lists = [f.name for f in structures.schema.fields if f.dataType.typeName() == "array" and f.name != "chains"]
+    counts = [F.size(F.coalesce(n, F.array().cast(structures.schema[n].dataType))).alias(f"n_{n}") for n in lists]
+    status = F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status")
+    kept = [c for c in structures.columns if c not in (*lists, "pharmacophore")]
+    structures.write.mode("overwrite").partitionBy(name).json(f"{folder}/structures")
+    structures.select(*kept, *counts, status).write.mode("overwrite").json(f"{folder}/summaries")
+    totals = structures.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    totals.write.mode("overwrite").json(f"{folder}/totals")
+
+
 def console_lines(rows: DataFrame, title: str, columns: dict[str, str]) -> DataFrame:
     """A readable line per row: the title column, then ``label: value`` parts by their formats."""
     parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}: "), F.format_string(form, F.col(n)))) for n, form in columns.items()]

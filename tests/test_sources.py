@@ -126,7 +126,13 @@ def test_whole_structure(spark, tmp_path):
     (tmp_path / "d.cif").write_text("data_X\n_struct.title nothing\n")
     rows = mmcif.read_mmcif(spark, str(tmp_path / "*.cif")).cache()
     kinds = spark.createDataFrame([("a.cif", "A", 1, "H"), ("a.cif", "A", 2, "H")], "file string, chain string, residue_num int, kind string")
-    got = {r.file: r for r in P.whole_structure(rows, mmcif.atoms(rows), kinds).collect()}
+    whole = P.whole_structure(rows, mmcif.atoms(rows), kinds).cache()
+    got = {r.file: r for r in whole.collect()}
+    sinks.write_structures(whole, str(tmp_path / "out"))
+    lines = {r.file: r for r in spark.read.json(str(tmp_path / "out/summaries")).collect()}
+    assert (lines["a.cif"].n_sites, lines["a.cif"].n_components, lines["a.cif"].status, lines["b.cif"].status) == (3, 1, "success", "failed")
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out/totals")).select("total", "success", "failed").collect()] == [(3, 2, 1)]
+    assert {p.name for p in (tmp_path / "out/structures").glob("file=*")} == {"file=a.cif", "file=b.cif", "file=d.cif"}
     assert got.keys() == {"a.cif", "b.cif", "d.cif"} and got["b.cif"].error.startswith("UnicodeDecodeError")
     a, d = got["a.cif"], got["d.cif"]
     assert (a.pdb_id, a.resolution, a.chains, a.gene, a.organism, a.sequence, a.sequence_length, a.n_atoms, a.n_residues, a.error) == ("1ABC", 2.5, ["B"], "TP53", "Homo sapiens", "MKV", 3, 5, 2, None)
