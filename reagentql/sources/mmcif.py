@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import gzip
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +38,12 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
                 yield m[3], True
 
 
-def parse(text: str) -> Iterator[tuple[str, str, int, dict[str, str]]]:
+def parse(text: str, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, str, int, dict[str, str]]]:
     """(block, category, ordinal, fields) of every loop row and of each category of single items.
 
     A row may wrap over lines; unquoted ? and . are missing.  A category that a block repeats gets
-    the suffix _2, _3 and so on.
+    the suffix _2, _3 and so on.  With ``wanted`` only these categories (without suffix) become
+    rows; the others are passed over as they are read.
     """
     block, singles, seen = "", {}, {}
     found = iter([*tokens(text), ("data_", True)])
@@ -67,6 +68,10 @@ def parse(text: str) -> Iterator[tuple[str, str, int, dict[str, str]]]:
             names, values = [], []
             while (value := next(found))[1] and value[0].startswith("_"):
                 names.append(value[0][1:])
+            if names and wanted is not None and names[0].partition(".")[0] not in wanted:
+                while not mark(value):
+                    value = next(found)
+                continue
             while not mark(value):
                 values.append(None if value[1] and value[0] in ("?", ".") else value[0])
                 value = next(found)
@@ -78,15 +83,20 @@ def parse(text: str) -> Iterator[tuple[str, str, int, dict[str, str]]]:
             category, _, item = word[1:].partition(".")
             value = next(found)
             if not mark(value):
-                if not (value[1] and value[0] in ("?", ".")):
+                if not (value[1] and value[0] in ("?", ".")) and (wanted is None or category in wanted):
                     singles.setdefault(category, {})[item] = value[0]
                 value = next(found)
         else:
             value = next(found)
 
 
-def read_mmcif(spark: SparkSession, pattern: str) -> DataFrame:
-    """file, block, category, ordinal, fields, error of all files that match."""
+def read_mmcif(spark: SparkSession, pattern: str, categories: Iterable[str] | None = None) -> DataFrame:
+    """file, block, category, ordinal, fields, error of all files that match; of the categories named, or of all.
+
+    A category that is not asked for is never made into rows, so reading the few lines of
+    ``struct`` from many files does not build their atoms.  Errors come whatever is asked for.
+    """
+    wanted = None if categories is None else frozenset(categories)
 
     def run(batches):
         for batch in batches:
@@ -94,7 +104,7 @@ def read_mmcif(spark: SparkSession, pattern: str) -> DataFrame:
                 name = path.rpartition("/")[2]
                 try:
                     raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                    rows = [(name, *r, None) for r in parse(raw.decode("utf-8"))]
+                    rows = [(name, *r, None) for r in parse(raw.decode("utf-8"), wanted)]
                 except Exception as e:  # a broken file is a row, not a failure
                     rows = [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
                 for at in range(0, len(rows), 10_000):

@@ -45,6 +45,9 @@ def test_mmcif(spark, tmp_path):
     assert {r.file for r in rows.where("error IS NOT NULL").collect()} == {"c.cif"}
     title = rows.where("category = 'struct' AND file = 'a.cif'").first()
     assert title.fields == {"title": "A small one"}
+    some = mmcif.read_mmcif(spark, str(tmp_path / "*cif*"), ["struct"])
+    assert sorted((r.file, r.fields["title"]) for r in some.where("error IS NULL").collect()) == [("a.cif", "A small one"), ("b.cif.gz", "A small one")]
+    assert some.where("error IS NOT NULL").count() == 1 and some.where("category <> 'struct'").count() == 0
     both = mmcif.atoms(rows)
     # Every file's centres find its own residues only.
     centres = P.components(both).select("file", F.col("residue_name").alias("cid"), "x", "y", "z")
