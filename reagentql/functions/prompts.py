@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reagentql.functions.text import alert_advice
+
 
 def filled(template: str, **values: Column) -> Column:
     """A template with its {names} replaced by columns; a null value leaves nothing."""
@@ -98,10 +100,8 @@ def answered(response: Column, line: Column, placeholder: str = "placeholder") -
 
 def toxicity_feedback(alerts: Column, fixes: dict[str, str], generic: str, deltas: dict[str, Column], least: float = 0.05) -> Column:
     """A line per alert with its fix or the generic advice, then a line per value that rose by more than ``least``."""
-    known = F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair])
-    lines = F.transform(F.array_distinct(alerts), lambda a: F.concat(a, F.lit(": "), F.coalesce(F.try_element_at(known, a), F.lit(generic))))
     rises = F.array_compact(F.array(*[F.when(d > least, F.concat(F.lit(f"{n} rose by "), F.format_string("%.2f", d))) for n, d in deltas.items()]))
-    return F.array_join(F.concat(lines, rises), "\n")
+    return F.array_join(F.concat(alert_advice(alerts, fixes, generic), rises), "\n")
 
 
 # What each aim of a profile asks for; where two are listed, the first for scores above STRONG.

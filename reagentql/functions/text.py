@@ -367,6 +367,14 @@ PROCEDURE_WORDS = (
 )
 
 
+# The phrases and tokens that the four strategies look for.
+DESIGNED = r"(?i)Therefore,?\s+the\s+designed\s+molecule\s+is\s*[:.]?\s*(?:\d+:\s*)?([A-Za-z0-9@+\-\[\]()=#%/.\\]+)\."
+APPLIED, REQUIRED = r"The\s+applied\s+reaction\s+is", r"requires\s+the\s+reactants?"
+AFTER_APPLIED, AFTER_REQUIRED = r"(?i),?\s*which\s+requires.*$", r"(?i)\s*This\s+is\s+step.*$"
+FIRST_STEP = r"This\s+is\s+step\s*1"
+LONG_TOKEN = r"\b([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.\\]{12,})\b"
+
+
 def retrosynthesis_candidates(text: Column, window: int = 600) -> Column:
     """(strategy, token) of a retrosynthesis text, first seen across strategies, in their order.
 
@@ -376,15 +384,15 @@ def retrosynthesis_candidates(text: Column, window: int = 600) -> Column:
     """
     after = lambda phrase: extract_all(text, rf"(?is){phrase}\s*:\s*(?=(.{{0,{window}}}))")
     ended = lambda x: F.trim(F.regexp_replace(F.trim(x), r"[.,]+$", ""))
-    designed = F.array(F.regexp_extract(text, r"(?i)Therefore,?\s+the\s+designed\s+molecule\s+is\s*[:.]?\s*(?:\d+:\s*)?([A-Za-z0-9@+\-\[\]()=#%/.\\]+)\.", 1))
-    applied = F.flatten(F.transform(after(r"The\s+applied\s+reaction\s+is"), lambda x: F.split(ended(F.regexp_replace(x, r"(?i),?\s*which\s+requires.*$", "")), r"\.")))
+    designed = F.array(F.regexp_extract(text, DESIGNED, 1))
+    applied = F.flatten(F.transform(after(APPLIED), lambda x: F.split(ended(F.regexp_replace(x, AFTER_APPLIED, "")), r"\.")))
     applied = F.filter(F.transform(applied, ended), lambda x: (F.length(x) >= 8) & ~x.rlike("^[0-9]"))
-    needed = F.flatten(F.transform(after(r"requires\s+the\s+reactants?"), lambda x: F.split(F.regexp_replace(x, r"(?i)\s*This\s+is\s+step.*$", ""), r",\s*")))
+    needed = F.flatten(F.transform(after(REQUIRED), lambda x: F.split(F.regexp_replace(x, AFTER_REQUIRED, ""), r",\s*")))
     needed = F.filter(F.transform(needed, lambda x: ended(_unbracketed(x))), lambda x: F.length(x) >= 8)
-    step = r"This\s+is\s+step\s*1"
+    step = FIRST_STEP
     until = F.when(text.rlike(rf"(?i){step}"), F.regexp_extract(text, rf"(?is)^(.*?{step})", 1)).otherwise(F.substring(text, 1, 2000))
     place = F.when(text.rlike(rf"(?is)Therefore.*{step}"), F.regexp_extract(text, rf"(?is)(Therefore.*?{step})", 1)).otherwise(until)
-    greedy = F.filter(extract_all(place, r"\b([CNOSPFI][A-Za-z0-9@+\-\[\]()=#%/.\\]{12,})\b"), lambda t: ~F.lower(t).rlike("|".join(PROCEDURE_WORDS)))
+    greedy = F.filter(extract_all(place, LONG_TOKEN), lambda t: ~F.lower(t).rlike("|".join(PROCEDURE_WORDS)))
     tag = lambda k: lambda t: F.struct(F.lit(k).alias("strategy"), t.alias("token"))
     return first_of_each(F.concat(*[F.transform(_valid(tokens), tag(k)) for k, tokens in enumerate((designed, applied, needed, greedy))]))
 
@@ -449,8 +457,12 @@ def assembly_strategies(text: Column, most: int = 3) -> Column:
     return F.slice(F.when(F.size(parsed) > 0, parsed).otherwise(F.array(fallback)), 1, most)
 
 
-def alert_lines(alerts: Column, fixes: dict[str, str], generic: str) -> Column:
-    """One line per alert, each with its fix or, for an alert without one, the generic advice."""
+def alert_advice(alerts: Column, fixes: dict[str, str], generic: str) -> Column:
+    """A line per alert, each once, with its fix or, for an alert without one, the generic advice."""
     known = F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair])
-    line = lambda a: F.concat(a, F.lit(": "), F.coalesce(F.try_element_at(known, a), F.lit(generic)))
-    return F.array_join(F.transform(F.array_distinct(alerts), line), "\n")
+    return F.transform(F.array_distinct(alerts), lambda a: F.concat(a, F.lit(": "), F.coalesce(F.try_element_at(known, a), F.lit(generic))))
+
+
+def alert_lines(alerts: Column, fixes: dict[str, str], generic: str) -> Column:
+    """The lines of ``alert_advice`` as one text."""
+    return F.array_join(alert_advice(alerts, fixes, generic), "\n")
