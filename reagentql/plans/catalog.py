@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reagentql.plans import extraction, more, ordering, parts, prompts, relational, reports, scores, texts
+from reagentql.plans import extraction, files, more, ordering, parts, prompts, relational, reports, scores, texts
 
-MODULES = (scores, relational, texts, extraction, reports, more, prompts, ordering, parts)
+MODULES = (scores, relational, texts, extraction, reports, more, prompts, ordering, parts, files)
 
 
 def queries() -> dict:
