@@ -187,3 +187,59 @@ def q_structure_components(spark, sf):
         F.when(k == 0, F.concat(F.lit("LIG"), (c("l_partkey") % 9).cast("string"))).when(k == 1, "ZN").when(k == 2, "HOH").otherwise("FE").alias("residue_name"),
     )
     return P.components(rows).select("file", "residue_name", "kind", "n", F.round("x", 6).alias("x"))
+
+
+@query("""SELECT 'e' || s_suppkey AS entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'VEGF_VEGFR' WHEN 1 THEN 'EGFR' ELSE 'other' END AS target, 'C' || s_nationkey AS smiles, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal, 2) END AS mw, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 2 = 0 END AS bbb_permeant,
+  CAST(s_suppkey % 6 AS INTEGER) AS pains_alerts, CASE WHEN s_suppkey % 2 = 0 THEN 'first' ELSE 'second' END AS dialect FROM supplier""")
+def q_read_results(spark, sf):
+    """External result tables in two header dialects; blanks are null, library names become targets."""
+    folder = _folder(spark)
+    rows = read(spark, sf, "supplier")
+    library = F.when(c("s_suppkey") % 3 == 0, "VEGF_2").when(c("s_suppkey") % 3 == 1, "EFGR").otherwise("other")
+    weight, permeant = F.when(c("s_suppkey") % 4 > 0, F.round("s_acctbal", 2).cast("string")).otherwise(" "), F.when(c("s_suppkey") % 5 > 0, F.when(c("s_suppkey") % 2 == 0, "Yes").otherwise("No"))
+    for k, (name, alerts) in enumerate((("SMILES", "PAINS Alerts"), ("smiles", "PAINS #alerts"))):
+        part = rows.where(c("s_suppkey") % 2 == k)
+        part.select(
+            F.concat(F.lit("e"), c("s_suppkey").cast("string")).alias("entity_id"), library.alias("library_name"), F.concat(F.lit("C"), c("s_nationkey").cast("string")).alias(name), weight.alias("MW"), permeant.alias("BBB permeant"), (c("s_suppkey") % 6).alias(alerts)
+        ).write.option("header", True).csv(f"{folder}/{k}")
+    found = readers.result_tables(spark, [f"{folder}/0", f"{folder}/1"])
+    return found.select("entity_id", "target", "smiles", "mw", "bbb_permeant", "pains_alerts", F.when(c("source_file").endswith("/0"), "first").otherwise("second").alias("dialect"))
+
+
+@query("""WITH m AS (SELECT s_nationkey AS k, string_agg('m' || s_suppkey, ', ' ORDER BY s_suppkey) AS m FROM supplier GROUP BY 1) SELECT n_name AS name, lower(n_name) AS description, CASE WHEN m IS NOT NULL THEN m WHEN n_nationkey % 2 = 0 THEN 'key ' || n_regionkey ELSE 'Not applicable' END AS mutations FROM nation LEFT JOIN m ON k = n_nationkey""")
+def q_read_knowledge(spark, sf):
+    """Knowledge on targets in a document a region; a missing list of mutations falls back to the markers."""
+    mutations = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("m"))
+    rows = read(spark, sf, "nation").join(mutations, c("n_nationkey") == c("s_nationkey"), "left")
+    names = F.transform("m", lambda x: F.concat(F.lit("m"), x.cast("string")))
+    markers = F.when(c("n_nationkey") % 2 == 0, F.array(F.concat(F.lit("key "), c("n_regionkey").cast("string"))))
+    one = F.struct(c("n_name").alias("name"), F.lower("n_name").alias("description"), names.alias("mutation_types"), markers.alias("key_markers"))
+    folder = _folder(spark)
+    _documents(rows, "n_regionkey", F.to_json(F.struct(F.collect_list(one).alias("gbm_targets")))).write.partitionBy("k").text(folder)
+    return readers.targets(spark, f"{folder}/k=*").select("name", "description", "mutations")
+
+
+@query("SELECT event_type AS property, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def q_property_ranges(spark, sf):
+    """The ranges of a JSON map, as the constraints of a run."""
+    ranges = read(spark, sf, "events").groupBy("event_type").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    folder = _folder(spark)
+    ranges.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(c("event_type"), F.struct("min", "max"))))).alias("value")).write.text(folder)
+    return readers.property_ranges(spark, folder)
+
+
+@query("""SELECT r_name AS subtype, lower(r_name) AS note, count(n_nationkey) AS n_mechanisms, min(n_name) AS first_mechanism FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""")
+def q_read_clinical(spark, sf):
+    """Subtypes and resistance mechanisms of a clinical document."""
+    nations = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("m"))
+    rows = read(spark, sf, "region").join(nations, c("n_regionkey") == c("r_regionkey"), "left")
+    maps = rows.agg(
+        F.map_from_entries(F.collect_list(F.struct(c("r_name"), F.create_map(F.lit("note"), F.lower("r_name"))))).alias("molecular_subtypes"),
+        F.map_from_entries(F.collect_list(F.struct(c("r_name"), F.coalesce(c("m"), F.array().cast("array<string>"))))).alias("resistance_mechanisms"),
+    )
+    folder = _folder(spark)
+    maps.select(F.to_json(F.struct(F.struct(F.array(F.lit("cost")).alias("treatment_challenges")).alias("clinical_data"), "*")).alias("value")).write.text(folder)
+    known = readers.clinical(spark, folder)
+    found = known.select("resistance_mechanisms", F.explode("molecular_subtypes").alias("subtype", "of"))
+    mechanisms = F.try_element_at("resistance_mechanisms", c("subtype"))
+    return found.select("subtype", F.try_element_at("of", F.lit("note")).alias("note"), F.size(mechanisms).cast("long").alias("n_mechanisms"), F.array_min(mechanisms).alias("first_mechanism"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reagentql.functions import scoring as S
-from reagentql.functions import text as T
 from reagentql.operators import control, evaluation, molecules
 from reagentql.operators import relational as R
 from reagentql.operators import structure as P

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reagentql.functions import text as T
-from reagentql.operators import relational as R
 from reagentql.plans.proxies import read
 from reagentql.sources.readers import spread
 
