@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from reagentql.operators import relational as R
@@ -12,7 +10,7 @@ from reagentql.plans.proxies import read
 from reagentql.plans.relational import RESIDUES
 from reagentql.sources import mmcif, readers, sinks
 from reagentql.sources.ledger import Ledger
-from reagentql.storage import hadoop_path, shared_folder
+from reagentql.storage import own_folder
 
 c = F.col
 Q: dict = {}
@@ -28,11 +26,7 @@ def query(sql: str):
 
 
 def _folder(spark) -> str:
-    """A folder of its own in the shared one; it goes when the driver ends."""
-    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    where, files = hadoop_path(spark, folder)
-    files.deleteOnExit(where)
-    return folder
+    return f"{own_folder(spark)}/files"
 
 
 def _documents(rows, key: str, text):

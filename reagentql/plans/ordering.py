@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +10,7 @@ from reagentql.operators import relational as R
 from reagentql.operators.known import KnownKeys
 from reagentql.plans.proxies import read
 from reagentql.plans.relational import PAIRS
-from reagentql.storage import hadoop_path, shared_folder
+from reagentql.storage import own_folder
 
 c = F.col
 r6 = lambda x: F.round(x, 6)
@@ -99,10 +97,7 @@ def q_long_intervals(spark, sf):
 def q_novelty_indexed(spark, sf):
     """Pairs shipped since 1997 that two earlier runs, kept under a Bloom index, do not know."""
     rows = read(spark, sf, "lineitem").select(c("l_partkey").alias("part"), c("l_suppkey").alias("supp"), F.year("l_shipdate").alias("y"))
-    folder = f"{shared_folder(spark)}/known-{uuid.uuid4().hex}"
-    where, files = hadoop_path(spark, folder)
-    files.deleteOnExit(where)
-    store = KnownKeys(spark, folder)
+    store = KnownKeys(spark, own_folder(spark))
     store.add(1, rows.where("y < 1995"), ["part", "supp"])
     store.add(2, rows.where("y IN (1995, 1996)"), ["part", "supp"])
     return store.novel(rows.where("y >= 1997").select("part", "supp").distinct(), ["part", "supp"])

@@ -35,6 +35,15 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/own-{uuid.uuid4().hex}"
+    where, files = hadoop_path(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)  # only a folder that is there can be marked
+    return folder
+
+
 def spilled(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back, so that its rows and their partitions are settled and outlive executors.
 
@@ -42,8 +51,6 @@ def spilled(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if path is None:
-        path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-        where, files = hadoop_path(spark, path)
-        files.deleteOnExit(where)
+        path = f"{own_folder(spark)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
