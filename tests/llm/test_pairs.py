@@ -368,3 +368,34 @@ def test_near_copies_among_look_alikes(spark):
     assert {(i, 2000 + i) for i in range(100)} <= set(pairs)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[a] == got[b] for a, b in pairs)
+
+
+def test_large_look_alikes_are_told_apart_before_their_sets_are_fetched(spark, monkeypatch):
+    """Of large texts with a passage in common only those that are near copies get verified, and none of these is left out."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
+    shared = words(60)
+    texts = [words(3000) + shared for _ in range(24)]
+    for i in range(4):
+        copy = list(texts[i])
+        for at in rng.sample(range(0, 3000, 5), 40 + 10 * i):
+            copy[at] = "other"
+        texts.append(copy + words(700 if i == 3 else 0))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert (0, 24) in pairs
+    monkeypatch.setattr(neardup, "common_shingles", lambda rows: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    seen, plain = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda links, rows: seen.append(links.count()) or plain(links, rows))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in roots(pairs).items() if k != v}
+    assert sum(seen) <= len(pairs) + 4
+
+
+def test_fewer_odd_buckets_by_folding():
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64))
+    wide = neardup.odd_buckets(h)
+    narrow = np.packbits(np.bincount((neardup.mixed(h) % np.uint64(1024)).astype(np.int64), minlength=1024) & 1).tobytes()
+    assert len(wide) == 1024 and neardup.folded(wide, 128).tobytes() == narrow
+    assert len(neardup.odd_buckets(h[:0])) == len(neardup.odd_buckets(h[:1024])) == 128
