@@ -42,8 +42,14 @@ def log_bb_line(logp: Column, tpsa: Column) -> Column:
 
 
 def log_bb(logp: Column, tpsa: Column, mw: Column, hbd: Column, hba: Column) -> Column:
-    """The line less penalties for size and hydrogen bonding; -2 for a missing molecule."""
-    return F.coalesce(log_bb_line(logp, tpsa) - points((mw > 450, 0.20), (hbd > 2, 0.15), (hba > 6, 0.10)), F.lit(-2.0))
+    """The line less penalties for size and hydrogen bonding, one after another; -2 for a missing molecule.
+
+    Less their sum it would differ in the last bit, and so fall on the other side of a band's bound.
+    """
+    out = log_bb_line(logp, tpsa)
+    for condition, cost in ((mw > 450, 0.20), (hbd > 2, 0.15), (hba > 6, 0.10)):
+        out = out - F.when(condition, cost).otherwise(0.0)
+    return F.coalesce(out, F.lit(-2.0))
 
 
 def bbb_band(x: Column) -> Column:
