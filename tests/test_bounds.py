@@ -16,7 +16,7 @@ ON_BOUNDS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["q_bbb_bands", "q_composite_assessment", "q_cube", "q_feedback_text"])
+@pytest.mark.parametrize("name", ["q_bbb_bands", "q_composite_assessment", "q_cube", "q_feedback_text", "q_rollup_report"])
 def test_rows_on_bounds(spark, tmp_path, name):
     spark.createDataFrame(ON_BOUNDS, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     df = catalog.queries()[name](spark, str(tmp_path))
