@@ -36,6 +36,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of the batches in which rows go to Python, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of about BATCH_BYTES; the session's own setting wins.
+
+    Spark's default is 10,000 rows or 64 MB, and of a batch of whole texts or shingle sets both the
+    executor and its Python worker hold several copies.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that outlives executors."""
     checkpoint_dir(df.sparkSession)

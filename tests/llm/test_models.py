@@ -6,6 +6,7 @@ import itertools
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from reagentql.llm import decontaminate, queries, toxicity
@@ -258,6 +259,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in want.items()}
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_hold_few_texts(spark, small, stage):
+    """Large texts go to Python a few megabytes at a time; a session's own setting stays."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+
+    def sizes():
+        return [r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.STAGES[stage][1](spark, docs, small)
+        assert max(sizes()) < 6_000_000
+        spark.conf.set(key, "64m")
+        corpus_pipeline.STAGES[stage][1](spark, docs, small)
+        assert max(sizes()) > 20_000_000
+    finally:
+        spark.conf.unset(key)
+
+
 def test_stages_keep_the_columns(spark, small):
     import corpus_pipeline
 
